@@ -63,3 +63,8 @@ def require_columns(df: DataFrame, cols: list[str]) -> DataFrame:
     if missing:
         raise ValueError(f"missing columns: {missing}")
     return df
+
+
+def with_totals(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach an ungrouped aggregate (exactly one row by construction) to every row."""
+    return df.crossJoin(F.broadcast(one_row))

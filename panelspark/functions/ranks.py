@@ -92,3 +92,15 @@ def long(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     return df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
         keys, cols, "metric", "value"
     )
+
+
+def ks_distance(df: DataFrame, by: list[str], value: str, in_a: Column, in_b: Column) -> DataFrame:
+    """Largest gap between two empirical distributions per group, from cumulative counts.
+
+    ``in_a`` and ``in_b`` select the (possibly overlapping) samples.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(
+        F.sum(in_a.cast("long")).alias("a"), F.sum(in_b.cast("long")).alias("b"))
+    r = running_totals(counts, by, value, ["a", "b"])
+    gap = F.abs(F.col("cum_a") / F.nullif(F.col("tot_a"), F.lit(0)) - F.col("cum_b") / F.nullif(F.col("tot_b"), F.lit(0)))
+    return r.groupBy(*by).agg(F.max(gap).alias("ks"), F.max("tot_a").alias("n_a"), F.max("tot_b").alias("n_b"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cols import ladder
+from ..functions.cols import ladder, with_totals
 from ..functions.windows import W, last_known, next_known
 
 
@@ -44,8 +44,8 @@ def yearly_survival_weight(df: DataFrame, entity: str = "company_id", period: st
     total = df.select(entity).distinct().agg(F.count(F.lit(1)).alias("total_entities"))
     per = df.groupBy(period).agg(F.sum(F.col("exists_flag").cast("int")).alias("existing"))
     rate = F.col("existing") / F.col("total_entities")
-    # both sides are one row per period or a single total: bounded by the calendar
-    w = per.crossJoin(F.broadcast(total)).select(
+    # one row per calendar period
+    w = with_totals(per, total).select(
         period, F.when(rate > 0.1, 1.0 / rate).otherwise(10.0).alias("_w"))
     return df.join(F.broadcast(w), period, "left").withColumn(
         "survival_weight", F.when(F.col("exists_flag"), F.col("_w")).otherwise(0.0)).drop("_w")

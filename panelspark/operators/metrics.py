@@ -278,7 +278,7 @@ def risk_outlook(risk: Column) -> dict[str, Column]:
 
 
 # fixed upper bounds of the risk levels
-RISK_BANDS = ((0.2, "very_low"), (0.4, "low"), (0.6, "medium"), (0.8, "high"))
+RISK_BANDS = ((0.1, "very_low"), (0.25, "low"), (0.5, "medium"), (0.75, "high"), (0.9, "very_high"))
 
 
 # ---- interaction and ensemble features ------------------------------------

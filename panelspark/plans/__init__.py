@@ -6,7 +6,7 @@ import importlib
 
 from .registry import CATALOGUE, Query
 
-MODULES = ("metrics",)
+MODULES = ("metrics", "quality")
 
 
 def catalogue() -> dict[str, Query]:

@@ -204,7 +204,7 @@ FLAGS = [fl("current_assets/nullif(current_liabilities,0) < 1"), fl("total_liabi
 
 @query("risk_flags_and_outlook", "M22 M24", f"{K} risk_level",
        "risk_flag_mean survival_1y survival_3y survival_5y years_to_extinction",
-       f"""SELECT *, CASE WHEN r < .2 THEN 'very_low' WHEN r < .4 THEN 'low' WHEN r < .6 THEN 'medium' WHEN r < .8 THEN 'high'
+       f"""SELECT *, CASE WHEN r < .1 THEN 'very_low' WHEN r < .25 THEN 'low' WHEN r < .5 THEN 'medium' WHEN r < .75 THEN 'high' WHEN r < .9 THEN 'very_high'
     ELSE 'critical' END AS risk_level, CASE WHEN r < .3 THEN NULL WHEN survival_1y < .5 THEN 1 WHEN survival_3y < .5 THEN 3
     WHEN survival_5y < .5 THEN 5 ELSE ln(2.0)/(-ln(survival_5y)/5) END AS years_to_extinction
 FROM (SELECT *, r AS risk_flag_mean, 1-r*.3 AS survival_1y, pow(1-r*.3,3.0) AS survival_3y, pow(1-r*.3,5.0) AS survival_5y
