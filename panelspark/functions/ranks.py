@@ -42,6 +42,20 @@ def running_totals(df: DataFrame, by: list[str], order: str, sums: list[str]) ->
     return out.drop("_part", *[f"_l_{s}" for s in sums], *[f"_o_{s}" for s in sums])
 
 
+def running_min(df: DataFrame, by: list[str], order: str, value: str, name: str) -> DataFrame:
+    """Minimum of ``value`` up to and including each row, in the same two levels as the totals."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = reliable(
+        df.repartitionByRange(parts, *by, order).withColumn("_part", F.spark_partition_id())
+    )
+    upto = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    tops = placed.groupBy(*by, "_part").agg(F.min(value).alias("_m")).select(
+        *by, "_part", F.min("_m").over(upto).alias("_before"))
+    local = Window.partitionBy(*by, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = placed.withColumn("_l", F.min(value).over(local)).join(tops, [*by, "_part"])
+    return out.withColumn(name, F.least("_l", "_before")).drop("_part", "_l", "_before")
+
+
 def value_ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """One row per distinct (group, value): ``cnt``, ``lt``, ``le``, ``n``, ``dense``, ``avg_rank``."""
     counts = (

@@ -6,7 +6,7 @@ import importlib
 
 from .registry import CATALOGUE, Query
 
-MODULES = ("metrics", "quality")
+MODULES = ("metrics", "quality", "clean")
 
 
 def catalogue() -> dict[str, Query]:

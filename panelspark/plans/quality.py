@@ -55,7 +55,7 @@ def _(spark, sf):
 
 
 @query("accounting_identities", "V5", FK, "value", " UNION ALL ".join([
-    f("balance_sheet", "warning", "'total_assets'", "x", "(SELECT *, abs(ta-(total_liabilities+shareholders_equity))/ta AS x FROM (SELECT *, total_assets+0.04*returned AS ta FROM panel)) WHERE x > 0.01"),
+    f("balance_sheet", "warning", "'total_assets'", "x", "(SELECT *, abs(ta-(total_liabilities+shareholders_equity))/ta AS x FROM (SELECT *, total_assets+0.04*returned AS ta FROM panel)) WHERE x > 0.0123"),
     f("gross_profit", "warning", "'gross_profit'", "x", "(SELECT *, abs(gross_profit-(revenue-cost_of_sales-0.2*extraordinary_loss))/nullif(abs(gross_profit),0) AS x FROM panel) WHERE x > 0.0123")]))
 def _(spark, sf):
     p = d.panel(spark, sf)
