@@ -42,7 +42,7 @@ class Fit:
     def table(self, spark) -> DataFrame:
         se = np.sqrt(np.diag(self.cov))
         rows = [(nm, float(b), float(s), float(b / s) if s else None,
-                 t_two_sided(b / s, self.dof) if s and self.dof > 0 else None, float(self.n), float(self.r2))
+                 float(t_two_sided(b / s, self.dof)) if s and self.dof > 0 else None, float(self.n), float(self.r2))
                 for nm, b, s in zip(self.names, self.coef, se)]
         return spark.createDataFrame(
             rows, "term string, coef double, se double, t double, p double, n double, r2 double")

@@ -6,7 +6,7 @@ import importlib
 
 from .registry import CATALOGUE, Query
 
-MODULES = ("metrics", "quality", "clean")
+MODULES = ("metrics", "quality", "clean", "stats")
 
 
 def catalogue() -> dict[str, Query]:
