@@ -42,25 +42,21 @@ def trend_pack(df: DataFrame, value: str, min_n: int = 3) -> DataFrame:
     d = d.withColumn("dv", c("v") - c("p")).withColumn("ddv", c("v") - c("p") - F.lag("dv").over(W()))
     a, b = F.floor(c("n") / 3), F.floor(2 * c("n") / 3)
     third = ladder([(c("i") < a, 0), (c("i") < b, 1)], 2)
-    d = d.withColumn("third", third)
+    d = d.withColumn("third", third).withColumn("_e", c("v") - F.regr_slope("v", "i").over(whole()) * c("i"))
     g = d.groupBy("company_id").agg(
         F.max("n").alias("n"), F.regr_slope("v", "i").alias("slope"), F.regr_intercept("v", "i").alias("intercept"),
         F.corr("v", "i").alias("_r"), F.sum((c("dv") > 0).cast("int")).alias("_up"), F.sum((c("dv") < 0).cast("int")).alias("_dn"),
-        F.avg("ddv").alias("acceleration"), F.min_by("v", "i").alias("_first"),
-        F.sum("v").alias("_sv"), F.sum(c("v") * c("v")).alias("_svv"), F.sum(c("v") * c("i")).alias("_svi"),
-        F.sum("i").alias("_si"), F.sum(c("i") * c("i")).alias("_sii"),
+        F.avg("ddv").alias("acceleration"),
+        F.stddev_pop("_e").alias("residual_std"),
         *[x for t in range(3) for x in (
             F.min_by(F.when(c("third") == t, c("v")), F.when(c("third") == t, c("i"))).alias(f"_f{t}"),
             F.max_by(F.when(c("third") == t, c("v")), F.when(c("third") == t, c("i"))).alias(f"_l{t}"),
             F.sum((c("third") == t).cast("int")).alias(f"_n{t}"))])
-    # spread of v - (slope i + v0): variance of v - slope i
     n = c("n").cast("double")
-    s = c("slope")
-    var = (c("_svv") - 2 * s * c("_svi") + s * s * c("_sii")) / n - F.pow((c("_sv") - s * c("_si")) / n, F.lit(2.0))
     return g.select(
         "company_id", "n", "slope", "intercept", (_corr0(c("_r")) * _corr0(c("_r"))).alias("r2"),
         (F.greatest("_up", "_dn") / (n - 1)).alias("monotonic"), "acceleration",
-        F.sqrt(F.greatest(var, F.lit(0.0))).alias("residual_std"),
+        "residual_std",
         *[F.when(c(f"_n{t}") >= 2, (c(f"_l{t}") - c(f"_f{t}")) / c(f"_n{t}")).otherwise(0.0).alias(f"trend_{nm}")
           for t, nm in enumerate(("early", "mid", "late"))])
 
@@ -424,13 +420,13 @@ def cusum(df: DataFrame, value: str, k: float = 2.0) -> DataFrame:
     g = d.groupBy("company_id").agg(F.max("_c").alias("cusum"), F.max_by("year", F.struct("_c", -c("year"))).alias("year"),
                                     F.max("_s").alias("_s"), F.count(F.lit(1)).alias("n"))
     lim = k * c("_s") * F.sqrt(c("n").cast("double"))
-    return g.select("company_id", "n", "cusum", lim.alias("limit"), "year", (c("cusum") > lim).alias("break_found"))
+    return g.select("company_id", "n", "cusum", lim.alias("threshold"), "year", (c("cusum") > lim).alias("break_found"))
 
 
 def regimes(df: DataFrame, value: str, is_break: Column) -> DataFrame:
     """Characteristics of the segments between change points."""
     d = df.withColumn("regime", F.sum(F.coalesce(is_break, F.lit(False)).cast("int")).over(W().rowsBetween(Window.unboundedPreceding, 0)))
-    return d.groupBy("company_id", "regime").agg(F.min("year").alias("start"), F.max("year").alias("end"), F.count(F.lit(1)).alias("n"),
+    return d.groupBy("company_id", "regime").agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.count(F.lit(1)).alias("n"),
                                                  F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
 
 

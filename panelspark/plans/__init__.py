@@ -6,7 +6,7 @@ import importlib
 
 from .registry import CATALOGUE, Query
 
-MODULES = ("metrics", "quality", "clean", "stats")
+MODULES = ("metrics", "quality", "clean", "stats", "timeseries")
 
 
 def catalogue() -> dict[str, Query]:
