@@ -6,7 +6,7 @@ import importlib
 
 from .registry import CATALOGUE, Query
 
-MODULES = ("metrics", "quality", "clean", "stats", "timeseries")
+MODULES = ("metrics", "quality", "clean", "stats", "timeseries", "survival")
 
 
 def catalogue() -> dict[str, Query]:
