@@ -6,7 +6,7 @@ import importlib
 
 from .registry import CATALOGUE, Query
 
-MODULES = ("metrics", "quality", "clean", "stats", "timeseries", "survival")
+MODULES = ("metrics", "quality", "clean", "stats", "timeseries", "survival", "causal")
 
 
 def catalogue() -> dict[str, Query]:
