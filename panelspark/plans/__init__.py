@@ -6,7 +6,7 @@ import importlib
 
 from .registry import CATALOGUE, Query
 
-MODULES = ("metrics", "quality", "clean", "stats", "timeseries", "survival", "causal")
+MODULES = ("metrics", "quality", "clean", "stats", "timeseries", "survival", "causal", "market")
 
 
 def catalogue() -> dict[str, Query]:

@@ -281,6 +281,28 @@ holed AS (SELECT e.company_id, y.year, e.market, e.start_year, e.end_year, e.sta
   LEFT JOIN panel p ON p.company_id = e.company_id AND p.year = y.year),
 """
 
+def competition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Panel in percent terms with the share of the (market, year) total."""
+    from ..functions.cols import sd
+    from ..functions.windows import growth
+
+    p = mpanel(spark, sf_dir)
+    tot = p.groupBy("market", "year").agg(F.sum("revenue").alias("_t"))
+    ratios = {"margin": ("operating_profit", "revenue"), "roe": ("net_profit", "shareholders_equity"),
+              "cost_ratio": ("cost_of_sales", "revenue"), "rd_ratio": ("rd_expenses", "revenue"),
+              "ad_ratio": ("advertising_expenses", "revenue"), "capex_ratio": ("capex", "revenue"), "share": ("revenue", "_t")}
+    return p.join(tot, ["market", "year"]).select(
+        *p.columns, *[(sd(a, b) * 100.0).alias(k) for k, (a, b) in ratios.items()],
+        (growth("revenue") * 100.0).alias("growth"))
+
+
+_COMP_SQL = """
+comp AS (SELECT *, operating_profit/revenue*100 AS margin, net_profit/nullif(shareholders_equity,0)*100 AS roe, cost_of_sales/revenue*100 AS cost_ratio,
+  rd_expenses/revenue*100 AS rd_ratio, advertising_expenses/revenue*100 AS ad_ratio, capex/revenue*100 AS capex_ratio,
+  revenue/sum(revenue) OVER (PARTITION BY market, year)*100 AS share,
+  (revenue/nullif(lag(revenue) OVER (PARTITION BY company_id ORDER BY year),0)-1)*100 AS growth FROM mpanel),
+"""
+
 # view -> (definition, views it needs), in dependency order
 _VIEWS = {
     "panel": (_BASE_SQL + _PANEL_SQL, []),
@@ -289,6 +311,7 @@ _VIEWS = {
     "market_share": (_SHARE_SQL, []),
     "surv": (_SURV_SQL, ["entity"]),
     "stages": (_STAGES_SQL, ["mpanel", "panel", "entity"]),
+    "comp": (_COMP_SQL, ["mpanel", "panel", "entity"]),
     "ledger": (_LEDGER_SQL, ["entity"]),
     "holed": (_HOLED_SQL, ["panel", "entity"]),
 }
