@@ -6,7 +6,8 @@ import importlib
 
 from .registry import CATALOGUE, Query
 
-MODULES = ("metrics", "quality", "clean", "stats", "timeseries", "survival", "causal", "market")
+MODULES = ("metrics", "quality", "clean", "stats", "timeseries", "survival", "causal", "market", "lifecycle",
+           "emergence")
 
 
 def catalogue() -> dict[str, Query]:

@@ -303,6 +303,21 @@ comp AS (SELECT *, operating_profit/revenue*100 AS margin, net_profit/nullif(sha
   (revenue/nullif(lag(revenue) OVER (PARTITION BY company_id ORDER BY year),0)-1)*100 AS growth FROM mpanel),
 """
 
+def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Competition panel with the growth-class stage and the debt ratio in percent."""
+    from ..functions.cols import ladder, sd
+
+    g = F.col("growth")
+    stage = ladder([(g.isNull(), "startup"), (g > 30, "growth"), (g > -30, "maturity")], "decline")
+    return competition(spark, sf_dir).select("*", stage.alias("stage"),
+                                             (sd("total_liabilities", "total_assets") * 100).alias("debt"))
+
+
+_LC_SQL = """
+lc AS (SELECT *, CASE WHEN growth IS NULL THEN 'startup' WHEN growth > 30 THEN 'growth' WHEN growth > -30 THEN 'maturity' ELSE 'decline' END AS stage,
+  total_liabilities/total_assets*100 AS debt FROM comp),
+"""
+
 # view -> (definition, views it needs), in dependency order
 _VIEWS = {
     "panel": (_BASE_SQL + _PANEL_SQL, []),
@@ -312,6 +327,7 @@ _VIEWS = {
     "surv": (_SURV_SQL, ["entity"]),
     "stages": (_STAGES_SQL, ["mpanel", "panel", "entity"]),
     "comp": (_COMP_SQL, ["mpanel", "panel", "entity"]),
+    "lc": (_LC_SQL, ["comp", "mpanel", "panel", "entity"]),
     "ledger": (_LEDGER_SQL, ["entity"]),
     "holed": (_HOLED_SQL, ["panel", "entity"]),
 }
