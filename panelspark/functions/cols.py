@@ -68,3 +68,11 @@ def require_columns(df: DataFrame, cols: list[str]) -> DataFrame:
 def with_totals(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach an ungrouped aggregate (exactly one row by construction) to every row."""
     return df.crossJoin(F.broadcast(one_row))
+
+
+def safe_corr(a: str | Column, b: str | Column) -> Column:
+    """Pearson correlation aggregate that is null, not an error, when a side is constant."""
+    a, b = col(a).cast("double"), col(b).cast("double")
+    both = a.isNotNull() & b.isNotNull()
+    spread = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
+    return F.covar_pop(a, b) / F.nullif(spread, F.lit(0.0))

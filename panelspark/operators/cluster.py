@@ -56,17 +56,17 @@ def quality(df: DataFrame, cols: list[str], cluster: str = "cluster") -> DataFra
     own = F.sqrt(total([F.pow(c(x) - c(f"m_{x}"), F.lit(2.0)) for x in cols]))
     spread = d.groupBy(cluster).agg(F.avg(own).alias("s"))
     g = g.join(spread, cluster)
-    mean = df.agg(*[F.avg(x).alias(f"g_{x}") for x in cols], F.count(F.lit(1)).alias("N"))
+    mean = df.agg(*[F.avg(x).alias(f"g_{x}") for x in cols], F.count(F.lit(1)).alias("_tot"))
     gm = with_totals(g, mean)
     bw = gm.agg(F.sum(c("n") * total([F.pow(c(f"m_{x}") - c(f"g_{x}"), F.lit(2.0)) for x in cols])).alias("b"), F.sum(c("n") * total([c(f"v_{x}") for x in cols])).alias("w"),
-                F.count(F.lit(1)).alias("k"), F.max("N").alias("N"))
+                F.count(F.lit(1)).alias("k"), F.max("_tot").alias("_tot"))
     o = g.select(c(cluster).alias("_o"), c("s").alias("_s"), *[c(f"m_{x}").alias(f"_m_{x}") for x in cols])
     # k centres against k centres
     pr = g.join(F.broadcast(o), c(cluster) != c("_o"))
     dist = F.sqrt(total([F.pow(c(f"m_{x}") - c(f"_m_{x}"), F.lit(2.0)) for x in cols]))
     db = pr.groupBy(cluster).agg(F.max((c("s") + c("_s")) / dist).alias("_r")).agg(F.avg("_r").alias("davies_bouldin"))
     r = with_totals(bw, db)
-    ch = (c("b") / (c("k") - 1)) / (c("w") / (c("N") - c("k")))
+    ch = (c("b") / (c("k") - 1)) / (c("w") / (c("_tot") - c("k")))
     return r.select("k", ch.alias("calinski_harabasz"), "davies_bouldin")
 
 
@@ -163,7 +163,7 @@ def ar_forecast(df: DataFrame, value: str, horizon: int, min_n: int = 5) -> Data
     g = d.groupBy("company_id").agg(F.count("p").alias("n"), F.regr_slope("d", "p").alias("phi"), F.regr_intercept("d", "p").alias("mu"), F.regr_syy("d", "p").alias("syy"),
                                     F.regr_sxy("d", "p").alias("sxy"), F.avg("d").alias("drift"), F.max_by("v", "year").alias("last"), F.max_by("d", "year").alias("dl"), F.max("year").alias("year"))
     g = g.where((c("n") >= min_n - 2) & (c("syy") > 0))
-    n = c("n").cast("double")
+    n = F.nullif(c("n").cast("double"), F.lit(0.0))
     rss1 = F.greatest(c("syy") - c("phi") * c("sxy"), F.lit(1e-12))
     use = (n * F.ln(rss1 / n) + 4 < n * F.ln(c("syy") / n) + 2) & (F.abs("phi") < 1)
     g = g.withColumn("order", F.when(use, 1).otherwise(0))

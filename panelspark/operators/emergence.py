@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cols import clip, flag, ladder, mean_of, sd, total, with_totals
+from ..functions.cols import clip, flag, ladder, mean_of, safe_corr, sd, total, with_totals
 from ..functions.ranks import exact_quantiles, value_ranks
 from ..functions.windows import W
 
@@ -95,7 +95,7 @@ def success_by(d: DataFrame, by: list[str], score: str = "score") -> DataFrame:
 def importance_by_correlation(d: DataFrame, target: str, cols: list[str], top: int = 20) -> DataFrame:
     """Largest |corr| with the target after one unpivot."""
     v = d.select(c(target).cast("double").alias("_y"), *[c(x).cast("double").alias(x) for x in cols]).unpivot(["_y"], cols, "factor", "v")
-    g = v.groupBy("factor").agg(F.corr("v", "_y").alias("r"), F.count(F.lit(1)).alias("n"))
+    g = v.groupBy("factor").agg(safe_corr("v", "_y").alias("r"), F.count(F.lit(1)).alias("n"))
     return g.withColumn("importance", F.abs("r")).orderBy(F.desc("importance"), "factor").limit(top)
 
 

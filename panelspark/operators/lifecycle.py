@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cols import clip, flag, ladder, mean_of, sd, total, with_totals
+from ..functions.cols import clip, flag, ladder, mean_of, safe_corr, sd, total, with_totals
 from ..functions.windows import W, growth, rows, runs, whole
 
 c = F.col
@@ -226,7 +226,7 @@ def rejuvenation_factors(df: DataFrame, periods: DataFrame, cols: list[str]) ->
     out = None
     for x in cols:
         r = with_totals(mann_whitney(g, "ok", x).select("z"), t_test(g, "ok", x).select("cohen_d", c("n0").alias("failures"), c("n1").alias("successes")))
-        r = with_totals(r, g.agg(F.corr(c("ok").cast("double"), c(x)).alias("r"))).withColumn("factor", F.lit(x))
+        r = with_totals(r, g.agg(safe_corr(c("ok").cast("double"), c(x)).alias("r"))).withColumn("factor", F.lit(x))
         out = r if out is None else out.unionByName(r)
     return out
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cols import clip, flag, ladder, sd, total, with_totals
+from ..functions.cols import clip, flag, ladder, safe_corr, sd, total, with_totals
 from ..functions.ranks import exact_quantiles, value_ranks, with_ranks
 from ..functions.windows import W, growth, rows, whole
 
@@ -268,7 +268,7 @@ def responses(df: DataFrame, leaders: DataFrame, min_years: int = 3) -> DataFram
         "market", "year", c("company_id").alias("focal"), *[c(x).alias(f"f_{x}") for x in cols])
     r = df.select("market", "year", c("company_id").alias("rival"), *cols)
     j = r.join(f, ["market", "year"]).where(c("focal") != c("rival"))
-    z = lambda x: F.coalesce(F.nanvl(F.corr(x, f"f_{x}"), F.lit(0.0)), F.lit(0.0))
+    z = lambda x: F.coalesce(F.nanvl(safe_corr(x, f"f_{x}"), F.lit(0.0)), F.lit(0.0))
     g = j.groupBy("market", "focal", "rival").agg(F.count(F.lit(1)).alias("years"), z("rd_ratio").alias("rd_corr"), z("capex_ratio").alias("capex_corr"),
                                                   z("margin").alias("margin_corr")).where(c("years") >= min_years)
     s = (c("rd_corr") + c("capex_corr") + F.abs("margin_corr")) / 3
@@ -392,7 +392,7 @@ def entry_timing_link(success: DataFrame) -> DataFrame:
     """Correlation of entry year and success and counts of early, mid and late entrants per market."""
     t = exact_quantiles(success.withColumn("entry_year", c("entry_year").cast("double")), ["market"], "entry_year", {"q1": 1 / 3, "q2": 2 / 3}).drop("n")
     d = success.join(t, "market")
-    return d.groupBy("market").agg(F.corr("entry_year", "success").alias("timing_corr"), F.sum((c("entry_year") <= c("q1")).cast("long")).alias("early"),
+    return d.groupBy("market").agg(safe_corr("entry_year", "success").alias("timing_corr"), F.sum((c("entry_year") <= c("q1")).cast("long")).alias("early"),
                                    F.sum(((c("entry_year") > c("q1")) & (c("entry_year") <= c("q2"))).cast("long")).alias("mid"),
                                    F.sum((c("entry_year") > c("q2")).cast("long")).alias("late"))
 

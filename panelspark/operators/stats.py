@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import finish
-from ..functions.cols import with_totals
+from ..functions.cols import safe_corr, with_totals
 from ..functions.ranks import exact_quantiles, ks_distance, long, running_min, running_totals, value_ranks, with_ranks
 from ..functions.windows import W
 
@@ -30,7 +30,7 @@ def correlation(df: DataFrame, xs: list[str], by: list[str] | None = None) -> Da
     aggs = []
     for a, b in ps:
         both = c(a).isNotNull() & c(b).isNotNull()
-        aggs.append(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.corr(a, b).alias("r"),
+        aggs.append(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), safe_corr(a, b).alias("r"),
                              F.sum(both.cast("long")).alias("n")))
     g = df.groupBy(*by).agg(F.array(*aggs).alias("_p"))
     return g.select(*by, F.explode("_p").alias("_p")).select(*by, "_p.*")
@@ -120,7 +120,7 @@ def conditional_correlation(df: DataFrame, x: str, y: str, on: str, bands: int =
     for p in probs:
         band = band + (c(on) > c(p)).cast("int")
     return with_totals(df.where(c(on).isNotNull()), q).withColumn("band", band).groupBy("band").agg(
-        F.corr(x, y).alias("r"), F.count(F.lit(1)).alias("n"))
+        safe_corr(x, y).alias("r"), F.count(F.lit(1)).alias("n"))
 
 
 def correlation_network(df: DataFrame, xs: list[str], threshold: float) -> DataFrame:
@@ -145,7 +145,7 @@ def mutual_information(df: DataFrame, x: str, y: str, bins: int = 10) -> DataFra
 
 
 def survivor_correlation(df: DataFrame, x: str, y: str, alive: Column) -> DataFrame:
-    return df.agg(F.corr(x, y).alias("r_all"), F.corr(F.when(alive, c(x)), F.when(alive, c(y))).alias("r_survivors"),
+    return df.agg(safe_corr(x, y).alias("r_all"), safe_corr(F.when(alive, c(x)), F.when(alive, c(y))).alias("r_survivors"),
                   F.count(F.lit(1)).alias("n_all"), F.sum(alive.cast("long")).alias("n_survivors"))
 
 

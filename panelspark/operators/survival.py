@@ -451,12 +451,12 @@ def hazard_model(pp: DataFrame, xs: list[str], kind: str = "forest", trees: int
 
     d = pp.na.fill(0.0, xs)
     asm = VectorAssembler(inputCols=[*xs, "time_from_start"], outputCol="_f")
-    kw = {"featuresCol": "_f", "labelCol": "event_occurred", "probabilityCol": "_p", "rawPredictionCol": "_raw", "predictionCol": "_pred"}
+    kw = {"featuresCol": "_f", "labelCol": "event_occurred", "predictionCol": "_pred"}
     est = {"forest": lambda: RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, **kw),
            "boosting": lambda: GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, **kw),
            "logistic": lambda: LogisticRegression(maxIter=50, **kw)}[kind]()
     vec = asm.transform(d)
-    model = est.fit(vec)
+    model = est.setProbabilityCol("_p").setRawPredictionCol("_raw").fit(vec)
     from pyspark.ml.functions import vector_to_array
 
     out = model.transform(vec).withColumn("hazard", vector_to_array("_p")[1])
@@ -472,10 +472,11 @@ def propensity(df: DataFrame, label: str, xs: list[str], kind: str = "logistic",
 
     vec = VectorAssembler(inputCols=xs, outputCol="_x").transform(df.na.fill(0.0, xs))
     vec = StandardScaler(inputCol="_x", outputCol="_f", withMean=True).fit(vec).transform(vec)
-    kw = {"featuresCol": "_f", "labelCol": label, "probabilityCol": "_p", "rawPredictionCol": "_raw", "predictionCol": "_pred"}
+    kw = {"featuresCol": "_f", "labelCol": label, "predictionCol": "_pred"}
     est = {"logistic": lambda: LogisticRegression(maxIter=100, tol=1e-10, **kw),
            "forest": lambda: RandomForestClassifier(numTrees=20, maxDepth=5, seed=seed, **kw),
            "boosting": lambda: GBTClassifier(maxIter=20, maxDepth=3, seed=seed, **kw)}[kind]()
+    est = est.setProbabilityCol("_p").setRawPredictionCol("_raw")
     return est.fit(vec).transform(vec).withColumn(name, vector_to_array("_p")[1]).drop("_x", "_f", "_p", "_raw", "_pred")
 
 

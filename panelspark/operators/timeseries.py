@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cols import clip, flag, ladder, mean_of, sd, total
+from ..functions.cols import clip, flag, ladder, mean_of, safe_corr, sd, total
 from ..functions.windows import W, full_window, growth, rows, runs, whole
 
 c = F.col
@@ -19,7 +19,7 @@ def rolling_pooled(df: DataFrame, y: str, x: str, w: int, first: int, last: int,
     lo = F.greatest(c("year"), F.lit(first))
     hi = F.least(c("year") + (w - 1), F.lit(last))
     d = df.where((lo <= hi) & c(x).isNotNull() & c(y).isNotNull()).select(x, y, F.explode(F.sequence(lo, hi)).alias("last_year"))
-    return d.groupBy("last_year").agg(F.count(F.lit(1)).alias("n"), F.corr(y, x).alias("r"),
+    return d.groupBy("last_year").agg(F.count(F.lit(1)).alias("n"), safe_corr(y, x).alias("r"),
                                       F.regr_slope(y, x).alias("slope")).where(c("n") >= min_n)
 
 
@@ -45,7 +45,7 @@ def trend_pack(df: DataFrame, value: str, min_n: int = 3) -> DataFrame:
     d = d.withColumn("third", third).withColumn("_e", c("v") - F.regr_slope("v", "i").over(whole()) * c("i"))
     g = d.groupBy("company_id").agg(
         F.max("n").alias("n"), F.regr_slope("v", "i").alias("slope"), F.regr_intercept("v", "i").alias("intercept"),
-        F.corr("v", "i").alias("_r"), F.sum((c("dv") > 0).cast("int")).alias("_up"), F.sum((c("dv") < 0).cast("int")).alias("_dn"),
+        safe_corr("v", "i").alias("_r"), F.sum((c("dv") > 0).cast("int")).alias("_up"), F.sum((c("dv") < 0).cast("int")).alias("_dn"),
         F.avg("ddv").alias("acceleration"),
         F.stddev_pop("_e").alias("residual_std"),
         *[x for t in range(3) for x in (
@@ -73,7 +73,7 @@ def volatility_pack(df: DataFrame, value: str) -> DataFrame:
     g = d.groupBy("company_id").agg(
         F.max("n").alias("n"), F.stddev_pop("v").alias("std"), F.avg("v").alias("_m"), (F.max("v") - F.min("v")).alias("range"),
         (F.percentile("v", F.lit(0.75)) - F.percentile("v", F.lit(0.25))).alias("iqr"), F.stddev_pop("r").alias("returns_std"),
-        F.stddev_pop(F.when(c("r") < 0, c("r"))).alias("_ds"), F.corr(a, "_pa").alias("_pers"), F.count("r").alias("_nr"))
+        F.stddev_pop(F.when(c("r") < 0, c("r"))).alias("_ds"), safe_corr(a, "_pa").alias("_pers"), F.count("r").alias("_nr"))
     g = g.join(run, "company_id", "left")
     return g.select("company_id", "n", "std", sd("std", F.abs("_m")).alias("cv"), "range", "iqr",
                     F.coalesce(c("returns_std"), F.lit(0.0)).alias("returns_std"), F.coalesce(c("_ds"), F.lit(0.0)).alias("downside_std"),
@@ -104,7 +104,7 @@ def growth_link(df: DataFrame, a: str, b: str) -> DataFrame:
     ga = (c(a) - F.lag(a).over(w)) / F.nullif(F.abs(F.lag(a).over(w)), F.lit(0.0))
     gb = (c(b) - F.lag(b).over(w)) / F.nullif(F.abs(F.lag(b).over(w)), F.lit(0.0))
     g = df.select("company_id", ga.alias("ga"), gb.alias("gb")).groupBy("company_id").agg(
-        F.corr("ga", "gb").alias("r"), (F.avg("ga") - F.avg("gb")).alias("mean_gap"), F.count("ga").alias("n"))
+        safe_corr("ga", "gb").alias("r"), (F.avg("ga") - F.avg("gb")).alias("mean_gap"), F.count("ga").alias("n"))
     return g.select("company_id", "n", _corr0(c("r")).alias("growth_corr"), "mean_gap")
 
 
@@ -121,7 +121,7 @@ def cycle_pack(df: DataFrame, value: str, max_lag: int = 10, min_n: int = 4) ->
     upto = w.rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("_pg", c("_pk") - F.last("_pk", True).over(upto)).withColumn("_tg", c("_tr") - F.last("_tr", True).over(upto))
     g = d.groupBy("company_id").agg(
-        F.max("n").alias("n"), *[F.corr("v", f"_l{k}").alias(f"_c{k}") for k in lags], F.count("_pk").alias("_np"), F.count("_tr").alias("_nt"),
+        F.max("n").alias("n"), *[safe_corr("v", f"_l{k}").alias(f"_c{k}") for k in lags], F.count("_pk").alias("_np"), F.count("_tr").alias("_nt"),
         F.avg("_pg").alias("_pm"), F.stddev_pop("_pg").alias("_ps"), F.avg("_tg").alias("_tm"), F.stddev_pop("_tg").alias("_ts"),
         F.stddev_pop("_e").alias("amplitude"), F.array_sort(F.collect_list(F.struct("i", "_e"))).alias("_es"))
     ac = F.array(*[F.when(F.lit(k) <= F.least(F.floor(c("n") / 2), F.lit(max_lag)), _corr0(c(f"_c{k}"))) for k in lags])
@@ -368,7 +368,7 @@ def peaks(df: DataFrame, value: str, h: int = 1, distance: int = 2) -> DataFrame
 def trend_label(df: DataFrame, value: str, min_n: int = 3) -> DataFrame:
     """volatile (r2 < .3), stable (|slope| < .01) or the slope's sign, with strength."""
     d = indexed(df, value).where(c("n") >= min_n)
-    g = d.groupBy("company_id").agg(F.max("n").alias("n"), F.regr_slope("v", "i").alias("slope"), F.corr("v", "i").alias("_r"), F.corr("v", "p").alias("_ac"),
+    g = d.groupBy("company_id").agg(F.max("n").alias("n"), F.regr_slope("v", "i").alias("slope"), safe_corr("v", "i").alias("_r"), safe_corr("v", "p").alias("_ac"),
                                     F.stddev_pop("v").alias("_s"), F.avg("v").alias("_m"))
     r2 = _corr0(c("_r")) * _corr0(c("_r"))
     g = g.withColumn("r2", r2)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions.cols import ladder, sd
+from ..functions.cols import ladder, safe_corr, sd
 from ..functions.ranks import exact_quantiles, long, quantiles_long, with_ranks
 from ..operators import regression as rg
 from ..operators import stats as st
@@ -229,7 +229,7 @@ def _(spark, sf):
 def _(spark, sf):
     p = d.panel(spark, sf).withColumn("y", sd("operating_profit", "revenue"))
     v = p.select("y", "capex", "rd_expenses", "employees", "inventories").unpivot(["y"], ["capex", "rd_expenses", "employees", "inventories"], "metric", "v")
-    g = v.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.corr("v", "y").alias("r"), F.regr_slope("y", "v").alias("slope"),
+    g = v.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), safe_corr("v", "y").alias("r"), F.regr_slope("y", "v").alias("slope"),
                                 F.regr_intercept("y", "v").alias("intercept"), F.regr_r2("y", "v").alias("r2"))
     return g.withColumn("f_stat", c("r2") * (c("n") - 2) / (1 - c("r2")))
 
