@@ -181,7 +181,7 @@ def two_stage(df: DataFrame, y: str, endog: str, exog: list[str], instruments: l
 
     full, part = rss(zs), rss(["_one", *exog])
     q = len(instruments)
-    f = (part - full) / q / (full / (n - len(zs)))
+    f = (part - full) / q / (full / (n - len(zs))) if full > 0 else math.inf
     fit = IV(["endogenous", "intercept", *exog], beta, cov, f, n)
     if not gmm:
         return fit
