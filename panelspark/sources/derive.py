@@ -27,24 +27,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _dec(c: str, p: int = 18) -> Column:
-    return F.col(c).cast(f"decimal({p},2)")
+def _cents(c: str) -> Column:
+    """Amounts with two decimals as whole hundredths, so that products and sums are integer."""
+    return F.floor(F.col(c) * 100.0 + 0.5)
 
 
-def _thousands(c: str) -> Column:
-    return F.round(F.col(c), 0).cast("double") / 1000.0
+_BASE = 1_000_000
+
+
+def exact_sum(v: Column) -> Column:
+    """Sum of longs that cannot overflow: quotients and remainders are added apart as longs (map-side,
+    generated code) and put together as a decimal once per group."""
+    base = F.lit(_BASE).cast("long")
+    low, hi = v % base, F.sum(F.call_function("div", v, base))
+    return hi.cast("decimal(38,0)") * _BASE + F.sum(low).cast("decimal(38,0)")
+
+
+def _thousands(c: Column, scale: int) -> Column:
+    """Exact sum in 10^-scale units -> whole units, half up -> thousands as a double."""
+    return F.round(c / (10**scale), 0).cast("double") / 1000.0
+
+
+_UNITS = {"gross": 2, "net": 4, "tax": 6, "ret": 2, "open": 2}
 
 
 def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums per order; an order would need some 10^9 lines to overflow a long, and ANSI mode fails loudly then."""
     li = table(spark, sf_dir, "lineitem")
-    ext, disc, tax = _dec("l_extendedprice"), _dec("l_discount", 4), _dec("l_tax", 4)
-    net = ext * (F.lit(1).cast("decimal(4,2)") - disc)
-    zero = F.lit(0).cast("decimal(18,2)")
+    ext, rest = _cents("l_extendedprice"), F.lit(100).cast("long") - _cents("l_discount")
     return li.groupBy("l_orderkey").agg(
-        F.sum(ext).alias("gross"), F.sum(net).alias("net"), F.sum(net * tax).alias("tax"),
-        F.sum(F.when(F.col("l_returnflag") == "R", ext).otherwise(zero)).alias("ret"),
-        F.sum(F.when(F.col("l_linestatus") == "O", ext).otherwise(zero)).alias("open"),
-        F.sum(_dec("l_quantity")).alias("qty"), F.count(F.lit(1)).alias("lines"),
+        F.sum(ext).alias("gross"), F.sum(ext * rest).alias("net"), F.sum(ext * rest * _cents("l_tax")).alias("tax"),
+        F.sum(F.when(F.col("l_returnflag") == "R", ext).otherwise(F.lit(0).cast("long"))).alias("ret"),
+        F.sum(F.when(F.col("l_linestatus") == "O", ext).otherwise(F.lit(0).cast("long"))).alias("open"),
+        F.sum(_cents("l_quantity")).alias("qty"), F.count(F.lit(1)).alias("lines"),
     )
 
 
@@ -101,12 +116,12 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = (
         lines.join(orders, lines.l_orderkey == orders.o_orderkey)
         .groupBy("company_id", "year")
-        .agg(*[F.sum(c).alias(c) for c in ("gross", "net", "tax", "ret", "open", "qty")],
+        .agg(*[exact_sum(F.col(c)).alias(c) for c in (*_UNITS, "qty")],
              F.sum("lines").alias("n_lines"), F.count(F.lit(1)).alias("n_orders"))
     )
     base = base.select(
-        "company_id", "year", *[_thousands(c).alias(c) for c in ("gross", "net", "tax", "ret", "open")],
-        F.col("qty").cast("double").alias("qty"), F.col("n_lines").cast("double").alias("n_lines"),
+        "company_id", "year", *[_thousands(F.col(c), u).alias(c) for c, u in _UNITS.items()],
+        (F.col("qty").cast("double") / 100.0).alias("qty"), F.col("n_lines").cast("double").alias("n_lines"),
         F.col("n_orders").cast("double").alias("n_orders"),
     )
     return base.select("company_id", "year", *[
@@ -184,13 +199,13 @@ mpanel AS (SELECT p.*, e.market, e.nation, e.status, e.start_year, e.end_year, e
 def market_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier x ship year sales with the share of its nation's total."""
     li = table(spark, sf_dir, "lineitem")
-    net = _dec("l_extendedprice") * (F.lit(1).cast("decimal(4,2)") - _dec("l_discount", 4))
+    net = _cents("l_extendedprice") * (F.lit(100).cast("long") - _cents("l_discount"))
     sup = table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("company_id"), F.col("s_nationkey").alias("market"))
     fact = (
         li.groupBy(F.col("l_suppkey").alias("company_id"), F.year("l_shipdate").alias("year"))
-        .agg(F.round(F.sum(net), 0).cast("double").alias("s"))
-        .select("company_id", "year", (F.col("s") / 1000.0).alias("sales"))
+        .agg(exact_sum(net).alias("s"))
+        .select("company_id", "year", _thousands(F.col("s"), 4).alias("sales"))
         .join(sup, "company_id")
     )
     tot = fact.groupBy("market", "year").agg(F.sum("sales").alias("market_size"))
