@@ -241,6 +241,12 @@ def effectiveness(scores: DataFrame) -> DataFrame:
     return scores.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean"), F.stddev_samp("score").alias("std"), F.avg("revenue_change").alias("revenue_change"))
 
 
+def succession_factors(scores: DataFrame, df: DataFrame, cols: list[str]) -> DataFrame:
+    """|corr| of the values in the year before the event with the integration score."""
+    b = df.select("company_id", (c("year") + 1).alias("event_year"), *cols)
+    return importance_by_correlation(scores.select("company_id", "event_year", "score").join(b, ["company_id", "event_year"]), "score", cols, len(cols))
+
+
 def spinoff_success(pp: DataFrame) -> DataFrame:
     """.3 revenue + .25 profit + .25 assets + .2 staff change, clipped, and the risk-adjusted score."""
     z = lambda x: clip(c(x) / 100, -1, 1)

@@ -522,3 +522,20 @@ def factor_importance(cox_table: DataFrame, ml: dict[str, float]) -> DataFrame:
     mx = j.agg(F.max(F.abs("coef")).alias("_c"), F.max("importance").alias("_i"))
     s = 0.4 * F.abs("coef") / c("_c") + 0.4 * c("importance") / c("_i") + 0.2 * flag(c("p") < 0.05)
     return with_totals(j, mx).select("term", "coef", "p", "importance", s.alias("score")).orderBy(F.desc("score"))
+
+
+def correction_effectiveness(df: DataFrame, original: str, corrected: str, alive: str) -> DataFrame:
+    """25 points each: corrected values look normal, survivors and extinct differ, correlation with the
+    original above .5, equal spread of both (Brown-Forsythe F below its 5% level)."""
+    from .stats import levene, normality, t_test
+
+    spark = df.sparkSession
+    jb = normality(df, corrected).first()
+    t = t_test(df, alive, corrected).first()
+    r = df.agg(F.covar_pop(original, corrected).alias("c"), F.stddev_pop(original).alias("a"), F.stddev_pop(corrected).alias("b")).first()
+    corr = r["c"] / (r["a"] * r["b"]) if r["a"] and r["b"] else 0.0
+    both = df.select(F.lit("original").alias("g"), c(original).alias("v")).unionByName(df.select(F.lit("corrected").alias("g"), c(corrected).alias("v")))
+    lv = levene(both, "g", "v")
+    p_t = finish.t_two_sided(t["welch_t"], t["welch_df"])
+    pts = [25.0 if ok else 0.0 for ok in (jb["p"] > 0.05, p_t < 0.05, corr > 0.5, lv["p"] > 0.05)]
+    return spark.createDataFrame([(float(jb["p"]), float(p_t), float(corr), float(lv["p"]), sum(pts))], "normality_p double, t_p double, corr double, levene_p double, score double")
