@@ -42,18 +42,29 @@ def running_totals(df: DataFrame, by: list[str], order: str, sums: list[str]) ->
     return out.drop("_part", *[f"_l_{s}" for s in sums], *[f"_o_{s}" for s in sums])
 
 
-def running_min(df: DataFrame, by: list[str], order: str, value: str, name: str) -> DataFrame:
-    """Minimum of ``value`` up to and including each row, in the same two levels as the totals."""
+def running_extreme(df: DataFrame, by: list[str], order: str, value: str, name: str, largest: bool = True,
+                    inclusive: bool = True) -> DataFrame:
+    """Running maximum or minimum of ``value`` in ``order`` per group, in the same two levels as the totals.
+
+    The maximum of a struct led by the order column is the latest non-null value,
+    which makes this the as-of and previous-row primitive for groups of any size.
+    """
+    agg, pick = (F.max, F.greatest) if largest else (F.min, F.least)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = reliable(
         df.repartitionByRange(parts, *by, order).withColumn("_part", F.spark_partition_id())
     )
     upto = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    tops = placed.groupBy(*by, "_part").agg(F.min(value).alias("_m")).select(
-        *by, "_part", F.min("_m").over(upto).alias("_before"))
-    local = Window.partitionBy(*by, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = placed.withColumn("_l", F.min(value).over(local)).join(tops, [*by, "_part"])
-    return out.withColumn(name, F.least("_l", "_before")).drop("_part", "_l", "_before")
+    tops = placed.groupBy(*by, "_part").agg(agg(value).alias("_m")).select(
+        *by, "_part", agg("_m").over(upto).alias("_before"))
+    end = 0 if inclusive else -1
+    local = Window.partitionBy(*by, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, end)
+    out = placed.withColumn("_l", agg(value).over(local)).join(tops, [*by, "_part"])
+    return out.withColumn(name, pick("_l", "_before")).drop("_part", "_l", "_before")
+
+
+def running_min(df: DataFrame, by: list[str], order: str, value: str, name: str) -> DataFrame:
+    return running_extreme(df, by, order, value, name, largest=False)
 
 
 def value_ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -51,11 +51,10 @@ def did_twfe(df: DataFrame, y: str, controls: list[str] | None = None, periods:
 
 def did_time_varying(df: DataFrame, y: str, start: int) -> DataFrame:
     """For each post period, rows before it and the period itself: 2x2 effect of treated x period."""
-    d = df.where(c(y).isNotNull())
-    d = d.select("treated", c(y).alias("_y"), "year", F.explode(F.when(c("year") >= start, F.array("year")).otherwise(
-        F.sequence(F.lit(start), F.lit(start + 60)))).alias("period"))
     last = df.agg(F.max("year").alias("_l"))
-    d = with_totals(d, last).where(c("period") <= c("_l"))
+    d = with_totals(df.where(c(y).isNotNull()).select("treated", c(y).alias("_y"), "year"), last)
+    periods = F.when(c("year") >= start, F.array("year")).otherwise(F.sequence(F.lit(start), c("_l")))
+    d = d.select("treated", "_y", "year", F.explode(periods).alias("period"))
     d = d.withColumn("after", (c("year") == c("period")).cast("int"))
     return did_2x2(d.withColumnRenamed("_y", y), y, ["period"])
 

@@ -7,7 +7,7 @@ import importlib
 from .registry import CATALOGUE, Query
 
 MODULES = ("metrics", "quality", "clean", "stats", "timeseries", "survival", "causal", "market", "lifecycle",
-           "emergence", "models", "factors", "extinction")
+           "emergence", "models", "factors", "extinction", "events")
 
 
 def catalogue() -> dict[str, Query]:
