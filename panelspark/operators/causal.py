@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import finish
-from ..functions.cols import clip, flag, sd, total, with_totals
+from ..functions.cols import sd, total, with_totals
 from ..functions.ranks import exact_quantiles, long, running_totals
 from ..functions.windows import W, whole
 from ..session import reliable
@@ -336,14 +336,13 @@ def matched_effect(matches: DataFrame, outcomes: DataFrame, unit: str, y: str) -
     return j.agg(F.avg("diff").alias("att"), (F.avg("diff") / (F.stddev_samp("diff") / F.sqrt(F.count("diff").cast("double")))).alias("t"), F.count("diff").alias("n"))
 
 
-def sensitivity(diff_t: float, gammas: list[float], n: int, spark) -> DataFrame:
-    """p-value bound when hidden bias shifts treatment odds by gamma."""
-    rows = []
-    for g in gammas:
-        p = g / (1 + g)
-        z = abs(diff_t) / math.sqrt(n) * math.sqrt(n) - (p - 0.5) * math.sqrt(n) / math.sqrt(p * (1 - p))
-        rows.append((float(g), float(1 - finish.norm_cdf(z))))
-    return spark.createDataFrame(rows, "gamma double, p_bound double")
+def sensitivity(df: DataFrame, treat: str, y: str, gammas: list[float]) -> DataFrame:
+    """Mean difference reduced by the worst case (gamma - 1) / gamma x spread of the outcome; not robust
+    once less than a tenth of the spread remains."""
+    g = df.where(c(y).isNotNull()).agg((F.avg(F.when(c(treat) == 1, c(y))) - F.avg(F.when(c(treat) == 0, c(y)))).alias("base"), F.stddev_pop(y).alias("_s"))
+    d = g.select("base", "_s", F.explode(F.array(*[F.lit(float(x)) for x in gammas])).alias("gamma"))
+    eff = c("base") - (c("gamma") - 1) / c("gamma") * c("_s")
+    return d.select("gamma", "base", eff.alias("effect"), (F.abs(eff) >= 0.1 * c("_s")).alias("robust"))
 
 
 def interference(df: DataFrame, treat: str, by: str) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cols import clip, flag, safe_corr, sd, total, with_totals
-from ..functions.ranks import value_ranks, with_ranks
+from ..functions.cols import clip, flag, safe_corr, sd, with_totals
+from ..functions.ranks import value_ranks
 from ..functions.windows import W
 
 c = F.col

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cols import clip, sd
+from ..functions.cols import clip
 from ..functions.windows import whole, year_lag, years
 
 c = F.col

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cols import clip, flag, ladder, safe_corr, sd, total, with_totals
 from ..functions.ranks import exact_quantiles, value_ranks, with_ranks
-from ..functions.windows import W, growth, rows, whole
+from ..functions.windows import W, growth, rows
 
 c = F.col
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.cols import ladder
 from ..functions.ranks import exact_quantiles
-from ..functions.windows import W
 
 c = F.col
 COLS = ["company_id", "year", "metric", "value", "method", "severity", "confidence", "action"]

@@ -157,32 +157,33 @@ def group_moments(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def anova(df: DataFrame, group: str, value: str) -> dict[str, float]:
-    """One-way and Welch ANOVA with eta squared; k group rows reach the driver."""
-    g = [r for r in group_moments(df, [group], value).collect() if r["n"] > 1]
-    n, k = sum(r["n"] for r in g), len(g)
-    gm = sum(r["n"] * r["mean"] for r in g) / n
-    ssb = sum(r["n"] * (r["mean"] - gm) ** 2 for r in g)
-    ssw = sum((r["n"] - 1) * r["var"] for r in g)
+    """One-way and Welch ANOVA with eta squared; group rows are reduced in Spark, one row reaches the driver."""
+    g = group_moments(df, [group], value).where((c("n") > 1) & (c("var") > 0)).withColumn("_w", c("n") / c("var"))
+    tot = g.agg(F.sum("n").alias("_n"), F.count(F.lit(1)).cast("double").alias("_k"), (F.sum(c("n") * c("mean")) / F.sum("n")).alias("_gm"),
+                F.sum("_w").alias("_sw"), (F.sum(c("_w") * c("mean")) / F.sum("_w")).alias("_wm"))
+    d, dw, q = c("mean") - c("_gm"), c("mean") - c("_wm"), 1 - c("_w") / c("_sw")
+    r = with_totals(g, tot).agg(
+        F.max("_n").alias("n"), F.max("_k").alias("k"), F.sum(c("n") * d * d).alias("ssb"), F.sum((c("n") - 1) * c("var")).alias("ssw"),
+        F.sum(q * q / (c("n") - 1)).alias("lam"), F.sum(c("_w") * dw * dw).alias("num")).first()
+    n, k, ssb, ssw, lam = r["n"], r["k"], r["ssb"], r["ssw"], r["lam"]
     f = ssb / (k - 1) / (ssw / (n - k))
-    w = [r["n"] / r["var"] for r in g]
-    wm = sum(a * r["mean"] for a, r in zip(w, g)) / sum(w)
-    lam = sum((1 - a / sum(w)) ** 2 / (r["n"] - 1) for a, r in zip(w, g))
-    fw = sum(a * (r["mean"] - wm) ** 2 for a, r in zip(w, g)) / (k - 1) / (1 + 2 * (k - 2) / (k * k - 1) * lam)
+    fw = r["num"] / (k - 1) / (1 + 2 * (k - 2) / (k * k - 1) * lam)
     dfw = (k * k - 1) / (3 * lam)
     return {"f": f, "p": finish.f_tail(f, k - 1, n - k), "eta2": ssb / (ssb + ssw), "welch_f": fw, "welch_df": dfw,
-            "welch_p": finish.f_tail(fw, k - 1, dfw), "k": float(k), "n": n}
+            "welch_p": finish.f_tail(fw, k - 1, dfw), "k": k, "n": n}
 
 
 def kruskal(df: DataFrame, group: str, value: str) -> dict[str, float]:
     """Kruskal-Wallis H with tie correction and epsilon squared."""
     r = value_ranks(df, [], value)
     d = df.where(c(value).isNotNull()).join(r.select(value, "avg_rank"), value)
-    g = d.groupBy(group).agg(F.sum("avg_rank").alias("s"), F.count(F.lit(1)).alias("n")).collect()
-    t = r.agg(F.sum(F.pow(c("cnt").cast("double"), F.lit(3.0)) - c("cnt")).alias("t")).first()["t"]
-    n = sum(x["n"] for x in g)
-    h = 12.0 / (n * (n + 1)) * sum(x["s"] ** 2 / x["n"] for x in g) - 3 * (n + 1)
-    h /= 1 - t / (n**3 - n)
-    return {"h": h, "p": finish.chi2_tail(h, len(g) - 1), "epsilon2": h * (n + 1) / (n * n - 1), "n": float(n), "k": float(len(g))}
+    g = d.groupBy(group).agg(F.sum("avg_rank").alias("s"), F.count(F.lit(1)).alias("n"))
+    g = g.agg(F.sum(c("s") * c("s") / c("n")).alias("q"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
+    ties = r.agg(F.sum(F.pow(c("cnt").cast("double"), F.lit(3.0)) - c("cnt")).alias("t"))
+    x = with_totals(g, ties).first()
+    n, k = float(x["n"]), float(x["k"])
+    h = (12.0 / (n * (n + 1)) * x["q"] - 3 * (n + 1)) / (1 - x["t"] / (n**3 - n))
+    return {"h": h, "p": finish.chi2_tail(h, k - 1), "epsilon2": h * (n + 1) / (n * n - 1), "n": n, "k": k}
 
 
 def t_test(df: DataFrame, flag: str, value: str) -> DataFrame:

@@ -175,11 +175,10 @@ def _(spark, sf):
     return h.matched_effect(h.match_nearest(x, "treat", "score", "company_id", 0.05, 3), x, "company_id", "duration")
 
 
-@query("hidden_bias_bounds", "H19", "", "gamma p_bound")
+@query("hidden_bias_bounds", "H19", "robust", "gamma base effect", f"""WITH {SC}, g AS (SELECT avg(CASE WHEN treat=1 THEN duration END)-avg(CASE WHEN treat=0 THEN duration END) AS base, stddev_pop(duration) AS s FROM sc)
+SELECT gamma, base, base-(gamma-1)/gamma*s AS effect, abs(base-(gamma-1)/gamma*s)>=.1*s AS robust FROM g, (SELECT unnest([1.0,1.5,2.0]) AS gamma)""", digits=4)
 def _(spark, sf):
-    x = scored(spark, sf)
-    r = h.matched_effect(h.match_nearest(x, "treat", "score", "company_id", 0.05), x, "company_id", "duration").first()
-    return h.sensitivity(r["t"], [1.0, 1.5, 2.0], r["n"], spark)
+    return h.sensitivity(scored(spark, sf), "treat", "duration", [1.0, 1.5, 2.0])
 
 
 @query("interference_check", "H19", "", "share_std lo hi", f"WITH {SC.replace('company_id, market, balance, duration', 'company_id, market, nation, balance, duration').replace('USING (company_id, market, balance)', 'USING (company_id, market, nation, balance)')}, g AS (SELECT nation, avg(treat) AS s FROM sc GROUP BY 1) SELECT stddev_samp(s) AS share_std, min(s) AS lo, max(s) AS hi FROM g")

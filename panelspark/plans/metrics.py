@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from ..functions.cols import sd
-from ..functions.windows import growth
 from ..operators import metrics as m
 from ..sources import derive as d
 from .registry import query

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.cols import sd
 from ..functions.windows import W
 from ..operators import cluster as k
 from ..operators import evaluation as x
@@ -286,20 +285,16 @@ def _(spark, sf):
 
 # ---- events (the batch form of the stream operators) ------------------------------------------
 
-def stamped(spark, sf):
-    return d.table(spark, sf, "events").withColumn("ts", c("ts").cast("timestamp"))
-
-
 @query("event_counts", "ST2", "day event_type n", "total", "SELECT cast(ts AS date) AS day, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1,2", digits=4)
 def _(spark, sf):
-    return s.counts(stamped(spark, sf), ["event_type"]).withColumn("day", F.to_date("start"))
+    return s.counts(d.table(spark, sf, "events"), ["event_type"]).withColumn("day", F.to_date("start"))
 
 
 @query("event_sessions", "ST4", "user_id n", "minutes", """WITH a AS (SELECT *, CASE WHEN ts-lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events), b AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM a)
 SELECT user_id, count(*) AS n, epoch(max(ts)-min(ts))/60.0 AS minutes FROM b GROUP BY user_id, k""", digits=4)
 def _(spark, sf):
-    e = s.sessions(stamped(spark, sf), "user_id")
-    return e.select("user_id", "n", ((c("end").cast("double") - c("start").cast("double")) / 60 - 30).alias("minutes"))
+    e = s.sessions(d.table(spark, sf, "events"), "user_id")
+    return e.select("user_id", "n", (F.timestamp_diff("MICROSECOND", c("start"), c("end")) / 6e7 - 30).alias("minutes"))
 
 
 @query("current_status", "ST3", "user_id status n", "", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, count(*) AS n FROM events GROUP BY 1")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.cols import ladder, safe_corr, sd
-from ..functions.ranks import exact_quantiles, long, quantiles_long, with_ranks
+from ..functions.ranks import exact_quantiles, long, with_ranks
 from ..operators import regression as rg
 from ..operators import stats as st
 from ..sources import derive as d
