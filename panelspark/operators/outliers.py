@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cols import ladder
 from ..functions.ranks import exact_quantiles
+from ..session import reliable
 
 c = F.col
 COLS = ["company_id", "year", "metric", "value", "method", "severity", "confidence", "action"]
@@ -51,7 +52,8 @@ def zscore(v: DataFrame, by: list[str], t: float = 3.0) -> DataFrame:
 
 
 def modified_zscore(v: DataFrame, by: list[str], t: float = 3.5) -> DataFrame:
-    """0.6745 (x - median) / MAD, both medians exact."""
+    """0.6745 (x - median) / MAD, both medians exact; the input is read four times, so it is written once."""
+    v = reliable(v)
     med = exact_quantiles(v, by, "value", {"med": 0.5}).drop("n")
     j = v.join(med, by).withColumn("_d", F.abs(c("value") - c("med")))
     mad = exact_quantiles(j, by, "_d", {"mad": 0.5}).drop("n")

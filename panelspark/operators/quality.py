@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cols import clip, flag, sd, total, with_totals
-from ..functions.ranks import ks_distance, long, quantiles_long
+from ..functions.ranks import exact_quantiles, ks_distance, long, quantiles_long
 from ..functions.windows import W
+from ..session import reliable
 
 c = F.col
 FINDING = ["company_id", "year", "rule", "severity", "field", "value"]
@@ -252,8 +253,9 @@ def imputation_quality(before: DataFrame, after: DataFrame, cols: list[str]) ->
     key = ["company_id", "year"]
     b = long(before, key, cols).withColumnRenamed("value", "old")
     a = long(after, key, cols).withColumnRenamed("value", "new")
-    j = b.join(a, [*key, "metric"])
-    q = quantiles_long(before, [], cols, {"q1": 0.25, "q3": 0.75})
+    # three passes follow: write the joined table once instead of deriving both sides again
+    j = reliable(b.join(a, [*key, "metric"]))
+    q = exact_quantiles(j, ["metric"], "old", {"q1": 0.25, "q3": 0.75})
     # one row per column of the panel
     j = j.join(F.broadcast(q.select("metric", "q1", "q3")), "metric")
     iqr = 1.5 * (c("q3") - c("q1"))
