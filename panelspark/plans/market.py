@@ -191,7 +191,7 @@ def _(spark, sf):
     return k.strategy_dimensions(d.competition(spark, sf))
 
 
-@query("competitive_strength", "K21 R2", "company_id year position", "strength", f"WITH {DIMS}, r AS (SELECT company_id, year, " + "+".join(
+@query("competitive_strength", "K21 R2 G9", "company_id year position", "strength", f"WITH {DIMS}, r AS (SELECT company_id, year, " + "+".join(
     f"(rank() OVER (PARTITION BY market ORDER BY {x})+(count(*) OVER (PARTITION BY market, {x})-1)/2.0)/count(*) OVER (PARTITION BY market)*.5" for x in ("innovation", "efficiency"))
     + " AS strength FROM dm) SELECT *, CASE WHEN strength>=.8 THEN 'leader' WHEN strength>=.6 THEN 'challenger' WHEN strength>=.4 THEN 'follower' ELSE 'niche' END AS position FROM r")
 def _(spark, sf):

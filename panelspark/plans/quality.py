@@ -171,7 +171,7 @@ def _(spark, sf):
     return q.completeness(p, ["inventories", "accounts_receivable"], 5)
 
 
-@query("dedup_first", "V16", "user_id event_type event_id", "value", """SELECT user_id, event_type, event_id, value FROM events
+@query("dedup_first", "V16 ST1", "user_id event_type event_id", "value", """SELECT user_id, event_type, event_id, value FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1""")
 def _(spark, sf):
     e = d.table(spark, sf, "events").select("user_id", "event_type", "event_id", "value", "ts")
@@ -254,3 +254,16 @@ def _(spark, sf):
   cast(dense_rank() OVER (ORDER BY year) AS int) AS period_id FROM panel""")
 def _(spark, sf):
     return al.panel_ids(d.panel(spark, sf).select("company_id", "year"))
+
+
+@query("duplicate_keys", "IO8", "user_id event_type n", "", "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1,2 HAVING count(*) > 1")
+def _(spark, sf):
+    from ..sources.io import unique_violations
+
+    return unique_violations(d.table(spark, sf, "events"), ["user_id", "event_type"])
+
+
+@query("category_export_rows", "IO7 J11", "company_id year", "revenue", "SELECT company_id, year, revenue FROM panel WHERE company_id IN (SELECT company_id FROM entity WHERE market='BUILDING')")
+def _(spark, sf):
+    keep = d.entity(spark, sf).where("market = 'BUILDING'").select("company_id")
+    return d.panel(spark, sf).join(keep, "company_id", "left_semi")

@@ -13,7 +13,7 @@ EX = """x AS (SELECT {g} duration, sum(event) AS d, count(*) AS e FROM surv GROU
 EXM = EX.format(g="market,", p="PARTITION BY market")
 
 
-@query("kaplan_meier_by_market", "U4 U7", "market duration d n", "s variance lower upper", f"""
+@query("kaplan_meier_by_market", "U4 U7 J7", "market duration d n", "s variance lower upper", f"""
 WITH {EXM}, s AS (SELECT market, duration, cast(d AS bigint) AS d, cast(n AS bigint) AS n, CASE WHEN min(1-d*1.0/n) OVER w <= 0 THEN 0 ELSE exp(sum(ln(CASE WHEN d<n THEN 1-d*1.0/n END)) OVER w) END AS s,
   sum(CASE WHEN n>d THEN d*1.0/(n*(n-d)) END) OVER w AS gw FROM n WINDOW w AS (PARTITION BY market ORDER BY duration)), v AS (SELECT *, s*s*gw AS variance, s>0 AND s<1 AS ok FROM s)
 SELECT market, duration, d, n, s, variance, CASE WHEN ok THEN 1/(1+exp(-(ln(s/(1-s))-1.959963984540054*sqrt(variance)/(s*(1-s))))) ELSE s END AS lower,
