@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..session import reliable
 
-#: A word is a run of characters other than space and the ASCII control white space.
-WORD = r"[^\x20\x09-\x0D]+"
+#: Words are what stands between runs of space and ASCII control white space.
+SPACE = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,10 +41,8 @@ def kept_rows(df: DataFrame) -> DataFrame:
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), 0)
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE, -1), "")
 
 
 def n_words(text: Column) -> Column:
-    """Words of a text, counted without keeping them: word starts are white space followed by something else."""
-    spaced = F.concat(F.lit(" "), F.coalesce(text, F.lit("")))
-    return F.regexp_count(spaced, F.lit(r"[\x20\x09-\x0D](?=[^\x20\x09-\x0D])")).cast("long")
+    return F.size(words(text)).cast("long")

@@ -21,7 +21,6 @@ from .common import fresh, words
 CUTOFFS = {
     "symbols_per_word": (5.0, 3.0, 2.0, 1.5, 1.2, 1.0, 0.8, 0.6, 0.45, 0.3, 0.2, 0.1),
     "shouts_per_word": (3.0, 2.0, 1.5, 1.2, 1.0, 0.8, 0.6, 0.4, 0.3, 0.2, 0.1),
-    "capital_share": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2),
     "dup_line_share": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1),
     "repeat_share": (0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.05),
 }
@@ -61,14 +60,12 @@ def measured(df: DataFrame, text: str = "text", into: str = "m") -> DataFrame:
         F.coalesce(F.size(covered), F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size(lines).cast("long").alias("n_lines"),
         count(r"[^!]+").alias("n_shouts"),
-        count(r"[^\p{Lu}]+").alias("n_capitals"),
     ))
     per = lambda x, y: F.col(f"{b}.{x}") / F.greatest(F.col(f"{b}.{y}"), F.lit(1))
     return out.withColumn(into, F.struct(
         f"{b}.n_words", f"{b}.word_chars", f"{b}.n_symbols", f"{b}.n_dup_lines", f"{b}.n_repeat_words",
         per("n_symbols", "n_words").alias("symbols_per_word"),
         per("n_shouts", "n_words").alias("shouts_per_word"),
-        per("n_capitals", "word_chars").alias("capital_share"),
         per("n_dup_lines", "n_lines").alias("dup_line_share"),
         per("n_repeat_words", "n_words").alias("repeat_share"),
     )).drop(w, h, s, b)
@@ -119,14 +116,14 @@ def calibrate(scored: DataFrame, stratum: str, good: str, risk: float = 0.05, er
              for r, cs in CUTOFFS.items()]
     counts = rows.select("stratum", "good", F.explode(F.array(*steps)).alias("x")).groupBy("stratum", "x.rule", "x.rejected_by").agg(
         F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
-    grid = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cutoff"))
+    grid = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(i).alias("step"), F.lit(len(cs) - i).alias("least"), F.lit(c).alias("cutoff"))
                      for r, cs in CUTOFFS.items() for i, c in enumerate(cs)])
-    # a cutoff i rejects the rows that more than i cutoffs reject
+    # a row that k of a rule's cutoffs reject is rejected by the k strictest, which come last
     cells = counts.select("*", F.explode(F.filter(grid, lambda g: g["rule"] == F.col("rule"))).alias("g")).groupBy(
         "stratum", "rule", F.col("g.step").alias("step"), F.col("g.cutoff").alias("cutoff")).agg(
         F.sum("good").alias("n_good"), F.sum("bad").alias("n_bad"),
-        F.sum(F.when(F.col("rejected_by") > F.col("g.step"), F.col("good")).otherwise(0)).alias("good_lost"),
-        F.sum(F.when(F.col("rejected_by") > F.col("g.step"), F.col("bad")).otherwise(0)).alias("bad_caught"))
+        F.sum(F.when(F.col("rejected_by") >= F.col("g.least"), F.col("good")).otherwise(0)).alias("good_lost"),
+        F.sum(F.when(F.col("rejected_by") >= F.col("g.least"), F.col("bad")).otherwise(0)).alias("bad_caught"))
     cells = cells.where("n_good > 0")
     strata = rows.where("good = 1").select("stratum").distinct().count()
     level = error / max(1, strata * len(CUTOFFS))
