@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import neardup, quality
 from .common import kept_rows, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     cutoffs = quality.calibrate(quality.labelled(rows, table(spark, sf_dir, "labels")), "stratum", "_good")
     return rows.select("doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words",
                        quality.base_failed().alias("base_failed"), quality.verdict(rows, cutoffs, "stratum").alias("kept"))
+
+
+@registered
+def op5_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
