@@ -52,8 +52,9 @@ def measured(df: DataFrame, text: str = "text", into: str = "m") -> DataFrame:
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     count = lambda keep: F.length(F.regexp_replace(t, keep, "")).cast("long")
     (b,) = fresh(df, "_base")
+    # the row number (always 0 or more) keeps the optimizer from repeating these expressions inside later filters
     out = out.withColumn(b, F.struct(
-        n.cast("long").alias("n_words"),
+        F.when(F.monotonically_increasing_id() >= 0, n).cast("long").alias("n_words"),
         F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("word_chars"),
         count(r"[^#*$%&|<>]+").alias("n_symbols"),
         F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0].cast("long").alias("n_dup_lines"),
