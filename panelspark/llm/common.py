@@ -46,3 +46,8 @@ def words(text: Column) -> Column:
 
 def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
+
+
+def settled(c: Column) -> Column:
+    """``c``, computed once per row: the row number (0 or more) keeps the optimizer from copying it into lambdas."""
+    return F.when(F.monotonically_increasing_id() >= 0, c)
