@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, licenses, mixing, neardup, packing, quality, repeats, secrets
+from . import fingerprints, licenses, mixing, neardup, packing, pages, quality, repeats, secrets
 from .common import kept_rows, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,8 @@ def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removed(table(spark, sf_dir, "documents"))
+
+
+@registered
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
