@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, licenses, mixing, neardup, packing, pages, quality, repeats, secrets
+from . import fingerprints, licenses, mixing, neardup, packing, pages, quality, repeats, secrets, toxicity
 from .common import kept_rows, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,9 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@registered
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.scored(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
