@@ -2,7 +2,7 @@
 
 A word's input is the sum of its own vector (words met often in training) and the mean vector of its character
 3- to 5-grams, ends marked.  Two GRUs read a window of WINDOW words in both directions, attention pools their states,
-and a logistic unit scores the window.  Windows overlap by half and cover every whole text; a document's score is its
+and a logistic unit scores the window.  Windows overlap by a quarter and cover every whole text; a document's score is its
 highest window's, mapped to a probability on training documents held back for that.  Labels are given per document,
 so training picks the windows: the most suspicious of each document, first by log-odds, then by the model itself.
 """
@@ -10,7 +10,6 @@ so training picks the windows: the most suspicious of each document, first by lo
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,8 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import fresh
 
-WINDOW, STRIDE = 32, 16
-DIM, HIDDEN, GRAMS, BUCKETS = 12, 8, 12, 1 << 15
+WINDOW, STRIDE = 32, 24
+DIM, HIDDEN, BUCKETS = 12, 6, 1 << 15
+#: (length, place) of the character grams of a word.
+GRAMS = tuple((n, i) for n in (3, 4, 5) for i in range(4))
 #: Bounded training sample: so many documents of each label, by hash, of at most so many characters.
 TOXIC_DOCS, CLEAN_DOCS, TRAIN_CHARS = 1500, 3000, 20_000
 #: Words whose inputs a worker keeps.
@@ -34,11 +35,20 @@ def words(text: str) -> list[str]:
     return WORDS.findall(text.lower())
 
 
-def grams(word: str) -> list[int]:
-    """Hash buckets of a word's character grams (the first GRAMS of them by length, then place)."""
-    w = f"^{word}$"
-    out = [zlib.crc32(w[i:i + n].encode()) % BUCKETS for n in (3, 4, 5) for i in range(min(4, len(w) - n + 1))]
-    return out[:GRAMS] or [zlib.crc32(w.encode()) % BUCKETS]
+def gram_table(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash buckets of each word's character grams (of its bytes, ends marked; BUCKETS where it has none) and their number."""
+    raw = [f"^{w}$".encode() for w in vocabulary]
+    size = np.fromiter(map(len, raw), np.int64, len(raw))
+    data = np.frombuffer(b"".join(raw) + b"\0" * 8, np.uint8).astype(np.uint32)
+    start = np.cumsum(size) - size
+    out = np.full((len(raw), len(GRAMS)), BUCKETS, np.int64)
+    for k, (n, i) in enumerate(GRAMS):
+        at = np.flatnonzero(size >= n + i)
+        h = np.full(len(at), n, np.uint32)
+        for j in range(n):
+            h = (h ^ data[start[at] + i + j]) * np.uint32(16777619)
+        out[at, k] = (h ^ (h >> 15)) % BUCKETS
+    return out, np.maximum((out < BUCKETS).sum(axis=1), 1).astype(np.float32)
 
 
 def window_starts(n: int) -> list[int]:
@@ -60,9 +70,6 @@ class Network:
         self.p["word"][0] = 0
         self.p["gram"][BUCKETS] = 0
 
-    def codes(self, w: str) -> tuple[int, list[int]]:
-        return self.vocabulary.get(w, 0), grams(w)
-
     def vectors(self, ids: np.ndarray, gram: np.ndarray, count: np.ndarray) -> np.ndarray:
         return self.p["word"][ids] + self.p["gram"][gram].sum(axis=1) / count[:, None]
 
@@ -135,12 +142,7 @@ class Network:
 
 
 def _coded(net: Network, vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ids, gram, count = np.zeros(len(vocabulary), np.int64), np.full((len(vocabulary), GRAMS), BUCKETS, np.int64), np.ones(len(vocabulary), np.float32)
-    for i, w in enumerate(vocabulary):
-        ids[i], g = net.codes(w)
-        gram[i, :len(g)] = g
-        count[i] = len(g)
-    return ids, gram, count
+    return np.fromiter((net.vocabulary.get(w, 0) for w in vocabulary), np.int64, len(vocabulary)), *gram_table(vocabulary)
 
 
 class Scorer:
@@ -185,9 +187,9 @@ class Scorer:
                 rows[k:k + m] = np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE]
                 k += m
         out = np.zeros(len(rows), np.float32)
-        for s in range(0, len(rows), 2048):
-            place = rows[s:s + 2048].T
-            out[s:s + 2048] = self.net.run(self.inputs[:, place], (place > 0).astype(np.float32))
+        for s in range(0, len(rows), 1024):
+            place = rows[s:s + 1024].T
+            out[s:s + 1024] = self.net.run(self.inputs[:, place], (place > 0).astype(np.float32))
         return np.split(out, np.cumsum(counts)[:-1]) if counts else []
 
     def scores(self, texts: list[str]) -> list[float]:
@@ -210,7 +212,7 @@ class Scorer:
         return out
 
 
-def trained(texts: list[str], labels: list[int], rounds: int = 3, epochs: int = 2, seed: int = 0) -> Scorer:
+def trained(texts: list[str], labels: list[int], rounds: int = 2, epochs: int = 2, seed: int = 0) -> Scorer:
     """Fit on whole documents with 0/1 labels; every fourth is held back for the map to probabilities."""
     docs = [words(t) for t in texts]
     y = np.array(labels, np.float32)
@@ -222,23 +224,26 @@ def trained(texts: list[str], labels: list[int], rounds: int = 3, epochs: int =
         scorer.slope, scorer.shift = 0.0, -4.0
         return scorer
     # log-odds of words and grams over documents start the first component of their vectors
-    seen = [Counter(), Counter()]
+    known = sorted({w for d in docs for w in d})
+    index = {w: j for j, w in enumerate(known)}
+    ids, gram, count = _coded(net, known)
+    coded = [np.fromiter(map(index.__getitem__, d), np.int64, len(d)) for d in docs]
     total = [1 + float((y[fit] == k).sum()) for k in (0, 1)]
-    for d, t, f in zip(docs, y, fit):
-        if f:
-            own = set(d)
-            seen[int(t)].update(("w", net.vocabulary[w]) for w in own if w in net.vocabulary)
-            seen[int(t)].update(("g", g) for g in {g for w in own for g in grams(w)})
-    for key in {*seen[0], *seen[1]}:
-        odds = np.log((seen[1][key] + 0.5) / total[1]) - np.log((seen[0][key] + 0.5) / total[0])
-        odds *= min(1.0, (seen[0][key] + seen[1][key]) / 10)
-        net.p["word" if key[0] == "w" else "gram"][key[1], 0] = 0.5 * odds
+    for name, of, size in (("word", ids[:, None], len(net.vocabulary) + 1), ("gram", gram, BUCKETS + 1)):
+        seen = np.zeros((2, size))
+        for c, t, f in zip(coded, y, fit):
+            if f:
+                seen[int(t), np.unique(of[c])] += 1
+        odds = np.log((seen[1] + 0.5) / total[1]) - np.log((seen[0] + 0.5) / total[0])
+        net.p[name][:, 0] = 0.5 * odds * np.minimum(1.0, seen.sum(axis=0) / 10)
+    net.p["word"][0] = 0
+    net.p["gram"][BUCKETS] = 0
+    hint = net.p["word"][ids, 0] + net.p["gram"][gram, 0].sum(axis=1) / count
     rng, memory = np.random.default_rng(seed), {}
     positive, negative = np.flatnonzero(fit & (y == 1)), np.flatnonzero(fit & (y == 0))
     for k in range(rounds):
         picked: list[tuple[int, int, float]] = []
-        logits = scorer.window_logits(docs) if k else [np.array([max((net.p["word"][net.vocabulary.get(w, 0), 0] + np.mean([net.p["gram"][g, 0] for g in grams(w)]))
-                                                                      for w in d[s:s + WINDOW]) for s in window_starts(len(d))]) if d else np.zeros(0) for d in docs]
+        logits = scorer.window_logits(docs) if k else [np.array([hint[c[s:s + WINDOW]].max() for s in window_starts(len(c)) if len(c)]) for c in coded]
         for i in positive:
             if len(logits[i]):
                 picked.append((i, int(logits[i].argmax()) * STRIDE, 1.0))
@@ -250,13 +255,12 @@ def trained(texts: list[str], labels: list[int], rounds: int = 3, epochs: int =
             rng.shuffle(picked)
             for s in range(0, len(picked), 64):
                 batch = picked[s:s + 64]
-                vocabulary = sorted({w for i, at, _ in batch for w in docs[i][at:at + WINDOW]})
-                index = {w: j for j, w in enumerate(vocabulary)}
-                place, live = np.zeros((WINDOW, len(batch)), np.int64), np.zeros((WINDOW, len(batch)), np.float32)
+                place, live = np.full((WINDOW, len(batch)), -1), np.zeros((WINDOW, len(batch)), np.float32)
                 for b, (i, at, _) in enumerate(batch):
-                    own = docs[i][at:at + WINDOW]
-                    place[: len(own), b], live[: len(own), b] = [index[w] for w in own], 1
-                net.step(*_coded(net, vocabulary), place, live, np.array([t for *_, t in batch], np.float32), 0.05, memory)
+                    own = coded[i][at:at + WINDOW]
+                    place[: len(own), b], live[: len(own), b] = own, 1
+                here, place = np.unique(place, return_inverse=True)
+                net.step(ids[here], gram[here], count[here], place.reshape(WINDOW, len(batch)), live, np.array([t for *_, t in batch], np.float32), 0.05, memory)
         scorer.number, scorer.inputs = {}, scorer.inputs[:, :0]
     held = [i for i in np.flatnonzero(~fit) if docs[i]]
     top = np.array([x.max() for x in scorer.window_logits([docs[i] for i in held])], np.float64)
