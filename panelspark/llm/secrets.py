@@ -93,9 +93,10 @@ def trigram_query(pattern: str) -> Query:
                     texts = {""}
             elif name in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] == 0 and arg[1] == 1 and len(texts) <= 32:
                 more, q = walk(arg[2], texts, everything)
-                texts = texts | more if q == everything else {""}
-                if q != everything:
-                    query = _both(query, everything)
+                if q == everything and more != {""}:
+                    texts = texts | more
+                else:  # something other than a literal may stand here: the literal before it ends
+                    query, texts = _both(query, closed(texts)), {""}
             else:
                 query, texts = _both(query, closed(texts)), {""}
         return texts, query
