@@ -148,7 +148,8 @@ def mixture(rows: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
         F.sequence((F.col("at") / block).cast("long"), ((F.col("cum_size") - 1) / block).cast("long"))).alias("block"))
     piece = piece.withColumn("from", F.greatest("at", F.col("block") * block)).withColumn(
         "to", F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block))
-    hits = piece.join(drawn, ["number", "block"])
+    # the planner takes the slots to be as few as the shards: they must not be broadcast
+    hits = piece.join(drawn.hint("merge"), ["number", "block"])
     # the last slot of a source is cut
     upto = F.when((F.col("slot") == F.col("slots") - 1) & (F.col("last") > 0), F.least("to", F.col("block") * block + F.col("last"))).otherwise(F.col("to"))
     slices = hits.withColumn("n", upto - F.col("from")).where("n > 0").select(
