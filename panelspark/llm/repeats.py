@@ -148,18 +148,20 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) ->
     digest = reliable(own.mapInArrow(_digest(length), f"doc_id {kind}, h long, n long, sha string, anchors array<struct<a:bigint,c:bigint,lo:bigint,hi:bigint>>"))
     seen = digest.select("doc_id", "h", F.explode("anchors").alias("x")).select("doc_id", "h", "x.*")
     place = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "h", "lo")
-    contexts = reliable(seen.groupBy("a", "c").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct(place.alias("place"), "hi")).alias("at")))
-    several = contexts.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    kinds = seen.groupBy("a", "c").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct(place.alias("place"), "hi")).alias("at"))
+    several = kinds.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    # most anchors are met once: they end here
+    contexts = reliable(kinds.join(several, "a", "left").where("times > 1 or kinds > 1"))
     twice = contexts.where("times > 1").select("a", "c", F.col("at.place").alias("first_place"))
     settled = seen.join(twice, ["a", "c"])
     if keep_first:
         settled = settled.where(place > F.col("first_place"))
     runs = settled.select("doc_id", "h", "lo", (F.col("hi") + length).alias("end"))
 
-    examples = contexts.join(several, "a").select("a", F.col("at.place.doc_id").alias("e_id"), F.col("at.place.h").alias("e_h"), F.struct(
+    examples = contexts.where("kinds > 1").select("a", F.col("at.place.doc_id").alias("e_id"), F.col("at.place.h").alias("e_h"), F.struct(
         "a", F.col("at.place.lo").alias("lo"), F.col("at.hi").alias("hi"), (F.col("kinds") > HOT).alias("hot")).alias("x"))
     wanted = examples.groupBy("e_id", "e_h").agg(F.collect_list("x").alias("wanted"))
-    found = own.join(wanted, F.col("doc_id").eqNullSafe(F.col("e_id")) & (F.col("h") == F.col("e_h"))).dropDuplicates(["e_id", "e_h"]).select("doc_id", "h", "text", "wanted")
+    found = own.join(wanted, F.col("doc_id").eqNullSafe(F.col("e_id")) & (F.col("h") == F.col("e_h"))).select("doc_id", "h", "text", "wanted")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -172,11 +174,13 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) ->
                                               pa.array([r[2] for r in rows], pa.bool_()), pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.binary())],
                                              ["doc_id", "h", "a", "hot", "lo", "bytes"])
 
-    pieces = reliable(found.mapInArrow(cut, f"doc_id {kind}, h long, a long, hot boolean, lo long, bytes binary"))
+    # equal rows of the table give equal pieces, which count once
+    pieces = found.mapInArrow(cut, f"doc_id {kind}, h long, a long, hot boolean, lo long, bytes binary")
     bucket = F.pmod(F.col("a"), F.lit(16 * partitions(docs.sparkSession)))
 
     def match(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         # rows of one anchor stay together; a bucket is worked off in slices of whole anchors
+        b = b.drop_duplicates(["a", "doc_id", "h", "lo"])
         b = b.assign(_none=b["doc_id"].notna()).sort_values(["a", "_none", "doc_id", "h", "lo"]).reset_index(drop=True)
         size = b["bytes"].str.len().to_numpy()
         last = np.flatnonzero(b["a"].to_numpy()[1:] != b["a"].to_numpy()[:-1]) + 1
@@ -207,7 +211,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) ->
 
     shape = f"doc_id {kind}, h long, lo long, end long"
     runs = runs.unionByName(pieces.where("not hot").withColumn("bucket", bucket).groupBy("bucket").applyInPandas(match, shape))
-    strings = pieces.where("hot").mapInPandas(hashed, f"doc_id {kind}, h long, a long, k long, lo long")
+    strings = pieces.where("hot").mapInPandas(hashed, f"doc_id {kind}, h long, a long, k long, lo long").distinct()
     again = strings.groupBy("a", "k").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("first_place")).where("times > 1")
     more = strings.join(again, ["a", "k"])
     if keep_first:
