@@ -83,7 +83,12 @@ def value_ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def with_ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Attach the rank columns of ``value_ranks`` to every row with a value."""
+    """Attach the rank columns of ``value_ranks`` to every row with a value.
+
+    Rows and ranks read one written input: a second evaluation may give sums of doubles other last bits, and the
+    join on the value would lose those rows.
+    """
+    df = reliable(df)
     return df.join(value_ranks(df, by, value), [*by, value])
 
 

@@ -243,14 +243,14 @@ def match_nearest(df: DataFrame, treat: str, score: str, unit: str, caliper: flo
     return j.withColumn("rank", F.row_number().over(w)).where(c("rank") <= k).select("treated", "control", "distance", "rank")
 
 
-def match_without_replacement(df: DataFrame, treat: str, score: str, unit: str, caliper: float | None = None, max_rounds: int = 200) -> DataFrame:
+def match_without_replacement(df: DataFrame, treat: str, score: str, unit: str, caliper: float | None = None) -> DataFrame:
     """Rounds of nearest match: a control keeps its closest treated unit, the others try the remaining controls.
 
     Each round matches at least the globally closest pair, so it ends; lineage is cut every round.
     """
     left = df.select(c(unit).alias("id"), c(score).alias("s"), (c(treat) == 1).cast("int").alias("t"))
     done = None
-    for _ in range(max_rounds):
+    while True:
         m = match_nearest(left, "t", "s", "id", caliper)
         m = m.groupBy("control").agg(F.min_by(F.struct("treated", "distance"), F.struct("distance", "treated")).alias("_b")).select("control", "_b.*")
         m = reliable(m)

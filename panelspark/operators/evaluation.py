@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import reliable
 from ..functions.cols import clip, flag, safe_corr, sd, with_totals
 from ..functions.ranks import value_ranks
 from ..functions.windows import W
@@ -38,6 +39,7 @@ def classification_metrics(df: DataFrame, y: str, p: str, cut: float = 0.5) -> D
     pos, hit = c(y) == 1, c(p) >= cut
     g = d.agg(F.sum((pos & hit).cast("double")).alias("tp"), F.sum((~pos & hit).cast("double")).alias("fp"), F.sum((pos & ~hit).cast("double")).alias("fn"),
               F.sum((~pos & ~hit).cast("double")).alias("tn"), F.avg((c(p) - c(y)) * (c(p) - c(y))).alias("brier"))
+    d = reliable(d)
     r = value_ranks(d, [], p).select(p, "avg_rank")
     a = d.join(r, p).agg(F.sum(F.when(pos, c("avg_rank"))).alias("_r"))
     m, n = c("tp") + c("fn"), c("fp") + c("tn")

@@ -47,15 +47,15 @@ def density(edges: DataFrame, n_nodes: DataFrame) -> DataFrame:
     return with_totals(edges.agg(F.count(F.lit(1)).alias("edges")), n).withColumn("density", 2 * c("edges") / F.nullif(c("n") * (c("n") - 1), F.lit(0.0)))
 
 
-def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """Connected components by minimum label with label jumping; lineage is cut every round.
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components by minimum label with label jumping, until nothing changes; lineage is cut every round.
 
     Labels are combined with min on the map side, so a hub never gathers its
     neighbours in one task.
     """
     e = reliable(both_ways(edges).select("src", "dst"))
     lab = reliable(e.groupBy(c("src").alias("node")).agg(F.least(F.min("dst"), F.min("src")).alias("label")))
-    for _ in range(max_rounds):
+    while True:
         near = e.join(lab, e.dst == c("node")).groupBy("src").agg(F.min("label").alias("_m"))
         nxt = lab.join(near, lab.node == near.src, "left").select("node", F.least(c("label"), F.coalesce("_m", "label")).alias("label"))
         # jump: take the label of the label
@@ -64,8 +64,7 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         changed = nxt.join(lab.withColumnRenamed("label", "_o"), "node").where(c("label") != c("_o")).limit(1).count()
         lab = nxt
         if changed == 0:
-            break
-    return lab
+            return lab
 
 
 def triangles(edges: DataFrame) -> DataFrame:

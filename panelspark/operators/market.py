@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import reliable
 from ..functions.cols import clip, flag, ladder, safe_corr, sd, total, with_totals
 from ..functions.ranks import exact_quantiles, value_ranks, with_ranks
 from ..functions.windows import W, growth, rows
@@ -22,7 +23,7 @@ def top_k(df: DataFrame, by: list[str], value: str, k: int, entity: str = "compa
     A first cut per (group, hash bucket) keeps k rows per bucket, so the final
     window sees at most buckets x k rows of even the hottest group.
     """
-    buckets = 64
+    buckets = max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     d = df.withColumn("_b", F.pmod(F.xxhash64(entity), F.lit(buckets)))
     o = [F.desc(value), c(entity)]
     d = d.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*o))).where(c("_r") <= k)
@@ -148,6 +149,7 @@ def position_stability(evolution: DataFrame) -> DataFrame:
     g = evolution.groupBy("company_id", "market").agg(F.stddev_samp("share_change").alias("share_vol"), F.stddev_samp("profit_change").alias("profit_vol"),
                                                       F.count(F.lit(1)).alias("changes"))
     g = g.withColumn("stability", F.greatest(100 - (c("share_vol") + c("profit_vol")) / 2, F.lit(0.0))).where(c("share_vol").isNotNull() & c("profit_vol").isNotNull())
+    g = reliable(g)  # ranked and joined by value: both must read the same bits
     r = value_ranks(g, ["market"], "stability").select("market", "stability", (c("n") + 1 - c("avg_rank")).alias("stability_rank"))
     return g.join(r, ["market", "stability"])
 
@@ -246,7 +248,7 @@ def group_competition(df: DataFrame, cols: list[str]) -> DataFrame:
     o = g.select(c("group").alias("_g"), *[c(f"m_{x}").alias(f"_o_{x}") for x in cols])
     dist = F.sqrt(total([F.pow(c(f"m_{x}") - c(f"_o_{x}"), F.lit(2.0)) for x in cols]))
     p = g.join(F.broadcast(o), c("group") != c("_g")).groupBy("group").agg(F.avg(F.greatest(100 - 2 * dist, F.lit(0.0))).alias("inter_competition"))
-    return g.join(p, "group").select("group", "n", (F.least((c("n") - 1) * 10 / F.greatest(c("_v"), F.lit(1.0)), F.lit(1e9))).alias("intra_competition"),
+    return g.join(p, "group").select("group", "n", ((c("n") - 1) * 10 / F.greatest(c("_v"), F.lit(1.0))).alias("intra_competition"),
                                      "inter_competition", "performance")
 
 
@@ -380,6 +382,7 @@ def entry_success(df: DataFrame, min_n: int = 5, k: int = 10) -> DataFrame:
     g = d.groupBy("company_id", "market").agg(
         F.count(F.lit(1)).alias("n"), F.min_by("revenue", "year").alias("_a"), F.max_by(F.when(c("_i") <= k, c("revenue")), y).alias("_z"), F.count(y).alias("_m"),
         F.min("year").alias("_y0"), F.max("year").alias("year"), F.max_by("revenue", "year").alias("revenue"), F.min(F.when(c("margin") > 0, c("year"))).alias("_py")).where(c("n") >= min_n)
+    df = reliable(df)
     pr = value_ranks(df, ["year"], "revenue").select("year", "revenue", ((c("lt") + c("le") + 1) / (2.0 * c("n"))).alias("position"))
     g = g.join(pr, ["year", "revenue"])
     grow = clip(F.when((c("_a") > 0) & (c("_z") > 0), F.pow(c("_z") / c("_a"), 1.0 / c("_m")) - 1).otherwise(0.0), 0, 1)

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import reliable
 from ..functions import finish
 from ..functions.cols import safe_corr, with_totals
 from ..functions.ranks import exact_quantiles, ks_distance, long, running_min, running_totals, value_ranks, with_ranks
@@ -60,7 +61,7 @@ def spearman(df: DataFrame, key: list[str], xs: list[str], by: list[str] | None
     return correlation(ranked(df, key, xs, by), xs, by)
 
 
-def kendall(df: DataFrame, x: str, y: str, bits: int = 40) -> DataFrame:
+def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
     """Exact tau-b without comparing pairs.
 
     Discordant pairs are inversions of y in x order.  Two y values first differ
@@ -71,7 +72,7 @@ def kendall(df: DataFrame, x: str, y: str, bits: int = 40) -> DataFrame:
     d = d.groupBy("_x", "_y").agg(F.count(F.lit(1)).alias("w"))
     yr = value_ranks(df.where(c(x).isNotNull()), [], y).select(c(y).alias("_y"), "dense", "n_distinct")
     d = d.join(yr, "_y")
-    levels = F.sequence(F.lit(0), F.least(F.ceil(F.log2(c("n_distinct") + 1.0)).cast("int"), F.lit(bits)))
+    levels = F.sequence(F.lit(0), F.ceil(F.log2(c("n_distinct") + 1.0)).cast("int"))
     e = d.withColumn("_b", F.explode(levels)).select(
         "_b", F.expr("shiftright(dense, _b + 1)").alias("_g"), "_x",
         F.expr("w * (shiftright(dense, _b) & 1L)").alias("one"),
@@ -175,6 +176,7 @@ def anova(df: DataFrame, group: str, value: str) -> dict[str, float]:
 
 def kruskal(df: DataFrame, group: str, value: str) -> dict[str, float]:
     """Kruskal-Wallis H with tie correction and epsilon squared."""
+    df = reliable(df)
     r = value_ranks(df, [], value)
     d = df.where(c(value).isNotNull()).join(r.select(value, "avg_rank"), value)
     g = d.groupBy(group).agg(F.sum("avg_rank").alias("s"), F.count(F.lit(1)).alias("n"))
@@ -215,6 +217,7 @@ def with_t_p(df: DataFrame, t: str = "t", dof: str = "df", name: str = "p") -> D
 def mann_whitney(df: DataFrame, flag: str, value: str) -> DataFrame:
     """U of group 1 and its tie-corrected normal statistic."""
     d = df.where(c(value).isNotNull() & c(flag).isNotNull())
+    d = reliable(d)
     r = value_ranks(d, [], value)
     t = r.agg(F.sum(F.pow(c("cnt").cast("double"), F.lit(3.0)) - c("cnt")).alias("ties"))
     s = d.join(r.select(value, "avg_rank"), value).agg(
@@ -270,6 +273,7 @@ def normality(df: DataFrame, value: str, by: list[str] | None = None) -> DataFra
 def anderson(df: DataFrame, value: str) -> float:
     """Anderson-Darling A2 against the fitted normal from exact order statistics."""
     st = df.agg(F.avg(value).alias("m"), F.stddev_samp(value).alias("s")).first()
+    df = reliable(df)
     r = value_ranks(df, [], value)
     z = (c(value) - float(st["m"])) / float(st["s"])
     # normal cdf by the complementary error function series used in tasks on distinct values
@@ -321,6 +325,7 @@ def kpss(df: DataFrame, value: str, entity: str = "company_id") -> DataFrame:
 
 def adjust_p(df: DataFrame, p: str = "p") -> DataFrame:
     """Bonferroni and Benjamini-Hochberg over a table of tests."""
+    df = reliable(df)
     r = value_ranks(df, [], p)
     # BH is a suffix minimum of p n / rank over the distinct p values
     q = r.select(p, "n", (c(p) * c("n") / c("le")).alias("_raw"), (-c(p)).alias("_neg"))

@@ -17,6 +17,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import reliable
 from ..functions import finish
 from ..functions.cols import clip, flag, ladder, sd, total, with_totals
 from ..functions.ranks import exact_quantiles, running_totals, value_ranks
@@ -261,6 +262,7 @@ def concordance(df: DataFrame, score: str, by: list[str] | None = None) -> DataF
     """
     by = by or []
     d = df.where(c(score).isNotNull() & c(T).isNotNull()).select(*by, T, E, c(score).alias("_s"))
+    d = reliable(d)
     r = value_ranks(d, by, "_s").select(*by, "_s", "dense", "n_distinct")
     d = d.groupBy(*by, T, "_s").agg(F.count(F.lit(1)).alias("w"), F.sum(c(E).cast("long")).alias("ev")).join(r, [*by, "_s"])
     lv = F.sequence(F.lit(0), F.ceil(F.log2(c("n_distinct") + 1.0)).cast("int"))
@@ -285,6 +287,7 @@ def auc_at(df: DataFrame, score: str, times: list[int]) -> DataFrame:
     """Cumulative/dynamic AUC: event by t against alive after t, by rank sums per horizon."""
     d = df.select(T, E, c(score).alias("_s"), F.explode(F.array(*[F.lit(t) for t in times])).alias("t"))
     d = d.withColumn("_y", F.when((c(T) <= c("t")) & (c(E) == 1), 1).when(c(T) > c("t"), 0)).where(c("_y").isNotNull() & c("_s").isNotNull())
+    d = reliable(d)
     r = value_ranks(d, ["t"], "_s").select("t", "_s", "avg_rank")
     g = d.join(r, ["t", "_s"]).groupBy("t").agg(F.sum(F.when(c("_y") == 1, c("avg_rank"))).alias("_r"), F.sum("_y").alias("cases"), F.count(F.lit(1)).alias("n"))
     m = c("cases").cast("double")
