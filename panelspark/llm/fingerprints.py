@@ -69,16 +69,17 @@ def edited(docs: DataFrame) -> DataFrame:
     equal in doc_id and text count as one document in the order; the order is by doc_id, nulls first, then by the
     text's hash.  Texts are shuffled once by key; what the joins move besides is a quarter of them.
     """
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")).withColumn("n", F.length("text").cast("long"))
-    keys = own.select("doc_id", "h", "n").distinct()
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    keys = own.select("doc_id", "h", F.length("text").cast("long").alias("n")).distinct()
     chain = next_rows(keys, ["doc_id", "h"]).select(
         F.col("doc_id").alias("a_id"), F.col("h").alias("a_h"), F.floor(F.col("n") / 4).cast("int").alias("need"),
         F.col("next.doc_id").alias("b_id"), F.col("next.h").alias("b_h"))
-    # both joins read the one exchange of ``own``; fingerprints come after it
+    # both joins use the same columns of ``own`` and so read one exchange; fingerprints come after it
     ends = own.join(chain, F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("h") == F.col("b_h"))).select(
         "a_id", "a_h", "b_id", "b_h", F.expr("left(text, need)").alias("end")).dropDuplicates(["a_id", "a_h"])
     both = own.join(ends, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("h") == F.col("a_h"))).select(
-        "doc_id", "h", "b_id", "b_h", F.col("n").alias("n_chars"), "text", F.concat(F.expr("left(text, cast(n - floor(n / 4) as int))"), "end").alias("edit"))
+        "doc_id", "h", "b_id", "b_h", F.length("text").cast("long").alias("n_chars"), "text",
+        F.concat(F.expr("left(text, cast(length(text) - floor(length(text) / 4) as int))"), "end").alias("edit"))
     rows = with_fingerprint(with_fingerprint(both, "text", "fp"), "edit", "edited_fp").withColumn("edited_sha256", F.sha2("edit", 256))
     rows = reliable(rows.drop("edit", "text"))
     after = rows.select(F.col("doc_id").alias("c_id"), F.col("h").alias("c_h"), F.col("fp").alias("next_fp")).distinct()
