@@ -49,6 +49,12 @@ def growth(c: str | Column, k: int = 1, **kw) -> Column:
     return c / F.nullif(prev, F.lit(0.0)) - 1.0
 
 
+def latest_rows(df: DataFrame, entity: str = "company_id", period: str = "year") -> DataFrame:
+    """The row of each entity's last period, whichever period that is."""
+    row = F.max_by(F.struct(*df.columns), period).alias("_row")
+    return df.where(F.col(period).isNotNull()).groupBy(F.col(entity).alias("_entity")).agg(row).select("_row.*")
+
+
 def runs(df: DataFrame, value: Column, entity: str = "company_id", period: str = "year",
          name: str = "run_id") -> DataFrame:
     """Number consecutive rows of equal ``value`` (gaps and islands)."""

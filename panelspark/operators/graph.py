@@ -11,22 +11,20 @@ from ..session import reliable
 c = F.col
 
 
-def similarity_edges(nodes: DataFrame, cols: list[str], segment: str, threshold: float = 0.5, max_nodes: int = 2000) -> DataFrame:
+def similarity_edges(nodes: DataFrame, cols: list[str], segment: str, threshold: float = 0.5) -> DataFrame:
     """.5 same segment + .3 max(0, corr of the metric vectors) + .2 x .5 for all node pairs above the threshold.
 
-    The graph of all pairs is quadratic by definition, so nodes must be
-    aggregates (segments, regions, leaders); the count is checked before pairing.
+    Nodes of different segments (or none) reach .4 at most, so above that threshold only nodes of one segment
+    are paired.  At .4 or below the result itself is all pairs: the caller asks for it with the threshold.
     """
-    n = nodes.count()
-    if n > max_nodes:
-        raise ValueError(f"{n} nodes: pair similarity is for aggregated nodes, at most {max_nodes}")
     k = len(cols)
     m = total([c(x) for x in cols]) / k
     z = nodes.select("node", segment, *[(c(x) - m).alias(x) for x in cols])
     z = z.withColumn("_n", F.sqrt(total([c(x) * c(x) for x in cols])))
     a = z.select(c("node").alias("src"), c(segment).alias("_sa"), c("_n").alias("_na"), *[c(x).alias(f"_a{i}") for i, x in enumerate(cols)])
     b = z.select(c("node").alias("dst"), c(segment).alias("_sb"), c("_n").alias("_nb"), *[c(x).alias(f"_b{i}") for i, x in enumerate(cols)])
-    p = a.join(F.broadcast(b), c("src") < c("dst"))
+    same = (c("_sa") == c("_sb")) if threshold > 0.4 else F.lit(True)
+    p = a.join(b, same & (c("src") < c("dst")))
     r = F.coalesce(total([c(f"_a{i}") * c(f"_b{i}") for i in range(k)]) / F.nullif(c("_na") * c("_nb"), F.lit(0.0)), F.lit(0.0))
     w = F.when(c("_sa") == c("_sb"), 0.5).otherwise(0.0) + 0.3 * F.greatest(r, F.lit(0.0)) + 0.1
     return p.select("src", "dst", w.alias("weight")).where(c("weight") > threshold)
@@ -93,15 +91,22 @@ def modularity(edges: DataFrame, membership: DataFrame) -> DataFrame:
     return g.agg(F.sum(F.coalesce(c("_in"), F.lit(0.0)) / c("m") - F.pow(c("_d") / (2 * c("m")), F.lit(2.0))).alias("modularity"), F.count(F.lit(1)).alias("groups"))
 
 
-def eigenvector(edges: DataFrame, rounds: int = 20) -> DataFrame:
+def eigenvector(edges: DataFrame, rounds: int = 1000, tolerance: float = 1e-6) -> DataFrame:
     """Eigenvector centrality by power iteration joins (shifted by the identity, so that it converges on
-    bipartite graphs as well)."""
+    bipartite graphs as well).
+
+    Done when no entry has moved by ``tolerance`` in four rounds; raises if ``rounds`` do not suffice.
+    """
     e = reliable(both_ways(edges))
-    x = e.select(c("src").alias("node")).distinct().withColumn("x", F.lit(1.0))
+    x = last = reliable(e.select(c("src").alias("node")).distinct().withColumn("x", F.lit(1.0)))
     for i in range(rounds):
         s = e.join(x, e.dst == x.node).groupBy(c("src").alias("_n")).agg(F.sum(c("weight") * c("x")).alias("_s"))
         y = x.join(s, x.node == c("_n"), "left").select("node", (c("x") + F.coalesce(c("_s"), F.lit(0.0))).alias("x"))
         x = with_totals(y, y.agg(F.sqrt(F.sum(c("x") * c("x"))).alias("_l"))).select("node", (c("x") / c("_l")).alias("x"))
         if i % 4 == 3:
             x = reliable(x)
-    return x.withColumnRenamed("x", "eigenvector")
+            moved = x.join(last.withColumnRenamed("x", "_o"), "node").agg(F.max(F.abs(c("x") - c("_o"))).alias("m")).first()["m"]
+            if moved is None or moved < tolerance:
+                return x.withColumnRenamed("x", "eigenvector")
+            last = x
+    raise RuntimeError(f"eigenvector centrality has not settled in {rounds} rounds")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.cols import sd
+from ..functions.windows import latest_rows
 from ..operators import clean
 from ..operators import lifecycle as l
 from ..operators import metrics as m
@@ -86,11 +87,11 @@ def _(spark, sf):
     return l.common_paths(d.staged(spark, sf))
 
 
-@query("markov_forecast", "L12 L16", "step stage", "share", f"""WITH {MX}, s0 AS (SELECT stage, count(*)*1.0/(SELECT count(*) FROM lc WHERE year=2000) AS p FROM lc WHERE year=2000 GROUP BY 1), s1 AS (SELECT to_stage AS stage, sum(s0.p*mx.p) AS p FROM s0 JOIN mx ON stage=from_stage GROUP BY 1),
+@query("markov_forecast", "L12 L16", "step stage", "share", f"""WITH {MX}, lt AS (SELECT * FROM lc QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY year DESC)=1), s0 AS (SELECT stage, count(*)*1.0/(SELECT count(*) FROM lt) AS p FROM lt GROUP BY 1), s1 AS (SELECT to_stage AS stage, sum(s0.p*mx.p) AS p FROM s0 JOIN mx ON stage=from_stage GROUP BY 1),
  s2 AS (SELECT to_stage AS stage, sum(s1.p*mx.p) AS p FROM s1 JOIN mx ON stage=from_stage GROUP BY 1) SELECT 0 AS step, stage, p AS share FROM s0 UNION ALL SELECT 1, stage, p FROM s1 UNION ALL SELECT 2, stage, p FROM s2""")
 def _(spark, sf):
     p = d.staged(spark, sf)
-    return l.markov_forecast(p.where("year = 2000"), l.transition_matrix(p), 2)
+    return l.markov_forecast(latest_rows(p), l.transition_matrix(p), 2)
 
 
 @query("stage_survival", "L13", "stage n", "rate", "SELECT stage, count(*) AS n, avg(CASE WHEN s>=3 THEN 1.0 ELSE 0 END) AS rate FROM (SELECT company_id, stage, max(year)-min(year) AS s FROM lc GROUP BY 1,2) GROUP BY 1")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.windows import latest_rows
 from ..operators import market as k
 from ..sources import derive as d
 from .registry import query
@@ -144,7 +145,7 @@ ST = ["cost_score", "diff_score", "focus_score", "scale_score"]
 
 @query("strategic_groups", "K16", "group n", "intra_competition inter_competition performance")
 def _(spark, sf):
-    x = k.strategy_scores(d.competition(spark, sf)).where("year = 2000")
+    x = latest_rows(k.strategy_scores(d.competition(spark, sf)))
     return k.group_competition(k.strategic_groups(x, ST, 4), ST)
 
 

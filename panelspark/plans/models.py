@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.windows import W
+from ..functions.windows import W, latest_rows
 from ..operators import cluster as k
 from ..operators import evaluation as x
 from ..operators import graph as g
@@ -15,11 +15,15 @@ PW = "PARTITION BY company_id ORDER BY year"
 CF = ["margin", "rd_ratio", "capex_ratio"]
 
 
+LT = "lt AS (SELECT * FROM lc QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY year DESC)=1)"
+
+
 def latest(spark, sf):
-    return d.staged(spark, sf).where("year = 2000")
+    """Each company's last year."""
+    return latest_rows(d.staged(spark, sf))
 
 
-@query("scaled_features", "P1", "company_id year", "m0 m1 m2", "WITH s AS (SELECT avg(margin) AS a, stddev_samp(margin) AS b, avg(rd_ratio) AS e, stddev_samp(rd_ratio) AS f, avg(capex_ratio) AS h, stddev_samp(capex_ratio) AS i FROM lc WHERE year=2000) SELECT company_id, year, (margin-a)/b AS m0, 2*(rd_ratio-e)/f AS m1, (capex_ratio-h)/i AS m2 FROM lc, s WHERE year=2000")
+@query("scaled_features", "P1", "company_id year", "m0 m1 m2", f"WITH {LT}, s AS (SELECT avg(margin) AS a, stddev_samp(margin) AS b, avg(rd_ratio) AS e, stddev_samp(rd_ratio) AS f, avg(capex_ratio) AS h, stddev_samp(capex_ratio) AS i FROM lt) SELECT company_id, year, (margin-a)/b AS m0, 2*(rd_ratio-e)/f AS m1, (capex_ratio-h)/i AS m2 FROM lt, s")
 def _(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
@@ -54,7 +58,7 @@ def _(spark, sf):
     return k.survival_features(d.panel(spark, sf))
 
 
-@query("cluster_quality", "P6", "k", "calinski_harabasz davies_bouldin", """WITH x AS (SELECT market, margin AS x, rd_ratio AS y FROM lc WHERE year=2000), m AS (SELECT market, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x)+var_pop(y) AS v FROM x GROUP BY 1),
+@query("cluster_quality", "P6", "k", "calinski_harabasz davies_bouldin", f"""WITH {LT}, x AS (SELECT market, margin AS x, rd_ratio AS y FROM lt), m AS (SELECT market, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x)+var_pop(y) AS v FROM x GROUP BY 1),
  s AS (SELECT market, avg(sqrt(pow(x-mx,2)+pow(y-my,2))) AS s FROM x JOIN m USING (market) GROUP BY 1), t AS (SELECT avg(x) AS gx, avg(y) AS gy, count(*) AS tn FROM x),
  b AS (SELECT sum(n*(pow(mx-gx,2)+pow(my-gy,2))) AS b, sum(n*v) AS w, count(*) AS k, max(tn) AS tn FROM m, t), db AS (SELECT avg(r) AS davies_bouldin FROM (SELECT a.market, max((p.s+q.s)/sqrt(pow(a.mx-z.mx,2)+pow(a.my-z.my,2))) AS r FROM m a JOIN m z ON a.market<>z.market JOIN s p ON p.market=a.market JOIN s q ON q.market=z.market GROUP BY 1))
 SELECT k, b/(k-1)/(w/(tn-k)) AS calinski_harabasz, davies_bouldin FROM b, db""", digits=4)
@@ -225,17 +229,17 @@ def _(spark, sf):
 
 # ---- graph -------------------------------------------------------------------------------
 
-ED = "ed AS (SELECT s_nationkey AS src, c_nationkey AS dst, count(*)*1.0 AS weight FROM lineitem JOIN supplier ON l_suppkey=s_suppkey JOIN orders ON l_orderkey=o_orderkey JOIN customer ON o_custkey=c_custkey WHERE s_nationkey<c_nationkey GROUP BY 1,2)"
+ED = "ed AS (SELECT least(s_nationkey, c_nationkey) AS src, greatest(s_nationkey, c_nationkey) AS dst, count(*)*1.0 AS weight FROM lineitem JOIN supplier ON l_suppkey=s_suppkey JOIN orders ON l_orderkey=o_orderkey JOIN customer ON o_custkey=c_custkey WHERE s_nationkey<>c_nationkey GROUP BY 1,2)"
 
 
 def trade(spark, sf):
-    """Trade links between supplier and customer nations."""
+    """Trade between two nations, whichever of them supplies; home trade is no link."""
     li = d.table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey")
     o = d.table(spark, sf, "orders").select(c("o_orderkey").alias("l_orderkey"), "o_custkey")
-    su = d.table(spark, sf, "supplier").select(c("s_suppkey").alias("l_suppkey"), c("s_nationkey").alias("src"))
-    cu = d.table(spark, sf, "customer").select(c("c_custkey").alias("o_custkey"), c("c_nationkey").alias("dst"))
-    e = li.join(su, "l_suppkey").join(o, "l_orderkey").join(cu, "o_custkey").where("src < dst")
-    return e.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    su = d.table(spark, sf, "supplier").select(c("s_suppkey").alias("l_suppkey"), c("s_nationkey").alias("_s"))
+    cu = d.table(spark, sf, "customer").select(c("c_custkey").alias("o_custkey"), c("c_nationkey").alias("_c"))
+    e = li.join(su, "l_suppkey").join(o, "l_orderkey").join(cu, "o_custkey").where("_s <> _c")
+    return e.groupBy(F.least("_s", "_c").alias("src"), F.greatest("_s", "_c").alias("dst")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
 @query("trade_degree", "N2", "node degree", "strength centrality", f"WITH {ED}, b AS (SELECT src AS node, weight FROM ed UNION ALL SELECT dst, weight FROM ed) SELECT node, count(*) AS degree, sum(weight) AS strength, count(*)*1.0/((SELECT count(DISTINCT node) FROM b)-1) AS centrality FROM b GROUP BY 1")
@@ -255,11 +259,11 @@ def _(spark, sf):
     return g.components(links(spark, sf))
 
 
-@query("trade_triangles", "N2", "node degree triangles", "clustering", f"""WITH {ED}, t AS (SELECT a.src AS x, a.dst AS y, b.dst AS z FROM ed a JOIN ed b ON a.dst=b.src JOIN ed c ON c.src=a.src AND c.dst=b.dst WHERE a.weight>25 AND b.weight>25 AND c.weight>25), n AS (SELECT x AS node FROM t UNION ALL SELECT y FROM t UNION ALL SELECT z FROM t),
- dg AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM ed WHERE weight>25 UNION ALL SELECT dst FROM ed WHERE weight>25) GROUP BY 1), tc AS (SELECT node, count(*) AS triangles FROM n GROUP BY 1)
+@query("trade_triangles", "N2", "node degree triangles", "clustering", f"""WITH {ED}, t AS (SELECT a.src AS x, a.dst AS y, b.dst AS z FROM ed a JOIN ed b ON a.dst=b.src JOIN ed c ON c.src=a.src AND c.dst=b.dst), n AS (SELECT x AS node FROM t UNION ALL SELECT y FROM t UNION ALL SELECT z FROM t),
+ dg AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM ed UNION ALL SELECT dst FROM ed) GROUP BY 1), tc AS (SELECT node, count(*) AS triangles FROM n GROUP BY 1)
 SELECT node, degree, coalesce(triangles,0) AS triangles, CASE WHEN degree>1 THEN 2.0*coalesce(triangles,0)/(degree*(degree-1)) ELSE 0 END AS clustering FROM dg LEFT JOIN tc USING (node)""")
 def _(spark, sf):
-    return g.triangles(trade(spark, sf).where("weight > 25"))
+    return g.triangles(trade(spark, sf))
 
 
 @query("trade_modularity", "N2", "groups", "modularity", f"""WITH {ED}, mm AS (SELECT n_nationkey AS node, n_regionkey AS label FROM nation), m AS (SELECT sum(weight) AS m FROM ed), i AS (SELECT a.label, sum(weight) AS w FROM ed JOIN mm a ON a.node=src JOIN mm b ON b.node=dst WHERE a.label=b.label GROUP BY 1),

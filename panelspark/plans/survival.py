@@ -212,7 +212,7 @@ def _(spark, sf):
 
 @query("stratified_bootstrap", "U23 H18", "market", "mean se lower upper")
 def _(spark, sf):
-    return s.bootstrap_mean(subjects(spark, sf), "company_id", "margin", ["market"], 100)
+    return s.bootstrap_mean(subjects(spark, sf), "company_id", "margin", ["market"], 1000)
 
 
 @query("extinction_risk_summary", "U26 U27", "market n", "mean_risk median_risk high_share", """WITH r AS (SELECT company_id, CASE WHEN max(year) < 2000 THEN 0.9 ELSE 0.2 END AS r FROM panel GROUP BY 1)

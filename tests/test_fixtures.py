@@ -199,6 +199,14 @@ def test_components_and_triangles(frame):
     assert abs(v[1] - v[2]) < 1e-6 and v[1] > v[7]
 
 
+def test_latest_rows_and_similarity(frame):
+    d = frame("company_id int, year int, x double", [(1, 1999, 1.0), (1, 2001, 2.0), (2, 1995, None), (3, None, 5.0)])
+    assert rows(w.latest_rows(d), "company_id", "year", "x") == [(1, 2001, 2.0), (2, 1995, None)]
+    n = frame("node int, seg string, a double, b double", [(1, "s", 1.0, 2.0), (2, "s", 2.0, 4.0), (3, "t", 1.0, 3.0), (4, None, 1.0, 3.0)])
+    assert rows(graph.similarity_edges(n, ["a", "b"], "seg"), "src", "dst") == [(1, 2)]
+    assert len(rows(graph.similarity_edges(n, ["a", "b"], "seg", 0.0), "src", "dst")) == 6
+
+
 def test_ks_and_distribution_tails(frame):
     d = frame("x double, g int", [(1.0, 0), (2.0, 0), (3.0, 1), (4.0, 1)])
     assert ks_distance(d, [], "x", F.col("g") == 0, F.col("g") == 1).first()["ks"] == 1.0
