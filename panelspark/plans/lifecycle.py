@@ -178,7 +178,7 @@ def _(spark, sf):
 @query("kmeans_stages", "L6 L25", "company_id run_id stage model_stage first_year last_year overlap", "")
 def _(spark, sf):
     p = d.staged(spark, sf).na.fill(0.0, ["growth"])
-    model = l.stage_runs(l.kmeans_stages(p, ["growth", "margin"], (3, 4)), "model_stage")
+    model = l.stage_runs(l.kmeans_stages(p, ["growth", "margin"], (3, 4, 5, 6, 7)), "model_stage")
     return l.merge_phases(l.stage_runs(p), model)
 
 

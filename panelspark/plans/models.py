@@ -33,7 +33,7 @@ def _(spark, sf):
 
 @query("kmeans_silhouette", "P2 L23", "k", "silhouette")
 def _(spark, sf):
-    return k.choose_k(latest(spark, sf), CF, (2, 3, 4))[1]
+    return k.choose_k(latest(spark, sf), CF)[1]
 
 
 @query("mixture_clusters", "P2", "company_id cluster", "")

@@ -173,7 +173,7 @@ def _(spark, sf):
 
 @query("hazard_forest", "U15", "company_id year", "hazard survival")
 def _(spark, sf):
-    return s.hazard_model(pp(spark, sf), ["revenue", "margin"], "forest", 10, 3)[0]
+    return s.hazard_model(pp(spark, sf), ["revenue", "margin"], "forest", 100, 3)[0]
 
 
 @query("feature_screening", "U16", "term", "coef p")
@@ -239,5 +239,5 @@ def _(spark, sf):
 def _(spark, sf):
     x = subjects(spark, sf)
     names = ["margin", "returns", "balance_k"]
-    _, model = s.hazard_model(x.withColumn("event_occurred", c("event")).withColumn("time_from_start", F.lit(0)).withColumn("year", F.lit(0)), names, "forest", 10, 4)
+    _, model = s.hazard_model(x.withColumn("event_occurred", c("event")).withColumn("time_from_start", F.lit(0)).withColumn("year", F.lit(0)), names, "forest", 100, 4)
     return s.factor_importance(s.cox(x, names).table(spark), dict(zip(names, [float(v) for v in model.featureImportances.toArray()])))
