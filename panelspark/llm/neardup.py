@@ -35,6 +35,8 @@ SAMPLE = 20_000
 SHARD = 4096
 #: Pairs compared in one numpy block.
 BLOCK = 1 << 20
+#: A fingerprint of more than one in so many rows is hot; there are fewer hot ones than that.
+HOT = 2000
 
 
 def fingerprint(text: bytes, n: int = 4, seed: int = 42) -> int:
@@ -232,13 +234,18 @@ def grouped(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """``rows`` (kept on disk; ``key`` and ``fp``) with ``component_id``, the smallest key reachable.
 
     Rows of one fingerprint are linked; null keys have no part in the minimum (null if a component has no other).
+    Rows of hot fingerprints, of which there are fewer than HOT at any size, meet their component by broadcast and
+    stay where they are; the others are joined by shuffle.
     """
-    points = reliable(rows.groupBy("fp").agg(F.min(key).alias("first")))
+    points = reliable(rows.groupBy("fp").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n")))
+    most = (points.agg(F.sum("n")).first()[0] or 0) / HOT
     tree = reliable(components(links(points.select("fp"))))
     tops = tree.join(points, tree.node == points.fp).groupBy("root").agg(F.min("first").alias("top"))
     member = tree.join(tops, "root").select(F.col("node").alias("fp"), "top")
-    of = points.join(member, "fp", "left").select("fp", F.coalesce("top", "first").alias("component_id"))
-    return rows.join(of, "fp")
+    of = reliable(points.join(member, "fp", "left").select("fp", (F.col("n") > most).alias("hot"), F.coalesce("top", "first").alias("component_id")))
+    hot = F.broadcast(of.where("hot").drop("hot"))
+    rest = rows.join(hot, "fp", "left_anti").join(of.where("not hot").drop("hot"), "fp")
+    return rows.join(hot, "fp").unionByName(rest)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
