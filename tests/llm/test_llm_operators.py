@@ -111,7 +111,9 @@ def simhash(t):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def test_near_duplicates(docs, rows, empty):
+@pytest.mark.parametrize("hot", [2000, 10])  # every fingerprint is hot; only those of more than a tenth of the rows are
+def test_near_duplicates(docs, rows, empty, monkeypatch, hot):
+    monkeypatch.setattr(neardup, "HOT", hot)
     fps = [simhash(r[1]) for r in rows]
     root = list(range(len(rows)))
 
