@@ -1,7 +1,7 @@
 """Toxicity scores by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 A word's input is the sum of its own vector (words met often in training) and the mean vector of its character
-3- to 5-grams, ends marked.  Two GRUs read a window of WINDOW words in both directions, attention pools their states,
+3- to 5-grams, all of the word with its ends marked.  Two GRUs read a window of WINDOW words in both directions, attention pools their states,
 and a logistic unit scores the window.  Windows overlap by a quarter and cover every whole text; a document's score is its
 highest window's, mapped to a probability on training documents held back for that.  Labels are given per document,
 so training picks the windows: the most suspicious of each document, first by log-odds, then by the model itself.
@@ -22,8 +22,8 @@ from .common import fresh
 
 WINDOW, STRIDE = 32, 24
 DIM, HIDDEN, BUCKETS = 12, 6, 1 << 15
-#: (length, place) of the character grams of a word.
-GRAMS = tuple((n, i) for n in (3, 4, 5) for i in range(4))
+#: Lengths of the character grams of a word.
+GRAMS = (3, 4, 5)
 #: Bounded training sample: so many documents of each label, by hash, of at most so many characters.
 TOXIC_DOCS, CLEAN_DOCS, TRAIN_CHARS = 1500, 3000, 20_000
 #: Words whose inputs a worker keeps.
@@ -36,19 +36,40 @@ def words(text: str) -> list[str]:
 
 
 def gram_table(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash buckets of each word's character grams (of its bytes, ends marked; BUCKETS where it has none) and their number."""
-    raw = [f"^{w}$".encode() for w in vocabulary]
+    """Hash buckets of all character grams of the words (ends marked), word after word, and their number per word."""
+    raw = [f"^{w}$" for w in vocabulary]
     size = np.fromiter(map(len, raw), np.int64, len(raw))
-    data = np.frombuffer(b"".join(raw) + b"\0" * 8, np.uint8).astype(np.uint32)
-    start = np.cumsum(size) - size
-    out = np.full((len(raw), len(GRAMS)), BUCKETS, np.int64)
-    for k, (n, i) in enumerate(GRAMS):
-        at = np.flatnonzero(size >= n + i)
+    data = np.frombuffer("".join(raw).encode("utf-32-le"), np.uint32)
+    end = np.repeat(np.cumsum(size), size)
+    count = sum(np.maximum(size - n + 1, 0) for n in GRAMS)
+    out = np.zeros(count.sum(), np.int64)
+    place = np.cumsum(count) - count
+    for n in GRAMS:
+        own = np.maximum(size - n + 1, 0)
+        at = np.flatnonzero(np.arange(len(data)) + n <= end)
         h = np.full(len(at), n, np.uint32)
         for j in range(n):
-            h = (h ^ data[start[at] + i + j]) * np.uint32(16777619)
-        out[at, k] = (h ^ (h >> 15)) % BUCKETS
-    return out, np.maximum((out < BUCKETS).sum(axis=1), 1).astype(np.float32)
+            h = (h ^ data[at + j]) * np.uint32(16777619)
+        out[np.repeat(place - np.cumsum(own) + own, own) + np.arange(len(at))] = (h ^ (h >> 15)) % BUCKETS
+        place = place + own
+    return out, count
+
+
+def gram_sums(table: np.ndarray, gram: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Sum of the rows of ``table`` over the grams of each word; so many grams at a time that long words fit memory."""
+    out = np.zeros((len(count), *table.shape[1:]), table.dtype)
+    owner = np.repeat(np.arange(len(count)), count)
+    for s in range(0, len(gram), 1 << 18):
+        own = owner[s:s + (1 << 18)]
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        out[own[first]] += np.add.reduceat(table[gram[s:s + (1 << 18)]], first)
+    return out
+
+
+def grams_of(gram: np.ndarray, count: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """gram and count of the chosen words."""
+    size = count[chosen]
+    return gram[np.repeat((np.cumsum(count) - count)[chosen] - np.cumsum(size) + size, size) + np.arange(size.sum())], size
 
 
 def window_starts(n: int) -> list[int]:
@@ -65,13 +86,12 @@ class Network:
         r = np.random.default_rng(seed)
         f = lambda *s, k=0.2: (r.standard_normal(s) * k).astype(np.float32)
         self.vocabulary = vocabulary
-        self.p = {"word": f(len(vocabulary) + 1, DIM, k=0.05), "gram": f(BUCKETS + 1, DIM, k=0.05), "w": f(2, DIM, 3 * HIDDEN), "b": np.zeros((2, 3 * HIDDEN), np.float32),
+        self.p = {"word": f(len(vocabulary) + 1, DIM, k=0.05), "gram": f(BUCKETS, DIM, k=0.05), "w": f(2, DIM, 3 * HIDDEN), "b": np.zeros((2, 3 * HIDDEN), np.float32),
                   "u": f(2, HIDDEN, 3 * HIDDEN), "q": f(2 * HIDDEN), "v": f(2 * HIDDEN), "c": np.zeros(1, np.float32)}
         self.p["word"][0] = 0
-        self.p["gram"][BUCKETS] = 0
 
     def vectors(self, ids: np.ndarray, gram: np.ndarray, count: np.ndarray) -> np.ndarray:
-        return self.p["word"][ids] + self.p["gram"][gram].sum(axis=1) / count[:, None]
+        return self.p["word"][ids] + gram_sums(self.p["gram"], gram, count) / count[:, None].astype(np.float32)
 
     def run(self, x: np.ndarray, live: np.ndarray, keep: bool = False):
         """Logits of windows; x: (2, T, B, 3 HIDDEN) gate inputs per direction, live: (T, B) 1 where there is a word."""
@@ -133,8 +153,7 @@ class Network:
         np.add.at(grad["word"], ids, dvec)
         grad["word"][0] = 0
         grad["gram"] = np.zeros_like(p["gram"])
-        np.add.at(grad["gram"], gram.ravel(), np.repeat(dvec / count[:, None], gram.shape[1], axis=0))
-        grad["gram"][BUCKETS] = 0
+        np.add.at(grad["gram"], gram, np.repeat(dvec / count[:, None], count, axis=0))
         for k, g in grad.items():
             memory[k] = memory.get(k, 1e-6) + g * g
             p[k] -= (rate * g / np.sqrt(memory[k])).astype(np.float32)
@@ -228,17 +247,17 @@ def trained(texts: list[str], labels: list[int], rounds: int = 2, epochs: int =
     index = {w: j for j, w in enumerate(known)}
     ids, gram, count = _coded(net, known)
     coded = [np.fromiter(map(index.__getitem__, d), np.int64, len(d)) for d in docs]
+    one = np.ones(len(known), np.int64)
     total = [1 + float((y[fit] == k).sum()) for k in (0, 1)]
-    for name, of, size in (("word", ids[:, None], len(net.vocabulary) + 1), ("gram", gram, BUCKETS + 1)):
+    for name, of, per, size in (("word", ids, one, len(net.vocabulary) + 1), ("gram", gram, count, BUCKETS)):
         seen = np.zeros((2, size))
         for c, t, f in zip(coded, y, fit):
             if f:
-                seen[int(t), np.unique(of[c])] += 1
+                seen[int(t), np.unique(grams_of(of, per, np.unique(c))[0])] += 1
         odds = np.log((seen[1] + 0.5) / total[1]) - np.log((seen[0] + 0.5) / total[0])
         net.p[name][:, 0] = 0.5 * odds * np.minimum(1.0, seen.sum(axis=0) / 10)
     net.p["word"][0] = 0
-    net.p["gram"][BUCKETS] = 0
-    hint = net.p["word"][ids, 0] + net.p["gram"][gram, 0].sum(axis=1) / count
+    hint = net.p["word"][ids, 0] + gram_sums(net.p["gram"][:, :1], gram, count)[:, 0] / count
     rng, memory = np.random.default_rng(seed), {}
     positive, negative = np.flatnonzero(fit & (y == 1)), np.flatnonzero(fit & (y == 0))
     for k in range(rounds):
@@ -260,7 +279,7 @@ def trained(texts: list[str], labels: list[int], rounds: int = 2, epochs: int =
                     own = coded[i][at:at + WINDOW]
                     place[: len(own), b], live[: len(own), b] = own, 1
                 here, place = np.unique(place, return_inverse=True)
-                net.step(ids[here], gram[here], count[here], place.reshape(WINDOW, len(batch)), live, np.array([t for *_, t in batch], np.float32), 0.05, memory)
+                net.step(ids[here], *grams_of(gram, count, here), place.reshape(WINDOW, len(batch)), live, np.array([t for *_, t in batch], np.float32), 0.05, memory)
         scorer.number, scorer.inputs = {}, scorer.inputs[:, :0]
     held = [i for i in np.flatnonzero(~fit) if docs[i]]
     top = np.array([x.max() for x in scorer.window_logits([docs[i] for i in held])], np.float64)

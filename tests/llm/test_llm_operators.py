@@ -424,6 +424,36 @@ def test_toxicity(spark):
     assert none.count() == 0
 
 
+def test_grams_reach_the_end_of_a_word():
+    def bucket(g):
+        h = len(g)
+        for x in g:
+            h = (h ^ ord(x)) * 16777619 % 2**32
+        return (h ^ h >> 15) % toxicity.BUCKETS
+
+    vocabulary = ["x", "ab", "toxicity", "überlangesgrundwort", "清除所有数据"]
+    gram, count = toxicity.gram_table(vocabulary)
+    want = [[bucket(m[i:i + n]) for n in (3, 4, 5) for i in range(len(m) - n + 1)] for m in (f"^{w}$" for w in vocabulary)]
+    assert gram.tolist() == sum(want, []) and count.tolist() == [len(w) for w in want]
+    assert toxicity.grams_of(gram, count, np.array([3, 1]))[0].tolist() == want[3] + want[1]
+    table = np.random.default_rng(1).random((toxicity.BUCKETS, 2))
+    assert np.allclose(toxicity.gram_sums(table, gram, count), [table[w].sum(axis=0) for w in want])
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice(["an", "er", "tion", "re", "ou"]) for _ in range(rng.randint(1, 6)))
+    texts, labels = [], []
+    for i in range(400):
+        w = [word() for _ in range(rng.randint(5, 60))]
+        if i % 3 == 0:
+            w[rng.randrange(len(w))] = word() + "vilestuff"
+        texts.append(" ".join(w))
+        labels.append(int(i % 3 == 0))
+    scorer = toxicity.trained(texts, labels)
+    assert not {"kindergartenvilestuff", "understandvilestuff"} & set(scorer.net.vocabulary)
+    for w in ("kindergarten", "understand"):
+        bad, good = scorer.scores([f"an er re {w}vilestuff tion ou", f"an er re {w}harmless tion ou"])
+        assert bad > 0.6 and good < 0.3
+
+
 def test_gradients():
     net = toxicity.Network({"a": 1, "b": 2}, seed=1)
     ids, gram, count = toxicity._coded(net, ["a", "b", "word"])
