@@ -305,6 +305,31 @@ def test_license_join_is_complete(spark):
     assert got == {i: len(set(x.split()) & set(t)) >= 0.8 * len(set(t)) for i, x in enumerate(lines)} and any(got.values()) and not all(got.values())
 
 
+def test_wrapped_licenses(spark):
+    def wrapped(text, width, start="", gap="\n"):
+        lines = [""]
+        for w in text.split():
+            lines += [""] if len(lines[-1]) + len(w) > width else []
+            lines[-1] += w + " "
+        return "Some words before.\n\n" + gap.join(start + x for x in lines) + "\n\nSome words after."
+
+    texts = [(label, wrapped(t, width, start, gap)) for label, t in licenses.TEMPLATES for width in (30, 60)
+             for start, gap in (("", "\n"), (" * ", "\r\n"), ("# ", "\n\n"), ("", "\n \t\n\n"))]
+    far = licenses.TEMPLATES[5][1].split()
+    texts.append(("", "\n\n".join(" ".join([w] + ["far"] * 9) for w in far)))  # no block holds enough of it
+    texts.append(("", wrapped(" ".join(far[:8]), 30)))
+    rng = random.Random(4)
+    mixed = [[rng.choice(far) if rng.random() < p else "far" for _ in range(90)] for p in (0.7, 0.8, 0.9, 1) for _ in range(10)]
+    span = -(-3 * len(far) // 2)
+    held = lambda w: max(len(set(w[i:i + span]) & set(far)) for i in range(len(w))) >= 0.8 * len(set(far))
+    texts += [("bsd" if held(w) else "", "\n\n".join(w)) for w in mixed]
+    assert {held(w) for w in mixed} == {True, False}
+    d = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.licensed(d).collect()}
+    for i, (label, _) in enumerate(texts):
+        assert got[i].labels == label and (got[i].score >= 0.8) == bool(label), texts[i]
+
+
 # fingerprints
 
 def test_fingerprints(spark, docs, rows, empty):
