@@ -304,13 +304,14 @@ def held_out(doc_id) -> F.Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and toxic of the bounded sample: ids are drawn first, texts follow for those alone."""
+    """text and toxic of the bounded sample: distinct ids are drawn first, one text (the least by hash) follows for each."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
     short = docs.where(F.length("text") <= TRAIN_CHARS)
-    ids = short.select("doc_id").join(known, "doc_id")
+    ids = short.select("doc_id").join(known, "doc_id").dropDuplicates(["doc_id"])
     draw = lambda k, n: ids.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(n)
-    chosen = draw(1, TOXIC_DOCS).unionByName(draw(0, CLEAN_DOCS)).dropDuplicates(["doc_id"])
-    return short.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", F.xxhash64("doc_id", F.lit(9)).alias("o"))
+    chosen = draw(1, TOXIC_DOCS).unionByName(draw(0, CLEAN_DOCS))
+    texts = short.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("least"))
+    return texts.select("least.text", "toxic", F.xxhash64("doc_id", F.lit(9)).alias("o"))
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

@@ -449,6 +449,19 @@ def test_toxicity(spark):
     assert none.count() == 0
 
 
+def test_training_sample_with_repeated_ids(spark, monkeypatch):
+    rows = [(i, f"text {i} {k}") for i in range(60) for k in range(1 if i % 3 else 20)] + [(3, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(60)], "doc_id long, quality int, toxic int")
+    kept = {i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2}
+    own = lambda: [(int(r.text.split()[1]), r.toxic) for r in toxicity.training_rows(d, labels).collect()]
+    assert sorted(own()) == sorted((i, int(i % 3 == 0)) for i in kept)
+    monkeypatch.setattr(toxicity, "TOXIC_DOCS", 5)
+    monkeypatch.setattr(toxicity, "CLEAN_DOCS", 7)
+    got = own()
+    assert len(got) == len(set(got)) == 12 and sum(t for _, t in got) == 5
+
+
 def test_grams_reach_the_end_of_a_word():
     def bucket(g):
         h = len(g)
