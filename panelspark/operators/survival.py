@@ -113,6 +113,8 @@ def logrank(df: DataFrame, group: str, values: list | None = None) -> dict[str,
     """k-sample log-rank from the observed-minus-expected vector and its covariance."""
     values = values or [r[0] for r in df.select(group).distinct().orderBy(group).collect()]
     k = len(values)
+    if k < 2:
+        return {"chi2": 0.0, "df": 0.0, "p": 1.0}
     w = _wide_counts(df, group, values)
     d, n = total([c(f"d{i}") for i in range(k)]), total([c(f"n{i}") for i in range(k)])
     w = w.withColumn("_d", d).withColumn("_n", n).where(c("_d") > 0)
@@ -129,6 +131,8 @@ def logrank(df: DataFrame, group: str, values: list | None = None) -> dict[str,
 
 def logrank_pairs(df: DataFrame, group: str, values: list) -> DataFrame:
     """Two-sample log-rank for every pair of the given groups from one pass over the times."""
+    if len(values) < 2:
+        return df.sparkSession.createDataFrame([], "a string, b string, o_minus_e double, chi2 double")
     w = _wide_counts(df, group, values)
     ps = [F.struct(F.lit(str(values[i])).alias("a"), F.lit(str(values[j])).alias("b"), c(f"d{i}").alias("da"), c(f"d{j}").alias("db"),
                    c(f"n{i}").alias("na"), c(f"n{j}").alias("nb")) for i in range(len(values)) for j in range(i + 1, len(values))]
@@ -243,11 +247,20 @@ def cox_survival(df: DataFrame, fit: Cox, base: DataFrame, t: int) -> DataFrame:
 
 
 def market_hazards(df: DataFrame, xs: list[str], by: str, values: list, alpha: float = 0.05, ratio: float = 1.5) -> DataFrame:
-    """Cox per market; a factor matters when significant in two markets and the hazard ratios spread."""
-    parts = None
+    """Cox per market; a factor matters when significant in two markets and the hazard ratios spread.
+
+    A market without a finite estimate (no events, or too few rows) has nulls.
+    """
+    kind = "term string, coef double, hr double, se double, z double, p double, lower double, upper double"
+    none = df.sparkSession.createDataFrame([(x, *[None] * 7) for x in xs], kind)
+    hit = {r[0] for r in df.dropna(subset=xs).groupBy(by).agg(F.sum(E).alias("n")).where("n > 0").select(by).collect()}
+    parts = none.where("false").withColumn(by, F.lit(None).cast(df.schema[by].dataType))
     for v in values:
-        t = cox(df.where(c(by) == v), xs).table(df.sparkSession).withColumn(by, F.lit(v))
-        parts = t if parts is None else parts.unionByName(t)
+        try:
+            t = cox(df.where(c(by) == v), xs).table(df.sparkSession) if v in hit else none
+        except (np.linalg.LinAlgError, ValueError, OverflowError):
+            t = none
+        parts = parts.unionByName(t.withColumn(by, F.lit(v)))
     g = parts.groupBy("term").agg(F.sum((c("p") < alpha).cast("int")).alias("significant_markets"), (F.max("hr") / F.min("hr")).alias("hr_ratio"))
     return parts.join(g.withColumn("differs", (c("significant_markets") >= 2) & (c("hr_ratio") > ratio)), "term")
 

@@ -335,9 +335,9 @@ def series_array(df: DataFrame, value: str) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.struct("year", c(value).cast("double").alias("v")))), lambda s: s["v"]).alias("a"))
 
 
-def resample(df: DataFrame, value: str, m: int) -> DataFrame:
-    """Linear resampling of every series to m points: (company_id, j, value)."""
-    g = series_array(df, value).where(F.size("a") >= 2)
+def resample(df: DataFrame, value: str, m: int, least: int = 2) -> DataFrame:
+    """Linear resampling of every series of ``least`` values or more to m points (one value is repeated): (company_id, j, value)."""
+    g = series_array(df, value).where(F.size("a") >= least)
     d = g.select("company_id", "a", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("j"))
     pos = c("j") * (F.size("a") - 1) / float(m - 1)
     lo = F.floor(pos).cast("int")

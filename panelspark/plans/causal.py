@@ -81,7 +81,10 @@ def _(spark, sf):
 @query("synthetic_control", "H7", "year", "actual synthetic gap")
 def _(spark, sf):
     g = d.mpanel(spark, sf).groupBy("market", "year").agg(F.avg("revenue").alias("revenue"))
-    return h.synthetic_control(g, "revenue", "BUILDING", "market", START, ["AUTOMOBILE", "FURNITURE", "HOUSEHOLD", "MACHINERY"])[1]
+    years = {r[0]: set(r[1]) for r in g.where("market is not null").groupBy("market").agg(F.collect_set("year")).collect()}
+    # weights need donors with a value in each year of the treated market
+    donors = sorted(m for m, ys in years.items() if m != "BUILDING" and ys >= years.get("BUILDING", set()))
+    return h.synthetic_control(g, "revenue", "BUILDING", "market", START, donors)[1]
 
 
 IVT = "(SELECT company_id, year, operating_profit/revenue AS y, returned/gross AS x, lag(returned/gross) OVER (PARTITION BY company_id ORDER BY year) AS z FROM mpanel)"
