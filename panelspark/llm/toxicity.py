@@ -2,7 +2,7 @@
 
 A word's input is the sum of its own vector (words met often in training) and the mean vector of its character
 3- to 5-grams, all of the word with its ends marked.  Two GRUs read a window of WINDOW words in both directions, attention pools their states,
-and a logistic unit scores the window.  Windows overlap by a quarter and cover every whole text; a document's score is its
+and a logistic unit scores the window.  Windows overlap by half and cover every whole text; a document's score is its
 highest window's, mapped to a probability on training documents held back for that.  Labels are given per document,
 so training picks the windows: the most suspicious of each document, first by log-odds, then by the model itself.
 """
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import fresh
 
-WINDOW, STRIDE = 32, 24
-DIM, HIDDEN, BUCKETS = 12, 6, 1 << 15
+WINDOW, STRIDE = 32, 16
+DIM, HIDDEN, BUCKETS = 12, 8, 1 << 15
 #: Lengths of the character grams of a word.
 GRAMS = (3, 4, 5)
 #: Bounded training sample: so many documents of each label, by hash, of at most so many characters.
@@ -231,7 +231,7 @@ class Scorer:
         return out
 
 
-def trained(texts: list[str], labels: list[int], rounds: int = 2, epochs: int = 2, seed: int = 0) -> Scorer:
+def trained(texts: list[str], labels: list[int], rounds: int = 3, epochs: int = 2, seed: int = 0) -> Scorer:
     """Fit on whole documents with 0/1 labels; every fourth is held back for the map to probabilities."""
     docs = [words(t) for t in texts]
     y = np.array(labels, np.float32)

@@ -449,6 +449,13 @@ def test_toxicity(spark):
     assert none.count() == 0
 
 
+def test_windows_hold_every_passage_of_half_their_length():
+    for n in (1, 16, 32, 33, 48, 49, 200):
+        starts = toxicity.window_starts(n)
+        for at in range(max(1, n - 15)):
+            assert any(s <= at and min(at + 16, n) <= s + toxicity.WINDOW for s in starts)
+
+
 def test_training_sample_with_repeated_ids(spark, monkeypatch):
     rows = [(i, f"text {i} {k}") for i in range(60) for k in range(1 if i % 3 else 20)] + [(3, None)]
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
