@@ -1,12 +1,12 @@
-"""Repeated byte strings across a corpus: suffix order and previous factors within groups that can match.
+"""Repeated byte strings across a corpus: equality classes within groups that can match, in place of a suffix array.
 
 A suffix array of the whole corpus would need the corpus in one task.  Every string of LENGTH bytes is filed under its
 anchor instead, the 32-byte gram of least hash in it: equal strings have equal anchors at equal offsets, so matches
 meet in the group of their anchor.  Neighbouring strings mostly share an anchor; the bytes they cover together are its
 context.  Contexts found twice settle all their strings at once, by counting.  Only where one anchor has several
-contexts are the bytes of one example of each context shuffled; there the strings are put in suffix order by prefix
-doubling, and equal neighbours (common prefix of LENGTH or more) tell from positions whether an earlier, or any
-other, occurrence exists.  An anchor with very many contexts is not gathered: its strings go by hash, one row each.
+contexts are the bytes of one example of each context shuffled; there prefix doubling numbers the equality
+classes of the strings, and counts or least positions of a class tell whether any other, or an earlier, occurrence
+exists.  An anchor with very many contexts is not gathered: its strings go by hash, one row each.
 """
 
 from __future__ import annotations
@@ -117,7 +117,7 @@ def _digest(length: int):
 
 
 def classes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Number of the equality class of the ``length`` bytes at each of ``starts``, in suffix order (prefix doubling)."""
+    """Number of the equality class of the ``length`` bytes at each of ``starts`` (prefix doubling; numbers follow no byte order)."""
     rank, have = data.astype(np.int64), 1
     while have * 2 <= length:
         m = len(rank) - have
