@@ -18,19 +18,19 @@ def local_session(cpus: str | int = "*", app: str = "panelspark") -> SparkSessio
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
-def reliable(df: DataFrame) -> DataFrame:
-    """Cut lineage through the cluster's shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints, which driver and executors share.
 
-    The folder named by ``spark.checkpoint.dir`` is used; a temporary one only
-    when running in local mode with nothing configured.
+    The one that ``spark.checkpoint.dir`` names is used; a temporary one only when running in local mode with nothing
+    configured.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -39,4 +39,13 @@ def reliable(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
             shared = tempfile.mkdtemp(prefix="panelspark-ckpt-")
         sc.setCheckpointDir(shared)
+    return sc.getCheckpointDir()
+
+
+def reliable(df: DataFrame) -> DataFrame:
+    """Cut lineage through the cluster's shared checkpoint folder (see ``shared_folder``).
+
+    Set ``spark.cleaner.referenceTracking.cleanCheckpoints`` to have Spark delete checkpoints that nothing reads any more.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
