@@ -12,7 +12,6 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -324,91 +323,6 @@ def calibration(df: DataFrame, predicted: str, observed: str, bins: int = 5) ->
         F.count(F.lit(1)).alias("n"), F.avg(predicted).alias("predicted"), F.avg(c(observed).cast("double")).alias("observed"))
 
 
-# ---- parametric fits ------------------------------------------------------------------------------
-
-def _terms(dist: str, z: np.ndarray, ev: np.ndarray):
-    """Log density / survival of the standardized log time and the derivative in z."""
-    if dist in ("weibull", "exponential"):
-        ez = np.exp(np.clip(z, -700, 60))
-        return np.where(ev, z, 0.0) - ez, ev.astype(float) - ez
-    if dist == "lognormal":
-        tail = np.array([0.5 * math.erfc(v / math.sqrt(2)) for v in z])
-        tail = np.maximum(tail, 1e-300)
-        phi = np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
-        return np.where(ev, -z * z / 2 - 0.5 * math.log(2 * math.pi), np.log(tail)), np.where(ev, -z, -phi / tail)
-    ez = 1 / (1 + np.exp(-z))  # log-logistic
-    return np.where(ev, z - 2 * np.logaddexp(0, z), -np.logaddexp(0, z)), np.where(ev, 1 - 2 * ez, -ez)
-
-
-def parametric(df: DataFrame, dist: str, xs: list[str] | None = None, max_iter: int = 60) -> dict:
-    """Accelerated failure time fit: tasks sum the log likelihood and gradient of their rows,
-    the driver takes quasi-Newton steps on the few parameters."""
-    xs = xs or []
-    d = df.where(c(T) > 0).select(c(T).cast("double").alias("t"), c(E).cast("double").alias("e"), *[c(x).cast("double").alias(x) for x in xs])
-    d = d.persist(StorageLevel.MEMORY_AND_DISK)
-    st = d.agg(F.avg(F.ln("t")).alias("m"), F.stddev_pop(F.ln("t")).alias("s"), F.count(F.lit(1)).alias("n"), F.sum("e").alias("e"),
-               F.sum(c("e") * F.ln("t")).alias("elt"), *[F.avg(x).alias(f"m_{x}") for x in xs], *[F.stddev_pop(x).alias(f"s_{x}") for x in xs]).first()
-    mu = np.array([st[f"m_{x}"] for x in xs])
-    sg = np.array([st[f"s_{x}"] or 1.0 for x in xs])
-    p = 1 + len(xs)
-    fixed = dist == "exponential"
-
-    def evaluate(theta: np.ndarray):
-        beta, ls = theta[:p], 0.0 if fixed else float(theta[p])
-
-        def part(batches):
-            out = np.zeros(2 + p)
-            for b in batches:
-                x = np.column_stack([np.ones(len(b)), *[(b[v].to_numpy() - m) / s for v, m, s in zip(xs, mu, sg)]])
-                ev = b["e"].to_numpy() > 0
-                z = (np.log(b["t"].to_numpy()) - x @ beta) / math.exp(ls)
-                l, dz = _terms(dist, z, ev)
-                out[0] += float(np.sum(l - ls * ev))
-                out[1:1 + p] += -(x * (dz / math.exp(ls))[:, None]).sum(axis=0)
-                out[1 + p] += float(np.sum(-ev.astype(float) - z * dz))
-            yield pd.DataFrame([out], columns=[f"v{i}" for i in range(2 + p)])
-
-        r = d.mapInPandas(part, ", ".join(f"v{i} double" for i in range(2 + p))).agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(2 + p)]).first()
-        g = np.array([r[f"v{i}"] for i in range(1, 2 + p)])
-        return r["v0"], (g[:p] if fixed else g)
-
-    theta = np.zeros(p if fixed else p + 1)
-    theta[0] = st["m"]
-    if not fixed:
-        theta[p] = math.log(max(st["s"], 1e-3))
-    h = np.eye(len(theta)) / st["n"]
-    f, g = evaluate(theta)
-    for _ in range(max_iter):
-        step, scale = h @ g, 1.0
-        while True:
-            nf, ng = evaluate(theta + scale * step)
-            if nf > f + 1e-4 * scale * float(g @ step) or scale < 1e-6:
-                break
-            scale /= 2
-        s, y = scale * step, g - ng
-        theta, gain = theta + s, nf - f
-        if float(s @ y) > 1e-12:
-            rho = 1 / float(s @ y)
-            a = np.eye(len(theta)) - rho * np.outer(s, y)
-            h = a @ h @ a.T + rho * np.outer(s, s)
-        f, g = nf, ng
-        if gain < 1e-8 * (abs(f) + 1):
-            break
-    d.unpersist()
-    b = theta[1:p] / sg if xs else np.zeros(0)
-    ll = f - st["elt"]  # density of t, not of ln t
-    k = len(theta)
-    return {"dist": dist, "intercept": float(theta[0] - (b @ mu if xs else 0.0)), "coef": dict(zip(xs, map(float, b))),
-            "scale": 1.0 if fixed else math.exp(theta[p]), "loglik": float(ll), "aic": 2 * k - 2 * ll, "bic": k * math.log(st["n"]) - 2 * ll}
-
-
-def compare_parametric(df: DataFrame, dists: list[str], xs: list[str] | None = None) -> DataFrame:
-    fits = [parametric(df, x, xs) for x in dists]
-    return df.sparkSession.createDataFrame(
-        [(f["dist"], f["intercept"], f["scale"], f["loglik"], f["aic"], f["bic"]) for f in fits],
-        "dist string, intercept double, scale double, loglik double, aic double, bic double").orderBy("aic")
-
-
 # ---- weights and risk summaries --------------------------------------------------------------------
 
 def poisson_weight(key: Column, b: Column) -> Column:

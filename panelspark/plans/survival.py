@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cols import sd
 from ..operators import metrics as m
+from ..operators import parametric, robust
 from ..operators import survival as s
 from ..sources import derive as d
 from .registry import query
@@ -172,12 +173,77 @@ def _(spark, sf):
 
 @query("exponential_fit", "U13", "dist", "intercept loglik", """SELECT 'exponential' AS dist, ln(sum(duration)*1.0/sum(event)) AS intercept, sum(event)*ln(sum(event)*1.0/sum(duration))-sum(event) AS loglik FROM surv WHERE duration>0""", digits=3)
 def _(spark, sf):
-    return s.compare_parametric(d.survival(spark, sf), ["exponential"])
+    return parametric.comparison(spark, parametric.fit_all(d.survival(spark, sf), ["exponential"]))
 
 
-@query("parametric_comparison", "U13 U14", "dist", "intercept scale loglik aic bic")
+# bisection on the shape: the likelihood equation of a Weibull sample has one root
+@query("weibull_fit", "U13", "dist", "intercept scale loglik aic bic", """WITH RECURSIVE y AS (SELECT duration/1000.0 AS t, event FROM surv WHERE duration>0), z AS (SELECT sum(event) AS d, sum(event*ln(t)) AS el, count(*) AS n FROM y),
+ b AS (SELECT 0 AS i, cast(.01 AS double) AS lo, cast(50 AS double) AS hi UNION ALL SELECT any_value(i)+1, CASE WHEN sum(pow(t,(lo+hi)/2)*ln(t))/sum(pow(t,(lo+hi)/2))-2/(lo+hi)-any_value(el/d) < 0 THEN (lo+hi)/2 ELSE lo END,
+  CASE WHEN sum(pow(t,(lo+hi)/2)*ln(t))/sum(pow(t,(lo+hi)/2))-2/(lo+hi)-any_value(el/d) < 0 THEN hi ELSE (lo+hi)/2 END FROM b, y, z WHERE i<60 GROUP BY lo, hi),
+ k AS (SELECT lo AS k FROM b WHERE i=60), f AS (SELECT any_value(k) AS k, any_value(d) AS d, any_value(n) AS n, any_value(el) AS el, ln(sum(pow(t,k))/any_value(d))/any_value(k) AS m FROM y, z, k),
+ l AS (SELECT *, d*ln(k)-d*k*m+(k-1)*el-d-d*ln(1000.0) AS loglik FROM f)
+SELECT 'weibull' AS dist, m+ln(1000.0) AS intercept, 1/k AS scale, loglik, 4-2*loglik AS aic, 2*ln(n)-2*loglik AS bic FROM l""", digits=4)
 def _(spark, sf):
-    return s.compare_parametric(subjects(spark, sf), ["exponential", "weibull", "lognormal", "loglogistic"], ["balance_k"])
+    return parametric.comparison(spark, parametric.fit_all(d.survival(spark, sf), ["weibull"]))
+
+
+ALL_FAMILIES = list(parametric.FAMILIES)
+
+
+@query("parametric_comparison", "U13 U14", "dist aic_rank bic_rank converged", "intercept scale loglik aic bic")
+def _(spark, sf):
+    return parametric.comparison(spark, parametric.fit_all(subjects(spark, sf), ALL_FAMILIES, ["balance_k"]))
+
+
+@query("parametric_coefficients", "U13", "dist term", "coef se p")
+def _(spark, sf):
+    return parametric.coefficients(spark, parametric.fit_all(subjects(spark, sf), ALL_FAMILIES, ["balance_k", "returns"]))
+
+
+@query("exponential_curves", "U14", "market t", "survival hazard median", """WITH z AS (SELECT sum(event)*1.0/sum(duration) AS r FROM surv WHERE duration>0), q AS (SELECT DISTINCT market FROM surv), u AS (SELECT cast(unnest([365,1000,2000]) AS double) AS t)
+SELECT market, t, exp(-r*t) AS survival, r AS hazard, ln(2)/r AS median FROM q, u, z""")
+def _(spark, sf):
+    x = d.survival(spark, sf)
+    fit = parametric.fit_all(x, ["exponential"])[0]
+    rows = parametric.with_median(x.select("market").distinct(), fit)
+    return parametric.curves(rows, fit, [365, 1000, 2000], ["market", "median"])
+
+
+@query("parametric_curves", "U14", "company_id t", "survival hazard median")
+def _(spark, sf):
+    """Of the family with the least AIC."""
+    x = subjects(spark, sf)
+    fit = parametric.best(parametric.fit_all(x, ALL_FAMILIES, ["balance_k"]))
+    return parametric.curves(parametric.with_median(x, fit), fit, [365.25 * y for y in (1, 3, 5, 10)], ["company_id", "median"])
+
+
+RES = """g AS (SELECT duration, sum(event) AS d, count(*) AS e, sum(balance/1000) AS sx FROM surv GROUP BY 1),
+ r AS (SELECT *, sum(e) OVER w AS n, sum(sx) OVER w AS s1 FROM g WINDOW w AS (ORDER BY duration DESC)),
+ a AS (SELECT *, sum(d*1.0/n) OVER u AS ca, sum(d*s1/(n*1.0*n)) OVER u AS cb FROM r WINDOW u AS (ORDER BY duration)),
+ z AS (SELECT company_id, market, event*(balance/1000-s1/n)-(balance/1000*ca-cb) AS r_balance_k FROM surv JOIN a USING (duration))"""
+
+
+def scored(spark, sf):
+    return d.survival(spark, sf).withColumn("balance_k", c("balance") / 1000.0)
+
+
+@query("cox_score_residuals", "U10", "company_id", "r_balance_k", f"WITH {RES} SELECT company_id, r_balance_k FROM z")
+def _(spark, sf):
+    return robust.score_residuals(scored(spark, sf), ["balance_k"], [0.0], ["company_id"])
+
+
+@query("cox_robust_score_test", "U10", "clusters", "chi2", f"""WITH {RES}, m AS (SELECT market, sum(r_balance_k) AS r FROM z GROUP BY 1)
+SELECT 'subject' AS clusters, pow(sum(r_balance_k),2)/sum(r_balance_k*r_balance_k) AS chi2 FROM z UNION ALL SELECT 'market', pow(sum(r),2)/sum(r*r) FROM m""")
+def _(spark, sf):
+    x = scored(spark, sf)
+    return spark.createDataFrame([(n, robust.robust_score_test(x, ["balance_k"], k)["chi2"]) for n, k in (("subject", None), ("market", "market"))], "clusters string, chi2 double")
+
+
+@query("cox_robust_errors", "U10", "clusters term", "coef se robust_se z p")
+def _(spark, sf):
+    x, names = subjects(spark, sf), ["margin", "balance_k"]
+    parts = [robust.robust_cox(x, names, k).withColumn("clusters", F.lit(n)) for n, k in (("subject", None), ("market", "market"))]
+    return parts[0].unionByName(parts[1])
 
 
 @query("hazard_forest", "U15", "company_id year", "hazard survival")
