@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cols import sd
 from ..operators import metrics as m
-from ..operators import parametric, robust
+from ..operators import parametric, resampling, robust
 from ..operators import survival as s
 from ..sources import derive as d
 from .registry import query
@@ -153,6 +153,30 @@ def _(spark, sf):
     return s.concordance(d.survival(spark, sf), "balance", ["market"])
 
 
+def multiples(keys):
+    """Weights of four fixed replicates: the remainders of the key by 2, 3, 4 and 5."""
+    import numpy as np
+
+    return np.stack([keys % k for k in (2, 3, 4, 5)], axis=1).astype(float)
+
+
+@query("concordance_weighted", "U17", "b", "concordant discordant comparable c_index", """WITH q AS (SELECT unnest([2,3,4,5]) AS k), x AS (SELECT k, balance AS s, duration, event, cast(company_id AS bigint) % k AS w FROM surv, q),
+ p AS (SELECT a.k, sum(CASE WHEN a.s>b.s THEN a.w*b.w ELSE 0 END)*1.0 AS concordant, sum(CASE WHEN a.s<b.s THEN a.w*b.w ELSE 0 END)*1.0 AS discordant, sum(a.w*b.w)*1.0 AS comparable
+ FROM x a JOIN x b ON a.k=b.k AND a.event=1 AND a.duration<b.duration GROUP BY 1) SELECT cast(k-2 AS bigint) AS b, *, (concordant+.5*(comparable-concordant-discordant))/comparable AS c_index FROM p""")
+def _(spark, sf):
+    return resampling.weighted_concordance(d.survival(spark, sf), "balance", c("company_id").cast("long"), multiples)
+
+
+@query("concordance_interval", "U17", "draws", "c_index mean se lower upper")
+def _(spark, sf):
+    return resampling.interval_of_fit(subjects(spark, sf), ["margin", "balance_k"], "company_id", 1000)
+
+
+@query("concordance_folds", "U17", "fold", "comparable c_index mean_c")
+def _(spark, sf):
+    return resampling.cross_validated_concordance(subjects(spark, sf), ["margin", "balance_k"], "company_id", 5)
+
+
 @query("time_dependent_auc", "U17", "t cases controls", "auc", """WITH q AS (SELECT unnest([365,1000,2000]) AS t), y AS (SELECT t, balance AS s, CASE WHEN duration<=t AND event=1 THEN 1 WHEN duration>t THEN 0 END AS y FROM surv, q)
 SELECT a.t, count(DISTINCT a.s) AS x, (SELECT count(*) FROM y k WHERE k.t=a.t AND y=1) AS cases, (SELECT count(*) FROM y k WHERE k.t=a.t AND y=0) AS controls, sum(CASE WHEN a.s>b.s THEN 1.0 WHEN a.s=b.s THEN .5 ELSE 0 END)/count(*) AS auc
 FROM y a JOIN y b ON a.t=b.t AND a.y=1 AND b.y=0 GROUP BY a.t""")
