@@ -154,6 +154,7 @@ class Cox:
     n_events: float
     iterations: int
     gradient: np.ndarray
+    converged: bool = True
 
     def table(self, spark) -> DataFrame:
         rows = []
@@ -170,7 +171,9 @@ class Cox:
 
 def cox(df: DataFrame, xs: list[str], ties: str = "efron", penalty: float = 0.0, tol: float = 1e-9, max_iter: int = 30) -> Cox:
     """Newton's method; every step sums exp(xb), x exp(xb), xx' exp(xb) per duration (map-side combine),
-    turns them into risk-set sums by a suffix window over distinct durations and reduces to one row."""
+    turns them into risk-set sums by a suffix window over distinct durations and reduces to one row.
+
+    ``converged`` is false where ``max_iter`` steps were not enough."""
     k = len(xs)
     d = df
     for x in xs:
@@ -209,7 +212,7 @@ def cox(df: DataFrame, xs: list[str], ties: str = "efron", penalty: float = 0.0,
 
     beta = np.zeros(k)
     ll, grad, hess, nd = step(beta)
-    null_ll, it = ll, 0
+    null_ll, it, done = ll, 0, False
     for it in range(1, max_iter + 1):
         delta, scale = np.linalg.solve(hess, grad), 1.0
         while True:
@@ -222,7 +225,7 @@ def cox(df: DataFrame, xs: list[str], ties: str = "efron", penalty: float = 0.0,
         if done:
             break
     d.unpersist()
-    return Cox(xs, beta, np.linalg.inv(hess), ll, null_ll, nd, it, grad)
+    return Cox(xs, beta, np.linalg.inv(hess), ll, null_ll, nd, it, grad, bool(done))
 
 
 def with_risk(df: DataFrame, fit: Cox, name: str = "risk") -> DataFrame:

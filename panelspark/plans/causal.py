@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.cols import sd
 from ..operators import causal as h
 from ..operators import survival as s
+from ..operators import synthetic_did as sdid
 from ..sources import derive as d
 from .registry import query
 from .survival import subjects
@@ -87,6 +88,57 @@ def _(spark, sf):
     return h.synthetic_control(g, "revenue", "BUILDING", "market", START, donors)[1]
 
 
+def nation_panel(spark, sf):
+    """Margins of every company and year with its nation; the first five nations by name are taken for treated."""
+    e = d.entity(spark, sf).select("company_id", "nation")
+    return d.panel(spark, sf).select("company_id", "year", sd("operating_profit", "revenue").alias("y")).join(e, "company_id")
+
+
+def nation_effect(spark, sf):
+    x = nation_panel(spark, sf)
+    return sdid.synthetic_did(x, "y", "nation", "year", [r[0] for r in x.select("nation").distinct().orderBy("nation").limit(5).collect()], START)
+
+
+@query("synthetic_did", "H7", "n_placebo", "effect se p")
+def _(spark, sf):
+    r = nation_effect(spark, sf)
+    return spark.createDataFrame([(len(r["placebo"]), r["effect"], r["se"], r["p"])], "n_placebo int, effect double, se double, p double")
+
+
+@query("synthetic_did_weights", "H7", "kind name", "weight")
+def _(spark, sf):
+    r = nation_effect(spark, sf)
+    return spark.createDataFrame([("unit", str(k), v) for k, v in r["unit_weights"].items()] + [("period", str(k), v) for k, v in r["period_weights"].items()], "kind string, name string, weight double")
+
+
+CGT = """x AS (SELECT year AS t, operating_profit/revenue AS y, CASE market WHEN 'BUILDING' THEN 1998 WHEN 'MACHINERY' THEN 1999 WHEN 'HOUSEHOLD' THEN 2000 END AS g FROM mpanel WHERE revenue<>0),
+ k AS (SELECT DISTINCT g, t FROM x WHERE g IS NOT NULL), f AS (SELECT k.g, k.t,
+  avg(CASE WHEN x.g=k.g AND x.t=k.t THEN y END)-avg(CASE WHEN x.g=k.g AND x.t=k.g-1 THEN y END)
+  -avg(CASE WHEN x.t=k.t AND (x.g IS NULL OR x.g>greatest(k.t,k.g-1) AND x.g<>k.g) THEN y END)+avg(CASE WHEN x.t=k.g-1 AND (x.g IS NULL OR x.g>greatest(k.t,k.g-1) AND x.g<>k.g) THEN y END) AS effect,
+  count(CASE WHEN x.g=k.g AND x.t=k.t THEN y END) AS n_treated, count(CASE WHEN x.t=k.t AND (x.g IS NULL OR x.g>greatest(k.t,k.g-1) AND x.g<>k.g) THEN y END) AS n_control FROM k, x GROUP BY k.g, k.t)"""
+
+
+def cohorts(spark, sf):
+    at = F.when(c("market") == "BUILDING", 1998).when(c("market") == "MACHINERY", 1999).when(c("market") == "HOUSEHOLD", 2000)
+    return sdid.group_time_effects(d.mpanel(spark, sf).select("year", at.alias("treat_year"), sd("operating_profit", "revenue").alias("y")), "y")
+
+
+@query("group_time_effects", "H3", "cohort year since n_treated n_control", "effect", f"WITH {CGT} SELECT g AS cohort, t AS year, t-g AS since, n_treated, n_control, effect FROM f")
+def _(spark, sf):
+    return cohorts(spark, sf)
+
+
+@query("exposure_effects", "H3", "since n", "effect", f"WITH {CGT} SELECT t-g AS since, sum(effect*n_treated)/sum(n_treated) AS effect, cast(sum(n_treated) AS bigint) AS n FROM f GROUP BY 1")
+def _(spark, sf):
+    return sdid.by_exposure(cohorts(spark, sf))
+
+
+@query("cohort_effects", "H3", "cohort n", "effect overall", f"""WITH {CGT}, a AS (SELECT g AS cohort, avg(effect) AS effect, cast(sum(n_treated) AS bigint) AS n FROM f WHERE t>=g GROUP BY 1)
+SELECT *, sum(effect*n) OVER ()/sum(n) OVER () AS overall FROM a""")
+def _(spark, sf):
+    return sdid.by_cohort(cohorts(spark, sf))
+
+
 IVT = "(SELECT company_id, year, operating_profit/revenue AS y, returned/gross AS x, lag(returned/gross) OVER (PARTITION BY company_id ORDER BY year) AS z FROM mpanel)"
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from ..functions.cols import ladder, safe_corr, sd
 from ..functions.ranks import exact_quantiles, long, with_ranks
 from ..operators import regression as rg
+from ..operators import selection
 from ..operators import stats as st
 from ..sources import derive as d
 from .registry import query
@@ -284,6 +285,28 @@ def _(spark, sf):
     return rg.ols_by(reg_panel(spark, sf), ["market"], "y", ["x1", "x2"])
 
 
+def candidates(spark, sf):
+    return d.mpanel(spark, sf).select(sd("operating_profit", "revenue").alias("y"), sd("returned", "gross").alias("returns"), (c("balance") / 1000.0).alias("balance"),
+                                      sd("sg_a_expenses", "revenue").alias("overhead"), sd("inventories", "revenue").alias("stock"), c("year").cast("double").alias("year"))
+
+
+# every subset of two candidates from its sums; the path goes on while a better one is a step away
+@query("stepwise_path", "A14", "step action term", "rss bic", """WITH x AS (SELECT operating_profit/revenue AS y, returned/gross AS a, balance/1000 AS b FROM mpanel), k AS (SELECT * FROM x WHERE y IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL),
+ v AS (SELECT count(*)*1.0 AS n, count(*)*var_pop(y) AS yy, count(*)*var_pop(a) AS aa, count(*)*var_pop(b) AS bb, count(*)*covar_pop(a,y) AS ay, count(*)*covar_pop(b,y) AS by_, count(*)*covar_pop(a,b) AS ab FROM k),
+ r AS (SELECT *, yy-ay*ay/aa AS ra, yy-by_*by_/bb AS rb, yy-(ay*ay*bb-2*ay*by_*ab+by_*by_*aa)/(aa*bb-ab*ab) AS rab FROM v),
+ s AS (SELECT *, n*ln(yy/n)+ln(n) AS k0, n*ln(ra/n)+2*ln(n) AS ka, n*ln(rb/n)+2*ln(n) AS kb, n*ln(rab/n)+3*ln(n) AS kab FROM r)
+SELECT cast(0 AS int) AS step, 'start' AS action, NULL AS term, yy AS rss, k0 AS bic FROM s
+UNION ALL SELECT 1, 'in', CASE WHEN ka<=kb THEN 'returns' ELSE 'balance' END, least(ra,rb), least(ka,kb) FROM s WHERE least(ka,kb)<k0
+UNION ALL SELECT 2, 'in', CASE WHEN ka<=kb THEN 'balance' ELSE 'returns' END, rab, kab FROM s WHERE least(ka,kb)<k0 AND kab<least(ka,kb)""")
+def _(spark, sf):
+    return selection.path_table(spark, selection.stepwise(selection.gram(candidates(spark, sf), "y", ["returns", "balance"]))[0])
+
+
+@query("stepwise_model", "A14 A8", "term", "coef se t p")
+def _(spark, sf):
+    return selection.selected_model(candidates(spark, sf), "y", ["returns", "balance", "overhead", "stock", "year"])
+
+
 @query("interaction_ols", "A9", "term", "coef")
 def _(spark, sf):
     p = reg_panel(spark, sf).withColumn("x1_x2", c("x1") * c("x2"))

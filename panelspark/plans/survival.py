@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cols import sd
 from ..operators import metrics as m
-from ..operators import parametric, resampling, robust
+from ..operators import parametric, resampling, robust, stacking
 from ..operators import survival as s
 from ..sources import derive as d
 from .registry import query
@@ -314,6 +314,34 @@ def _(spark, sf):
     return s.bootstrap_mean(subjects(spark, sf), "company_id", "margin", ["market"], 1000)
 
 
+def percentiles(spark, sf):
+    return stacking.percentile_features(subjects(spark, sf), "company_id", "market", ["margin", "returns", "balance_k"])
+
+
+MPC = "SELECT company_id, market, balance/1000 AS v FROM surv JOIN (SELECT DISTINCT company_id FROM panel) USING (company_id)"
+
+
+@query("risk_percentiles", "U26", "company_id", "pct low", f"""WITH x AS ({MPC}), n AS (SELECT *, count(*) OVER (PARTITION BY market) AS n, rank() OVER (PARTITION BY market ORDER BY v)-1 AS lt, count(*) OVER (PARTITION BY market, v) AS e FROM x)
+SELECT company_id, (2*lt+e+1)/(2.0*n) AS pct, CASE WHEN (2*lt+e+1)/(2.0*n) < .25 THEN 1 ELSE 0 END AS low FROM n""")
+def _(spark, sf):
+    return percentiles(spark, sf)[0].select("company_id", c("balance_k_pct").alias("pct"), c("balance_k_low").alias("low"))
+
+
+def combined(spark, sf):
+    x, names = percentiles(spark, sf)
+    return stacking.stacked_risk(x, "event", ["margin", "returns", "balance_k", *names], "company_id", folds=3, trees=100, rounds=50)
+
+
+@query("stacked_risk_quality", "U26", "member n", "auc c_index brier")
+def _(spark, sf):
+    return stacking.member_quality(combined(spark, sf), "event")
+
+
+@query("stacked_risk_summary", "U26 U27", "market n n_high", "mean_risk median_risk high_share least_survival observed")
+def _(spark, sf):
+    return stacking.risk_by_group(combined(spark, sf), "market")
+
+
 @query("extinction_risk_summary", "U26 U27", "market n", "mean_risk median_risk high_share", """WITH r AS (SELECT company_id, CASE WHEN max(year) < 2000 THEN 0.9 ELSE 0.2 END AS r FROM panel GROUP BY 1)
 SELECT market, count(*) AS n, avg(r) AS mean_risk, quantile_cont(r,.5) AS median_risk, avg(CASE WHEN r>.5 THEN 1.0 ELSE 0 END) AS high_share FROM r JOIN entity USING (company_id) GROUP BY 1""")
 def _(spark, sf):
