@@ -336,6 +336,43 @@ def matched_effect(matches: DataFrame, outcomes: DataFrame, unit: str, y: str) -
     return j.agg(F.avg("diff").alias("att"), (F.avg("diff") / (F.stddev_samp("diff") / F.sqrt(F.count("diff").cast("double")))).alias("t"), F.count("diff").alias("n"))
 
 
+def matched_differences(matches: DataFrame, outcomes: DataFrame, unit: str, y: str) -> DataFrame:
+    """``treated`` and its outcome less the mean outcome of its matches; null where one of them has none."""
+    o = outcomes.select(c(unit).alias("_id"), c(y).cast("double").alias("_y"))
+    m = matches.select("treated", "control").distinct()
+    j = m.join(o.withColumnRenamed("_y", "yc"), m.control == c("_id")).drop("_id").groupBy("treated").agg(F.avg("yc").alias("yc"))
+    return j.join(o.withColumnRenamed("_y", "yt"), j.treated == c("_id")).select("treated", (c("yt") - c("yc")).alias("diff"))
+
+
+def matched_interval(matches: DataFrame, outcomes: DataFrame, unit: str, y: str, by: list[str] | None = None, draws: int = 1000) -> DataFrame:
+    """Effect on the treated, per group of theirs, with a bootstrap interval over treated units; matches stay as they are."""
+    from .resampling import bootstrap_means
+
+    d = matched_differences(matches, outcomes, unit, y)
+    if by:
+        d = d.join(outcomes.select(c(unit).alias("treated"), *by), "treated")
+    return bootstrap_means(d, "treated", "diff", by, draws)
+
+
+def balance_after(matches: DataFrame, df: DataFrame, treat: str, unit: str, cols: list[str]) -> DataFrame:
+    """Standardized differences before and after matching: matched controls weigh as often as they serve, divided by
+    the number of matches of the treated unit they serve.  Spreads are those before matching, so both are on one scale."""
+    per = matches.select("treated", "control").distinct()
+    share = per.join(per.groupBy("treated").agg(F.count(F.lit(1)).alias("_m")), "treated")
+    w = share.groupBy(c("control").alias(unit)).agg(F.sum(1.0 / c("_m")).alias("_w")).unionByName(per.select(c("treated").alias(unit)).distinct().withColumn("_w", F.lit(1.0)))
+    d = df.join(w, unit, "left").withColumn("_w", F.coalesce("_w", F.lit(0.0)))
+    v = long(d, [treat, "_w"], cols).where(c("value").isNotNull())
+
+    def mean(t: int, weight: Column) -> Column:
+        on = F.when(c(treat) == t, weight)
+        return F.sum(on * c("value")) / F.nullif(F.sum(on), F.lit(0.0))
+
+    g = v.groupBy("metric").agg(mean(1, F.lit(1.0)).alias("t0"), mean(0, F.lit(1.0)).alias("c0"), mean(1, c("_w")).alias("t1"), mean(0, c("_w")).alias("c1"),
+                                F.var_samp(F.when(c(treat) == 1, c("value"))).alias("_v1"), F.var_samp(F.when(c(treat) == 0, c("value"))).alias("_v0"))
+    s = F.sqrt((c("_v1") + c("_v0")) / 2.0)
+    return g.select("metric", sd(c("t0") - c("c0"), s).alias("smd_before"), sd(c("t1") - c("c1"), s).alias("smd_after"))
+
+
 def sensitivity(df: DataFrame, treat: str, y: str, gammas: list[float]) -> DataFrame:
     """Mean difference reduced by the worst case (gamma - 1) / gamma x spread of the outcome; not robust
     once less than a tenth of the spread remains."""

@@ -230,6 +230,41 @@ def _(spark, sf):
     return h.matched_effect(h.match_nearest(x, "treat", "score", "company_id", 0.05, 3), x, "company_id", "duration")
 
 
+def pairs(spark, sf):
+    x = scored(spark, sf)
+    return h.match_nearest(x, "treat", "score", "company_id", 0.05, 3), x
+
+
+NM = f"""{SC}, nm AS (SELECT t.company_id AS treated, k.company_id AS control, row_number() OVER (PARTITION BY t.company_id ORDER BY abs(t.score-k.score), k.company_id) AS r FROM sc t JOIN sc k ON t.treat=1 AND k.treat=0 AND abs(t.score-k.score)<=.05),
+ df AS (SELECT n.treated, any_value(a.duration)-avg(b.duration) AS diff FROM nm n JOIN sc a ON a.company_id=n.treated JOIN sc b ON b.company_id=n.control WHERE r<=3 GROUP BY 1)"""
+
+
+@query("matched_differences", "H18", "treated", "diff", f"WITH {NM} SELECT * FROM df")
+def _(spark, sf):
+    return h.matched_differences(*pairs(spark, sf), "company_id", "duration")
+
+
+@query("matched_effect_interval", "H18", "n", "mean se lower upper")
+def _(spark, sf):
+    return h.matched_interval(*pairs(spark, sf), "company_id", "duration")
+
+
+@query("matched_effect_by_margin", "H21", "high_margin n", "mean se lower upper")
+def _(spark, sf):
+    """Treated companies above and below a margin of 20%."""
+    m, x = pairs(spark, sf)
+    return h.matched_interval(m, x.withColumn("high_margin", F.coalesce(c("margin") > 0.2, F.lit(False))), "company_id", "duration", ["high_margin"])
+
+
+@query("balance_after_matching", "H17", "metric", "smd_before smd_after", f"WITH {NM}, n AS (SELECT treated, control, 1.0/count(*) OVER (PARTITION BY treated) AS v FROM nm WHERE r<=3),\n"
+       " w AS (SELECT control AS company_id, sum(v) AS w FROM n GROUP BY 1 UNION ALL SELECT DISTINCT treated, 1.0 FROM n), x AS (SELECT sc.*, coalesce(w,0) AS w FROM sc LEFT JOIN w USING (company_id)) " + " UNION ALL ".join(
+    f"SELECT '{v}' AS metric, (avg({v}) FILTER (treat=1)-avg({v}) FILTER (treat=0))/sqrt((var_samp({v}) FILTER (treat=1)+var_samp({v}) FILTER (treat=0))/2) AS smd_before, "
+    f"(sum(w*{v}) FILTER (treat=1)/sum(w) FILTER (treat=1)-sum(w*{v}) FILTER (treat=0)/sum(w) FILTER (treat=0))/sqrt((var_samp({v}) FILTER (treat=1)+var_samp({v}) FILTER (treat=0))/2) AS smd_after FROM x" for v in ("balance", "duration")))
+def _(spark, sf):
+    m, x = pairs(spark, sf)
+    return h.balance_after(m, x, "treat", "company_id", ["balance", "duration"])
+
+
 @query("hidden_bias_bounds", "H19", "robust", "gamma base effect", f"""WITH {SC}, g AS (SELECT avg(CASE WHEN treat=1 THEN duration END)-avg(CASE WHEN treat=0 THEN duration END) AS base, stddev_pop(duration) AS s FROM sc)
 SELECT gamma, base, base-(gamma-1)/gamma*s AS effect, abs(base-(gamma-1)/gamma*s)>=.1*s AS robust FROM g, (SELECT unnest([1.0,1.5,2.0]) AS gamma)""", digits=4)
 def _(spark, sf):

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.windows import latest_rows
 from ..operators import market as k
+from ..operators import responses
 from ..sources import derive as d
 from .registry import query
 
@@ -158,7 +159,7 @@ def _(spark, sf):
 LEAD = "ld AS (SELECT market, company_id FROM (SELECT market, company_id, sum(revenue) AS r FROM comp GROUP BY 1,2) QUALIFY row_number() OVER (PARTITION BY market ORDER BY r DESC, company_id)<=3)"
 
 
-@query("competitive_responses", "K17 K18 J8", "market focal rival years", "rd_corr capex_corr margin_corr", f"""WITH {LEAD}, z AS (SELECT a.market, b.company_id AS focal, a.company_id AS rival, count(*) AS years, corr(a.rd_ratio,b.rd_ratio) AS x, corr(a.capex_ratio,b.capex_ratio) AS y, corr(a.margin,b.margin) AS w
+@query("competitive_responses", "K17 J8", "market focal rival years", "rd_corr capex_corr margin_corr", f"""WITH {LEAD}, z AS (SELECT a.market, b.company_id AS focal, a.company_id AS rival, count(*) AS years, corr(a.rd_ratio,b.rd_ratio) AS x, corr(a.capex_ratio,b.capex_ratio) AS y, corr(a.margin,b.margin) AS w
  FROM comp a JOIN comp b ON a.market=b.market AND a.year=b.year AND a.company_id<>b.company_id JOIN ld ON ld.company_id=b.company_id GROUP BY 1,2,3 HAVING count(*)>=3)
 SELECT market, focal, rival, years, CASE WHEN x IS NULL OR isnan(x) THEN 0 ELSE x END AS rd_corr, CASE WHEN y IS NULL OR isnan(y) THEN 0 ELSE y END AS capex_corr, CASE WHEN w IS NULL OR isnan(w) THEN 0 ELSE w END AS margin_corr FROM z""", digits=5)
 def _(spark, sf):
@@ -167,6 +168,56 @@ def _(spark, sf):
     return k.responses(p, k.top_k(tot, ["market"], "r", 3))
 
 
+# smoothed series of both sides of a pair, their moves, and all lags of 1 to 3 years
+LAGS = f"""{LEAD}, pr AS (SELECT a.market, b.company_id AS focal, a.company_id AS rival, a.year, a.rd_ratio, a.capex_ratio, a.margin, b.rd_ratio AS f_rd, b.capex_ratio AS f_cx, b.margin AS f_mg
+  FROM comp a JOIN comp b ON a.market=b.market AND a.year=b.year AND a.company_id<>b.company_id JOIN ld ON ld.company_id=b.company_id),
+ sm AS (SELECT *, CASE WHEN count(*) OVER n=3 THEN avg(coalesce(f_rd,0)) OVER n END AS m0, CASE WHEN count(*) OVER n=3 THEN avg(coalesce(rd_ratio,0)) OVER n END AS t0 FROM pr WINDOW n AS (PARTITION BY market, focal, rival ORDER BY year ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+ sn AS (SELECT *, coalesce(m0, lead(m0) OVER w, lag(m0) OVER w) AS m1, coalesce(t0, lead(t0) OVER w, lag(t0) OVER w) AS t1 FROM sm WINDOW w AS (PARTITION BY market, focal, rival ORDER BY year)),
+ mv AS (SELECT *, coalesce(abs((m1-lag(m1) OVER w)/greatest(abs(lag(m1) OVER w),.1))>.2,false) AS mine, coalesce(abs((t1-lag(t1) OVER w)/greatest(abs(lag(t1) OVER w),.1))>.2,false) AS theirs FROM sn WINDOW w AS (PARTITION BY market, focal, rival ORDER BY year)),
+ pc AS (SELECT market, focal, rival, count(*) AS years, corr(rd_ratio,f_rd) AS x, corr(capex_ratio,f_cx) AS y, corr(margin,f_mg) AS w FROM mv GROUP BY 1,2,3 HAVING count(*)>=3),
+ lg AS (SELECT a.market, a.focal, a.rival, avg(b.year-a.year) AS avg_lag, min(b.year-a.year) AS min_lag, max(b.year-a.year) AS max_lag, count(*) AS n_lags FROM mv a JOIN mv b ON a.market=b.market AND a.focal=b.focal AND a.rival=b.rival AND a.mine AND b.theirs AND b.year BETWEEN a.year+1 AND a.year+3 GROUP BY 1,2,3),
+ rl AS (SELECT market, focal, rival, years, CASE WHEN x IS NULL OR isnan(x) THEN 0 ELSE x END AS rd_corr, CASE WHEN y IS NULL OR isnan(y) THEN 0 ELSE y END AS capex_corr, CASE WHEN w IS NULL OR isnan(w) THEN 0 ELSE w END AS margin_corr,
+  coalesce(avg_lag,0) AS avg_lag, coalesce(min_lag,0) AS min_lag, coalesce(max_lag,0) AS max_lag, coalesce(n_lags,0) AS n_lags FROM pc LEFT JOIN lg USING (market, focal, rival)), rs AS (SELECT *, (rd_corr+capex_corr+abs(margin_corr))/3 AS strength FROM rl)"""
+
+
+def lags(spark, sf):
+    p = d.competition(spark, sf)
+    return responses.response_lags(p, k.top_k(p.groupBy("market", "company_id").agg(F.sum("revenue").alias("r")), ["market"], "r", 3))
+
+
+@query("response_lags", "K17", "market focal rival years n_lags relation", "avg_lag min_lag max_lag strength", f"""WITH {LAGS} SELECT market, focal, rival, years, n_lags, avg_lag, min_lag, max_lag, strength,
+ CASE WHEN abs(strength)>.7 AND avg_lag<=1 THEN 'simultaneous' WHEN abs(strength)>.7 THEN 'follower_leader' WHEN abs(strength)>.4 THEN 'moderate' WHEN abs(strength)>.2 THEN 'weak' ELSE 'independent' END AS relation FROM rs""", digits=5)
+def _(spark, sf):
+    return lags(spark, sf)
+
+
+@query("response_timing", "K18", "market focal rivals pattern", "avg_lag strength aggressiveness", f"""WITH {LAGS}, g AS (SELECT market, focal, count(*) AS rivals, avg(avg_lag) AS avg_lag, avg(strength) AS strength, 100*avg(CASE WHEN strength>.5 AND avg_lag<=1 THEN 1.0 ELSE 0 END) AS aggressiveness FROM rs GROUP BY 1,2)
+SELECT *, CASE WHEN strength>.6 AND avg_lag<1 THEN 'fast_responder' WHEN strength>.6 THEN 'strong_follower' WHEN strength>.3 AND avg_lag<1 THEN 'quick_adapter' WHEN strength>.3 THEN 'moderate_follower' ELSE 'independent' END AS pattern FROM g""", digits=5)
+def _(spark, sf):
+    return responses.response_timing(lags(spark, sf))
+
+
+@query("response_intensity", "K18", "market focal dominant", "rd investment pricing overall", f"""WITH {LAGS}, g AS (SELECT market, focal, avg(abs(rd_corr)) AS rd, avg(abs(capex_corr)) AS investment, avg(abs(margin_corr)) AS pricing FROM rs GROUP BY 1,2)
+SELECT *, (rd+investment+pricing)/3 AS overall, CASE WHEN rd=greatest(rd,investment,pricing) THEN 'rd' WHEN investment=greatest(rd,investment,pricing) THEN 'investment' ELSE 'pricing' END AS dominant FROM g""", digits=5)
+def _(spark, sf):
+    return responses.response_intensity(lags(spark, sf))
+
+
+@query("innovation_leaders", "K19", "market block company_id rank", "mean", """WITH g AS (SELECT market, cast(floor((year-1990)/5.0)*5+1990 AS int) AS block, company_id, avg(rd_ratio) AS mean FROM comp WHERE rd_ratio IS NOT NULL GROUP BY 1,2,3)
+SELECT market, block, company_id, mean, cast(row_number() OVER (PARTITION BY market, block ORDER BY mean DESC, company_id) AS int) AS rank FROM g QUALIFY rank<=3""")
+def _(spark, sf):
+    return responses.innovation_leaders(d.competition(spark, sf))
+
+
+@query("followership", "K19", "market company_id adoptions kind", "avg_lag", """WITH m AS (SELECT market, year, avg(rd_ratio) AS m FROM comp GROUP BY 1,2), u AS (SELECT a.market, a.year FROM m a JOIN m b ON a.market=b.market AND b.year=a.year+1 AND b.m>a.m*1.01),
+ s AS (SELECT market, company_id, year, CASE WHEN count(*) OVER n=3 THEN avg(coalesce(rd_ratio,0)) OVER n END AS a FROM comp WINDOW n AS (PARTITION BY market, company_id ORDER BY year ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+ t AS (SELECT *, coalesce(a, lead(a) OVER w, lag(a) OVER w) AS b FROM s WINDOW w AS (PARTITION BY market, company_id ORDER BY year)), v AS (SELECT *, lag(b) OVER (PARTITION BY market, company_id ORDER BY year) AS p FROM t),
+ l AS (SELECT v.market, v.company_id, v.year, v.year-min(u.year) AS lag FROM v JOIN u ON u.market=v.market AND u.year BETWEEN v.year-5 AND v.year-1 WHERE abs((b-p)/greatest(abs(p),.1))>.2 GROUP BY 1,2,3),
+ g AS (SELECT market, company_id, count(*) AS adoptions, avg(lag) AS avg_lag FROM l GROUP BY 1,2) SELECT *, CASE WHEN avg_lag<=1 THEN 'fast' WHEN avg_lag<=3 THEN 'moderate' WHEN avg_lag<=5 THEN 'slow' ELSE 'late' END AS kind FROM g""")
+def _(spark, sf):
+    return responses.followership(d.competition(spark, sf), rise=1.01)
+
+
 @query("imitation", "K19", "company_id n", "slope imitation", """WITH x AS (SELECT company_id, year, abs(rd_ratio-avg(rd_ratio) OVER (PARTITION BY market, year))/abs(avg(rd_ratio) OVER (PARTITION BY market, year)) AS d FROM comp)
 SELECT company_id, count(d) AS n, regr_slope(d,year) AS slope, greatest(0,-10*regr_slope(d,year)) AS imitation FROM x GROUP BY 1 HAVING count(d)>=3""")
 def _(spark, sf):
