@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cols import clip, flag, sd, total, with_totals
@@ -176,6 +176,49 @@ def ar_forecast(df: DataFrame, value: str, horizon: int, min_n: int = 5) -> Data
     return g.select("company_id", "order", "year", F.posexplode("_p").alias("_i", "forecast")).select("company_id", "order", (c("_i") + 1).alias("step"), (c("year") + c("_i") + 1).alias("year"), "forecast")
 
 
+def autoregression(df: DataFrame, value: str, horizon: int, most: int = 3, differences: int = 1) -> DataFrame:
+    """AR(p) per series by Levinson-Durbin on autocovariances; p from 0 to ``most`` by the corrected AIC.
+
+    Series are differenced first (0 or 1 times), and forecasts are summed up again.  An order needs three more values
+    than it has coefficients; a series needs two differences.  All of it is plain expressions on one row a series.
+    """
+    w = W()
+    x = c(value).cast("double")
+    d = df.where(c(value).isNotNull()).select("company_id", "year", x.alias("v"), (x - F.lag(x).over(w) if differences else x).alias("x")).where(c("x").isNotNull())
+    d = d.withColumn("_e", c("x") - F.avg("x").over(whole()))
+    d = d.withColumns({f"_p{k}": c("_e") * (F.lag("_e", k).over(w) if k else c("_e")) for k in range(most + 1)})
+    g = d.groupBy("company_id").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mu"), F.max_by("v", "year").alias("last"), F.max("year").alias("year"),
+                                    F.transform(F.slice(F.sort_array(F.collect_list(F.struct("year", "_e")), False), 1, most), lambda s: s["_e"]).alias("past"),
+                                    *[F.coalesce(F.sum(f"_p{k}"), F.lit(0.0)).alias(f"_r{k}") for k in range(most + 1)]).where(c("n") >= 2)
+    n = c("n").cast("double")
+    g = g.withColumns({f"_r{k}": c(f"_r{k}") / n for k in range(most + 1)}).withColumns({"_s0": c("_r0"), "_a0": F.array().cast("array<double>")})
+    for p in range(1, most + 1):  # reflection coefficient, coefficients and innovation variance of order p from order p - 1
+        prev = c(f"_a{p - 1}")
+        k = (c(f"_r{p}") - total([F.lit(0.0), *[F.get(prev, F.lit(i)) * c(f"_r{p - 1 - i}") for i in range(p - 1)]])) / F.nullif(c(f"_s{p - 1}"), F.lit(0.0))
+        g = g.withColumn(f"_k{p}", F.coalesce(k, F.lit(0.0)))
+        g = g.withColumn(f"_a{p}", F.concat(F.zip_with(prev, F.reverse(prev), lambda a, b: a - c(f"_k{p}") * b) if p > 1 else prev, F.array(f"_k{p}")))
+        g = g.withColumn(f"_s{p}", c(f"_s{p - 1}") * (1 - c(f"_k{p}") * c(f"_k{p}")))
+    score = lambda p: F.when(n > p + 2, n * F.ln(F.greatest(c(f"_s{p}"), F.lit(1e-12))) + 2.0 * (p + 1) * n / (n - p - 2))
+    g = g.withColumns({f"_c{p}": score(p) for p in range(most + 1)})
+    # a null score sorts first: only scored orders take part
+    best = F.array_min(F.filter(F.array(*[F.struct(c(f"_c{p}").alias("c"), F.lit(p).alias("p")) for p in range(most + 1)]), lambda s: s["c"].isNotNull()))
+    g = g.withColumn("order", F.coalesce(best["p"], F.lit(0)))
+    coef = F.array().cast("array<double>")
+    for p in range(1, most + 1):
+        coef = F.when(c("order") == p, c(f"_a{p}")).otherwise(coef)
+    g = g.withColumn("_a", coef)
+    start = F.struct(c("past").alias("h"), (c("last") if differences else F.lit(0.0)).alias("v"), F.array().cast("array<double>").alias("f"))
+
+    def ahead(s: Column, _: Column) -> Column:
+        e = F.aggregate(F.zip_with(F.col("_a"), F.slice(s["h"], F.lit(1), F.size("_a")), lambda a, h: a * h), F.lit(0.0), lambda t, v: t + v)
+        v = (s["v"] + c("mu") + e) if differences else (c("mu") + e)
+        return F.struct(F.concat(F.array(e), s["h"]).alias("h"), v.alias("v"), F.concat(s["f"], F.array(v)).alias("f"))
+
+    path = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), start, ahead, lambda s: s["f"])
+    out = g.select("company_id", "order", "year", F.posexplode(path).alias("_i", "forecast"))
+    return out.select("company_id", "order", (c("_i") + 1).alias("step"), (c("year") + c("_i") + 1).alias("year"), "forecast")
+
+
 def forest_forecast(df: DataFrame, value: str, horizon: int, lags: int = 3, seed: int = 42) -> DataFrame:
     """One pooled forest on lags, mean, spread and elapsed years, applied recursively; band from residual quantiles."""
     from pyspark.ml.feature import VectorAssembler

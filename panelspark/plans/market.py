@@ -215,6 +215,7 @@ def _(spark, sf):
  l AS (SELECT v.market, v.company_id, v.year, v.year-min(u.year) AS lag FROM v JOIN u ON u.market=v.market AND u.year BETWEEN v.year-5 AND v.year-1 WHERE abs((b-p)/greatest(abs(p),.1))>.2 GROUP BY 1,2,3),
  g AS (SELECT market, company_id, count(*) AS adoptions, avg(lag) AS avg_lag FROM l GROUP BY 1,2) SELECT *, CASE WHEN avg_lag<=1 THEN 'fast' WHEN avg_lag<=3 THEN 'moderate' WHEN avg_lag<=5 THEN 'slow' ELSE 'late' END AS kind FROM g""")
 def _(spark, sf):
+    # markets of the given panel never rise by a tenth in a year, the usual threshold
     return responses.followership(d.competition(spark, sf), rise=1.01)
 
 

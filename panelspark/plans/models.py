@@ -113,6 +113,18 @@ def _(spark, sf):
     return k.ar_forecast(d.panel(spark, sf), "revenue", 3)
 
 
+@query("levinson_forecast", "F2", "company_id ar_order step year", "forecast", """WITH z AS (SELECT company_id, year, revenue AS v, revenue-lag(revenue) OVER (PARTITION BY company_id ORDER BY year) AS x FROM panel),
+ e AS (SELECT *, x-avg(x) OVER (PARTITION BY company_id) AS e FROM z WHERE x IS NOT NULL), l AS (SELECT *, lag(e,1) OVER (PARTITION BY company_id ORDER BY year) AS e1, lag(e,2) OVER (PARTITION BY company_id ORDER BY year) AS e2 FROM e),
+ r AS (SELECT company_id, count(*)*1.0 AS n, avg(x) AS mu, arg_max(v,year) AS last, max(year) AS y, arg_max(e,year) AS h1, arg_max(e1,year) AS h2, sum(e*e)/count(*) AS r0, coalesce(sum(e*e1),0)/count(*) AS r1, coalesce(sum(e*e2),0)/count(*) AS r2 FROM l GROUP BY 1 HAVING count(*)>=2),
+ a AS (SELECT *, coalesce(r1/nullif(r0,0),0) AS k1 FROM r), b AS (SELECT *, r0*(1-k1*k1) AS s1 FROM a), k AS (SELECT *, coalesce((r2-k1*r1)/nullif(s1,0),0) AS k2 FROM b), s AS (SELECT *, s1*(1-k2*k2) AS s2 FROM k),
+ i AS (SELECT *, CASE WHEN n>2 THEN n*ln(greatest(r0,1e-12))+2*n/(n-2) END AS c0, CASE WHEN n>3 THEN n*ln(greatest(s1,1e-12))+4*n/(n-3) END AS c1, CASE WHEN n>4 THEN n*ln(greatest(s2,1e-12))+6*n/(n-4) END AS c2 FROM s),
+ o AS (SELECT *, CASE WHEN c2<c0 AND c2<c1 THEN 2 WHEN c1<c0 THEN 1 ELSE 0 END AS o FROM i), f AS (SELECT *, CASE o WHEN 2 THEN (k1-k2*k1)*h1+k2*h2 WHEN 1 THEN k1*h1 ELSE 0 END AS g1 FROM o),
+ h AS (SELECT *, CASE o WHEN 2 THEN (k1-k2*k1)*g1+k2*h1 WHEN 1 THEN k1*g1 ELSE 0 END AS g2 FROM f)
+SELECT company_id, cast(o AS int) AS ar_order, cast(1 AS int) AS step, y+1 AS year, last+mu+g1 AS forecast FROM h UNION ALL SELECT company_id, cast(o AS int), 2, y+2, last+2*mu+g1+g2 FROM h""", digits=4)
+def _(spark, sf):
+    return k.autoregression(d.panel(spark, sf), "revenue", 2, most=2).withColumnRenamed("order", "ar_order")
+
+
 @query("forest_forecast", "F3", "company_id step year", "forecast lower upper")
 def _(spark, sf):
     return k.forest_forecast(d.panel(spark, sf), "revenue", 2)
