@@ -34,8 +34,10 @@ HIDDEN = set("head form select option button fieldset legend label menu dialog".
 CLOSES_P = BLOCK - set("option label button legend summary".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 HOLDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(%s)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+|[^>]*)>|<[!?][^>]*>" % "|".join(RAW), re.S | re.I)
+#: Without an end tag these are read on as markup; of the others the rest of the page is content.
+OPEN_ENDED = set("template svg iframe noscript object".split())
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+STOP = re.compile(r"[>\"']")
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORDS = re.compile(r"[a-z]+")
 
@@ -48,8 +50,75 @@ HAND = (
     '<body><div id="sidebar" class="widget related promo" data-y=0><p>More stories.</p></div><div id="main" class="article-body text" data-y=1><p>Text in the main part of the page.</p><figure><figcaption>A picture of it.</figcaption></figure><h2>Part</h2><p>More text here.</p></div><div id="footer" class="copyright legal" data-y=0>Company, 2020.</div></body>',
     '<body><div class="header top masthead" data-y=0><p>Site name</p></div><div class="breadcrumb navigation menu" data-y=0><a>Home</a> <a>Sports</a></div><article data-y=1><p>The report. It is long, and it goes on.</p><section><h2>More</h2><p>Text again.</p><dl><dt>Term</dt><dd>Meaning of it.</dd></dl></section><aside class="newsletter subscribe share social" data-y=0><p>Sign up here.</p></aside></article></body>',
     '<body><div class="alert warning message" data-y=0>This site moves soon.</div><article data-y=1><header><h1>Title</h1></header><p>Article text with words.</p><footer data-y=0>Posted by someone.</footer></article><div class="sponsored advertisement sponsor ads" data-y=0><p>A product for you.</p></div><div class="respond replies" data-y=0><p>Leave a reply.</p></div></body>',
+    '<body><article data-y=1><h1>Title</h1><p>What happened, in some words. And in some more.</p><div class="ad" data-y=0><p>Buy this thing, it is cheap and good.</p></div><p>The text goes on here.</p><section class="comments" data-y=0><h2>Comments</h2><div class="comment"><p>A reader wrote this, with some words.</p></div><ul><li>Another one wrote this.</li></ul></section></article></body>',
+    '<body><main><article class="post" data-y=1><h1>Title</h1><p>The main story of the page, which is long.</p><p>It has a second part.</p></article><article class="related teaser" data-y=0><h2>Another story</h2><p>Read about it there, it is of interest too.</p></article><section class="comment-list discussion" data-y=0><article class="comment"><p>I do not agree with this, sorry.</p></article></section></main></body>',
 )
 
+# Class and id words that mark boilerplate inside an article.
+SIDE_WORDS = set("ad ads advert advertisement sponsor sponsored promo comment comments respond replies discussion related share social newsletter subscribe cookie banner widget".split())
+
+
+class Scanner:
+    """Tags of a page in order, in time linear in its length.
+
+    A tag ends at the first ``>`` outside quotes, or at the first one where no quote closes before the page does.
+    """
+
+    def __init__(self, html: str) -> None:
+        self.html = html
+        self.last = {q: html.rfind(q) for q in "\"'>"}
+        self.dead: set[int] = set()  # opening quotes from which no ``>`` outside quotes is reached
+        self.without_end: set[str] = set()
+
+    def _tag_end(self, at: int) -> int:
+        """The place after the tag whose name ends at ``at``; there is a ``>`` beyond it."""
+        opened, k = [], at
+        while (m := STOP.search(self.html, k)) is not None:
+            if m[0] == ">":
+                return m.end()
+            if m.start() in self.dead or m.start() >= self.last[m[0]]:
+                break
+            opened.append(m.start())
+            k = self.html.index(m[0], m.end()) + 1
+        self.dead.update(opened)
+        return self.html.index(">", at) + 1
+
+    def _content_end(self, name: str, at: int) -> int:
+        """The place after the content of a raw element that begins at ``at``."""
+        if name not in self.without_end:
+            if m := re.compile(rf"</{name}(?:\s[^>]*)?>", re.I).search(self.html, at):
+                return m.end()
+            self.without_end.add(name)
+        return at if name in OPEN_ENDED else len(self.html)
+
+    def __iter__(self) -> Iterator[tuple[int, int, bool, str, str]]:
+        """(start, end, closing, name, attributes); the name is empty for what holds no element and no text."""
+        html, at = self.html, 0
+        while (i := html.find("<", at)) >= 0:
+            if html.startswith("<!--", i):
+                e = html.find("-->", i + 4)
+                at = e + 3 if e >= 0 else len(html)
+                yield i, at, False, "", ""
+                continue
+            if i > self.last[">"]:
+                return
+            if html[i + 1:i + 2] in ("!", "?"):
+                at = html.index(">", i) + 1
+                yield i, at, False, "", ""
+                continue
+            m = NAME.match(html, i)
+            if m is None or m.end() > self.last[">"]:
+                at = i + 1
+                continue
+            name = m[2].lower()
+            at = self._tag_end(m.end())
+            if name in RAW and not m[1]:
+                if not (name == "svg" and html[at - 2] == "/"):
+                    at = self._content_end(name, at)
+                yield i, at, False, "", ""
+            else:
+                yield i, at, bool(m[1]), name, html[m.end():at - 1]
+
 
 class Node:
     __slots__ = ("tag", "parent", "names", "hand", "chars", "links", "stops", "up")
@@ -83,13 +152,12 @@ def parsed(html: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
             if tag in BLOCK:
                 pieces.append((stack[-1][1], None))
 
-    for m in TOKEN.finditer(html):
-        text(html[at:m.start()])
-        at = m.end()
-        tag = (m[3] or "").lower()
+    for start, end, closing, tag, attributes in Scanner(html):
+        text(html[at:start])
+        at = end
         if not tag:
             continue
-        if m[2]:
+        if closing:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == tag:
                     pop(i)
@@ -118,8 +186,8 @@ def parsed(html: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
                     break
         if tag in BLOCK:
             pieces.append((stack[-1][1], None))
-            names = tuple(WORDS.findall(" ".join(a or b or c for a, b, c in NAMED.findall(m[4])).lower())) if m[4] else ()
-            hand = re.search(r"data-y=(\d)", m[4]) if "data-y=" in m[4] else None
+            names = tuple(WORDS.findall(" ".join(a or b or c for a, b, c in NAMED.findall(attributes)).lower())) if attributes else ()
+            hand = re.search(r"data-y=(\d)", attributes) if "data-y=" in attributes else None
             nodes.append(Node(tag, stack[-1][1], names, int(hand[1]) if hand else None))
             stack.append((tag, len(nodes) - 1))
         else:
@@ -133,6 +201,8 @@ def evidence(n: Node) -> list[str]:
     """Features of a node; those never seen in training say nothing."""
     size = "none" if n.chars == 0 else "short" if n.chars < 25 else "some" if n.chars < 120 else "long"
     out = ["tag " + n.tag, "size " + size, *("name " + x for x in set(n.names))]
+    if n.tag not in ("body", "main") and not SIDE_WORDS.isdisjoint(n.names):  # one feature for all such words, as each alone is rare
+        out.append("side")
     if n.chars:
         out += ["link " + str(min(3, 4 * n.links // n.chars)), "stop " + str(min(3, n.stops))]
     return out
@@ -202,7 +272,7 @@ def hand_labels(nodes: list[Node]) -> list[int]:
 
 
 def markup_labels(nodes: list[Node]) -> list[int] | None:
-    """Labels by a page's only article element, without its asides and the like; None if there is not one."""
+    """Labels by a page's only article element, without its asides and parts that SIDE_WORDS name; None if there is not one."""
     main = [i for i, n in enumerate(nodes) if n.tag == "article"]
     if len(main) != 1:
         return None
@@ -212,7 +282,7 @@ def markup_labels(nodes: list[Node]) -> list[int] | None:
         i = nodes[i].parent
     for i, n in enumerate(nodes):
         inside = i == main[0] or (n.parent >= 0 and out[n.parent] == CONTENT)
-        out.append(FRAME if i in frames else CONTENT if inside and n.tag not in ("nav", "aside", "footer") and n.tag not in HIDDEN else BOILER)
+        out.append(FRAME if i in frames else CONTENT if inside and n.tag not in ("nav", "aside", "footer") and n.tag not in HIDDEN and (i == main[0] or SIDE_WORDS.isdisjoint(n.names)) else BOILER)
     return out
 
 
@@ -222,11 +292,10 @@ def fitted(pages: Iterable[str] = ()) -> Model:
     for h in HAND:
         nodes, _ = parsed(h)
         rows.append((nodes, hand_labels(nodes), HAND_WEIGHT))
-    for h in pages:
-        nodes, _ = parsed(h)
-        if labels := markup_labels(nodes):
-            rows.append((nodes, labels, 1.0))
-    return Model(rows)
+    given = [(nodes, labels) for h in pages for nodes in [parsed(h)[0]] if (labels := markup_labels(nodes))]
+    # together the given pages weigh no more than those labelled by hand, which alone hold what markup doesn't tell
+    weight = min(1.0, HAND_WEIGHT * len(HAND) / max(1, len(given)))
+    return Model(rows + [(nodes, labels, weight) for nodes, labels in given])
 
 
 def main_text(html: str, model: Model) -> str:
@@ -250,8 +319,11 @@ def extracted(pages: DataFrame, html: str = "html") -> DataFrame:
     The potentials are fitted once, on the driver, from at most TRAINING_PAGES pages taken by hash; every whole page is
     then read in its own task, nothing is shuffled.  Null and empty pages give an empty text; repeated rows stay.
     """
-    rows = pages.select(html).where(F.length(html) < 200_000).orderBy(F.xxhash64(html, F.lit(5)), html).limit(TRAINING_PAGES)
-    model = fitted(r[0] for r in rows.collect() if r[0])
+    # the least hashes first, then one page for each: whole pages beyond the sample are not sent anywhere
+    rows = pages.select(F.col(html).alias("_html")).where((F.length(html) < 200_000) & (F.length(html) > 0)).withColumn("_h", F.xxhash64("_html", F.lit(5)))
+    least = [r[0] for r in rows.select("_h").distinct().orderBy("_h").limit(TRAINING_PAGES).collect()]
+    sample = rows.where(F.col("_h") <= least[-1]).groupBy("_h").agg(F.min("_html").alias("_html")).orderBy("_h").collect() if least else []
+    model = fitted(r["_html"] for r in sample)
     at = pages.columns.index(html)
     text, chars = fresh(pages.drop(html), "text", "n_chars")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields if f.name != html]
