@@ -51,7 +51,7 @@ HAND = (
     '<body><div class="header top masthead" data-y=0><p>Site name</p></div><div class="breadcrumb navigation menu" data-y=0><a>Home</a> <a>Sports</a></div><article data-y=1><p>The report. It is long, and it goes on.</p><section><h2>More</h2><p>Text again.</p><dl><dt>Term</dt><dd>Meaning of it.</dd></dl></section><aside class="newsletter subscribe share social" data-y=0><p>Sign up here.</p></aside></article></body>',
     '<body><div class="alert warning message" data-y=0>This site moves soon.</div><article data-y=1><header><h1>Title</h1></header><p>Article text with words.</p><footer data-y=0>Posted by someone.</footer></article><div class="sponsored advertisement sponsor ads" data-y=0><p>A product for you.</p></div><div class="respond replies" data-y=0><p>Leave a reply.</p></div></body>',
     '<body><article data-y=1><h1>Title</h1><p>What happened, in some words. And in some more.</p><div class="ad" data-y=0><p>Buy this thing, it is cheap and good.</p></div><p>The text goes on here.</p><ul><li>One thing to know.</li><li>Another thing.</li></ul><section class="comments" data-y=0><h2>Comments</h2><div class="comment"><p>A reader wrote this, with some words.</p></div></section></article></body>',
-    '<body><main><article class="post" data-y=1><h1>Title</h1><p>The main story of the page, which is long.</p><ol><li>First.</li><li>Second, with words.</li></ol><p>It has a last part.</p></article><article class="related teaser" data-y=0><h2>Another story</h2><p>Read about it there, it is of interest too.</p></article><section class="comment-list discussion" data-y=0><article class="comment"><p>I do not agree with this, sorry.</p></article></section></main></body>',
+    '<body><main><article class="post" data-y=1><h1>Title</h1><p>The main story of the page, which is long.</p><ol><li>First.</li><li>Second, with words.</li></ol><p>It has a last part.</p></article><article class="related teaser" data-y=0><h2>Another story</h2><p>Read about it there, it is of interest too.</p></article><section class="comment-list discussion" data-y=0><div class="comment"><p>I do not agree with this, sorry.</p></div></section></main></body>',
 )
 
 # Class and id words that mark boilerplate inside an article.
@@ -200,7 +200,8 @@ def parsed(html: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
 def evidence(n: Node) -> list[str]:
     """Features of a node; those never seen in training say nothing."""
     size = "none" if n.chars == 0 else "short" if n.chars < 25 else "some" if n.chars < 120 else "long"
-    out = ["tag " + n.tag, "size " + size, *("name " + x for x in set(n.names))]
+    linked = " of links" if 2 * n.links > n.chars else ""  # a list of links is not a list of points
+    out = ["tag " + n.tag + linked, "size " + size, *("name " + x for x in set(n.names))]
     if n.tag not in ("body", "main") and not SIDE_WORDS.isdisjoint(n.names):  # one feature for all such words, as each alone is rare
         out.append("side")
     if n.chars:

@@ -36,7 +36,7 @@ def test_what_is_main_text(model):
 def test_other_articles_and_classes_of_the_body(model):
     assert pages.main_text('<body><article><h1>Main</h1><p>The main story, long and good. It goes on and on.</p></article><article class="related"><h2>Other</h2><p>Another story to read there, it is good.</p></article></body>',
                            model) == "Main The main story, long and good. It goes on and on."
-    assert "The main story" in pages.main_text('<body class="comments-open"><div class="page share"><div class="content"><h1>Main</h1><p>The main story, long and good. It goes on.</p><p>More of it, in words.</p></div></div></body>', model)
+    assert "The main story" in pages.main_text('<body class="comments-open"><div class="page"><div class="content"><h1>Main</h1><p>The main story, long and good. It goes on.</p><p>More of it, in words.</p></div></div></body>', model)
 
 
 @pytest.mark.parametrize("piece", ["<a", '<a "', "<a '\">", '<a ">', "<script>", "<iframe>", "<svg", "<", "<!--", "</", "<a b='"])
