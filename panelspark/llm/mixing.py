@@ -97,13 +97,41 @@ def unpermuted(block: np.ndarray, n: int, key: int, epoch: int) -> np.ndarray:
     return _rounds(block, n, key, epoch, True)
 
 
+#: Numpy's exact draws need totals below this.
+EXACT_TOTAL = 10**9
+
+
+def without_replacement(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
+    """How many of ``n`` items drawn without replacement come from each kind, of which ``left`` are there.
+
+    From ``EXACT_TOTAL`` items on, kind by kind: where few of a kind are there each is taken or not by itself, else the
+    count is a rounded normal with the mean and variance of the exact draw, which it then cannot be told from.
+    """
+    total = int(left.sum())
+    if total < EXACT_TOTAL:
+        return rng.multivariate_hypergeometric(left, n, method="marginals")
+    out = np.zeros(len(left), np.int64)
+    for i, good in enumerate(left.tolist()):
+        bad = total - good
+        if total < EXACT_TOTAL:
+            k = int(rng.hypergeometric(good, bad, n)) if n else 0
+        elif good < 10_000:
+            k = int(rng.binomial(good, n / total))
+        else:
+            p = n / total
+            k = round(good * p + rng.standard_normal() * (good * p * (1 - p) * (bad / max(1, total - 1))) ** 0.5)
+        out[i] = k = min(max(k, 0, n - bad), good, n)
+        n, total = n - k, bad
+    return out
+
+
 def shard_counts(slots: np.ndarray, shards: int, shard: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(first slot, number of slots) of each source in an output shard."""
     lo, hi, first, left = 0, shards, np.zeros(len(slots), np.int64), slots.astype(np.int64).copy()
     while hi - lo > 1:
         mid = (lo + hi) // 2
         rng = np.random.default_rng([seed, lo, hi])
-        take = rng.multivariate_hypergeometric(left, int(left.sum()) * (mid - lo) // (hi - lo), method="marginals")
+        take = without_replacement(rng, left, int(left.sum()) * (mid - lo) // (hi - lo))
         if shard < mid:
             hi, left = mid, take
         else:

@@ -14,7 +14,7 @@ from pyarrow import fs
 from pyspark.sql import functions as F
 
 from oracle_check import compare, connect
-from panelspark.llm import manifest, periodic, warc
+from panelspark.llm import manifest, mixing, periodic, warc
 from panelspark.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -265,3 +265,25 @@ def test_damaged_records_raise():
 def test_warc_query(spark):
     got = sorted(repr(tuple(r)) for r in QUERIES["op13_warc"](spark, SF).collect())
     assert got == brute_records([(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()])
+
+
+# mixing at sizes that numpy's draws don't take
+
+def test_shards_of_very_large_mixes():
+    slots = np.array([6 * 10**11, 3 * 10**11, 10**11 - 7, 7, 0, 12_345], np.int64)
+    parts = [mixing.shard_counts(slots, 7, k) for k in range(7)]
+    assert (sum(n for _, n in parts) == slots).all() and all((f + n == g).all() for (f, n), (g, _) in zip(parts, parts[1:]))
+    assert all(abs(int(n.sum()) - int(slots.sum()) // 7) <= 7 and (n >= 0).all() for _, n in parts)
+    first, n = mixing.shard_counts(slots, 10**6 * 5, 123_456)
+    again = mixing.shard_counts(slots, 10**6 * 5, 123_456)
+    assert (first == again[0]).all() and (n == again[1]).all() and abs(int(n.sum()) - 200_000) < 60
+    assert abs(n[0] - 120_000) < 2500 and abs(n[1] - 60_000) < 2000
+
+
+def test_large_draws_look_like_exact_ones():
+    left = np.array([400_000_000, 590_000_000, 20_000_000, 50], np.int64)
+    draws = np.array([mixing.without_replacement(np.random.default_rng(i), left, 300_000_000) for i in range(300)])
+    p = 300_000_000 / left.sum()
+    assert (draws.sum(1) == 300_000_000).all() and (draws <= left).all()
+    want = left * p * (1 - p) * (left.sum() - left) / (left.sum() - 1)
+    assert (abs(draws.mean(0) - left * p) < 5 * np.sqrt(want / 300)).all() and (abs(draws.var(0) / want - 1) < 0.5).all()
