@@ -7,6 +7,7 @@ period, so no category is ever collected in one window partition.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,6 +108,43 @@ def fill_model(df: DataFrame, cols: list[str], features: list[str], trees: int =
     return df
 
 
+def fill_chained(df: DataFrame, cols: list[str], features: list[str], max_rounds: int = 50, tol: float = 1e-4) -> tuple[DataFrame, int, bool]:
+    """Chained regressions: every column on the features and the other columns, round after round until fills settle.
+
+    Fills start at the mean of a column (and stay there for features).  A column is fitted on the rows where it was
+    given, from one aggregate, with the fills of the others as they are then.  Rounds end when no fill moves by more
+    than ``tol`` standard deviations of its column.  Returns the filled rows, the rounds taken and whether they
+    settled; a column without any value stays null and takes no part.  Rows are written once a round, so pass only the
+    columns that are needed.
+    """
+    from ..session import reliable
+    from .regression import _matrix, moment_aggs
+
+    st = df.agg(*[f(c(x).cast("double")).alias(f"{p}{i}") for i, x in enumerate([*cols, *features]) for p, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    names = [*cols, *features]
+    mean, sd_ = ({x: float(st[f"{p}{i}"]) if st[f"{p}{i}"] is not None else None for i, x in enumerate(names)} for p in "ms")
+    cols, features = ([x for x in xs if mean[x] is not None] for xs in (cols, features))
+    z = {x: f"_z{i}" for i, x in enumerate([*cols, *features])}
+    d = df.withColumns({z[x]: F.coalesce((c(x).cast("double") - mean[x]) / (sd_[x] or 1.0), F.lit(0.0)) for x in z})
+    d, rounds, settled = reliable(d), 0, not cols
+    while not settled and rounds < max_rounds:
+        rounds += 1
+        start = d.withColumns({f"_b{i}": c(z[x]) for i, x in enumerate(cols)})
+        d = start
+        for x in cols:
+            xs = [F.lit(1.0), *[c(z[o]) for o in z if o != x]]
+            row = d.where(c(x).isNotNull()).agg(*moment_aggs(z[x], xs)).first()
+            m = _matrix(row, len(xs) + 1)
+            beta = np.linalg.pinv(m[:-1, :-1]) @ m[:-1, -1]
+            d = d.withColumn(z[x], F.when(c(x).isNotNull(), c(z[x])).otherwise(total([v * float(b) for v, b in zip(xs, beta)])))
+        d = reliable(d)
+        moved = d.agg(*[F.max(F.abs(c(z[x]) - c(f"_b{i}"))).alias(f"d{i}") for i, x in enumerate(cols)]).first()
+        d = d.drop(*[f"_b{i}" for i in range(len(cols))])
+        settled = max([v or 0.0 for v in moved]) <= tol
+    out = d.withColumns({x: F.coalesce(c(x).cast("double"), c(z[x]) * (sd_[x] or 1.0) + mean[x]) for x in cols})
+    return out.drop(*z.values()), rounds, settled
+
+
 def fill_regression(df: DataFrame, target: str, features: list[str], min_rows: int = 50) -> DataFrame:
     """Least squares on known rows; unchanged when at most ``min_rows`` rows are complete."""
     from .regression import ols

@@ -70,10 +70,17 @@ def _(spark, sf):
     return k.fill_statistic(d.holed(spark, sf), ["employees"], "mode")
 
 
-@query("model_fill", "C11", K, "revenue")
+@query("model_fill", "C11", K, "revenue employees total_assets")
 def _(spark, sf):
     h = d.holed(spark, sf).where("exists_flag")
-    return k.fill_model(h.withColumn("age", (c("year") - c("start_year")).cast("double")), ["revenue"], ["age"], trees=5, depth=4)
+    h = h.withColumn("age", (c("year") - c("start_year")).cast("double"))
+    return k.fill_model(h, ["revenue", "employees", "total_assets"], ["age"], trees=50, depth=5)
+
+
+@query("chained_fill", "C11", K, "revenue employees total_assets")
+def _(spark, sf):
+    h = d.holed(spark, sf).where("exists_flag").select("company_id", "year", "revenue", "employees", "total_assets", (c("year") - c("start_year")).cast("double").alias("age"))
+    return k.fill_chained(h, ["revenue", "employees", "total_assets"], ["age"])[0]
 
 
 @query("regression_fill", "C12", K, "ratio", """
