@@ -108,41 +108,60 @@ def fill_model(df: DataFrame, cols: list[str], features: list[str], trees: int =
     return df
 
 
-def fill_chained(df: DataFrame, cols: list[str], features: list[str], max_rounds: int = 50, tol: float = 1e-4) -> tuple[DataFrame, int, bool]:
+def fill_chained(df: DataFrame, cols: list[str], features: list[str], max_rounds: int = 50, tol: float = 1e-6) -> tuple[DataFrame, int, bool]:
     """Chained regressions: every column on the features and the other columns, round after round until fills settle.
 
-    Fills start at the mean of a column (and stay there for features).  A column is fitted on the rows where it was
-    given, from one aggregate, with the fills of the others as they are then.  Rounds end when no fill moves by more
-    than ``tol`` standard deviations of its column.  Returns the filled rows, the rounds taken and whether they
-    settled; a column without any value stays null and takes no part.  Rows are written once a round, so pass only the
-    columns that are needed.
+    Fills start at the mean of a column (and stay there for features).  A round fits all columns in one aggregate, each
+    on the rows where it was given; the fills of a row then are what these regressions agree on, solved at once for
+    each set of columns that are missing together (at most 2^columns sets).  Fills are so plain expressions of the
+    given values, and rounds carry numbers only.  They end when no fill moves by more than ``tol`` standard deviations.
+    Returns the filled rows, the rounds taken and whether they settled.  A column without any value stays null and
+    takes no part.
     """
     from ..session import reliable
-    from .regression import _matrix, moment_aggs
 
     st = df.agg(*[f(c(x).cast("double")).alias(f"{p}{i}") for i, x in enumerate([*cols, *features]) for p, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
-    names = [*cols, *features]
-    mean, sd_ = ({x: float(st[f"{p}{i}"]) if st[f"{p}{i}"] is not None else None for i, x in enumerate(names)} for p in "ms")
-    cols, features = ([x for x in xs if mean[x] is not None] for xs in (cols, features))
-    z = {x: f"_z{i}" for i, x in enumerate([*cols, *features])}
-    d = df.withColumns({z[x]: F.coalesce((c(x).cast("double") - mean[x]) / (sd_[x] or 1.0), F.lit(0.0)) for x in z})
-    d, rounds, settled = reliable(d), 0, not cols
-    while not settled and rounds < max_rounds:
-        rounds += 1
-        start = d.withColumns({f"_b{i}": c(z[x]) for i, x in enumerate(cols)})
-        d = start
-        for x in cols:
-            xs = [F.lit(1.0), *[c(z[o]) for o in z if o != x]]
-            row = d.where(c(x).isNotNull()).agg(*moment_aggs(z[x], xs)).first()
-            m = _matrix(row, len(xs) + 1)
-            beta = np.linalg.pinv(m[:-1, :-1]) @ m[:-1, -1]
-            d = d.withColumn(z[x], F.when(c(x).isNotNull(), c(z[x])).otherwise(total([v * float(b) for v, b in zip(xs, beta)])))
-        d = reliable(d)
-        moved = d.agg(*[F.max(F.abs(c(z[x]) - c(f"_b{i}"))).alias(f"d{i}") for i, x in enumerate(cols)]).first()
-        d = d.drop(*[f"_b{i}" for i in range(len(cols))])
-        settled = max([v or 0.0 for v in moved]) <= tol
-    out = d.withColumns({x: F.coalesce(c(x).cast("double"), c(z[x]) * (sd_[x] or 1.0) + mean[x]) for x in cols})
-    return out.drop(*z.values()), rounds, settled
+    known = {x: (float(st[f"m{i}"]), float(st[f"s{i}"]) or 1.0) for i, x in enumerate([*cols, *features]) if st[f"m{i}"] is not None}
+    cols, features = ([x for x in xs if x in known] for xs in (cols, features))
+    if not cols:
+        return df, 0, True
+    k, names = len(cols), [*cols, *features]
+    d = df.withColumns({f"_z{i}": (c(x).cast("double") - known[x][0]) / known[x][1] for i, x in enumerate(names)})
+    d = d.withColumn("_gap", total([F.when(c(f"_z{i}").isNull(), 1 << i).otherwise(0) for i in range(k)]))
+    d = reliable(d.na.fill(0.0, [f"_z{i}" for i in range(k, len(names))]))
+    gaps = [g for g, in d.select("_gap").distinct().orderBy("_gap").collect() if g]
+
+    def solved(b: np.ndarray) -> list[Column]:
+        """Values of the columns where row i of ``b`` has the regression of column i: intercept, then all names."""
+        out = [c(f"_z{i}") for i in range(k)]
+        for g in gaps:
+            miss = [i for i in range(k) if g >> i & 1]
+            have = [0, *[1 + i for i in range(len(names)) if not (i < k and g >> i & 1)]]
+            w = np.linalg.pinv(np.eye(len(miss)) - b[np.ix_(miss, [1 + i for i in miss])]) @ b[np.ix_(miss, have)]
+            for i, row in zip(miss, w):
+                v = total([F.lit(float(row[0])), *[c(f"_z{h - 1}") * float(q) for h, q in zip(have[1:], row[1:])]])
+                out[i] = F.when(c("_gap") == g, v).otherwise(out[i])
+        return out
+
+    now = before = [F.coalesce(c(f"_z{i}"), F.lit(0.0)) for i in range(k)]
+    rounds, settled = 0, not gaps
+    while not settled:
+        e = d.select("_gap", *[v.alias(f"v{i}") for i, v in enumerate(now)], *[c(f"_z{i}").alias(f"v{i}") for i in range(k, len(names))], *[v.alias(f"u{i}") for i, v in enumerate(before)])
+        v = [F.lit(1.0), *[c(f"v{i}") for i in range(len(names))]]
+        pairs = [(i, j) for i in range(len(v)) for j in range(i, len(v))]
+        given = [(c("_gap").bitwiseAND(1 << t)) == 0 for t in range(k)]
+        r = e.agg(*[F.sum(F.when(given[t], v[i] * v[j])).alias(f"m{t}_{i}_{j}") for t in range(k) for i, j in pairs], *[F.max(F.abs(c(f"v{i}") - c(f"u{i}"))).alias(f"d{i}") for i in range(k)]).first()
+        if rounds and max(r[f"d{i}"] for i in range(k)) <= tol or rounds == max_rounds:
+            settled = max(r[f"d{i}"] for i in range(k)) <= tol
+            break
+        b = np.zeros((k, 1 + len(names)))
+        for t in range(k):
+            m = np.array([[r[f"m{t}_{min(i, j)}_{max(i, j)}"] for j in range(len(v))] for i in range(len(v))], float)
+            own = [i for i in range(len(v)) if i != 1 + t]
+            b[t, own] = np.linalg.pinv(m[np.ix_(own, own)]) @ m[own, 1 + t]
+        before, now, rounds = now, solved(b), rounds + 1
+    out = d.withColumns({x: F.coalesce(c(x).cast("double"), now[i] * known[x][1] + known[x][0]) for i, x in enumerate(cols)})
+    return out.drop("_gap", *[f"_z{i}" for i in range(len(names))]), rounds, settled
 
 
 def fill_regression(df: DataFrame, target: str, features: list[str], min_rows: int = 50) -> DataFrame:
