@@ -261,6 +261,21 @@ def spinoff_patterns(scores: DataFrame, entities: DataFrame, crisis: tuple[int,
     return j.groupBy("market", t.alias("timing")).agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean"), F.avg(flag(c("score") > 0)).alias("success_rate"))
 
 
+def emergence_progress(df: DataFrame, as_of: int) -> DataFrame:
+    """Growth trajectory and success indicators per company, from its yearly rows.
+
+    Mean and spread of its yearly growths (those that are given and not zero), and three scores between 0 and 1: five
+    years of age are a full survival score, a margin of 20% a full profitability score and R&D of 10% of revenue a full
+    innovation score, both at the latest row; ``overall`` is their mean, a score without a value counting as 0.
+    """
+    g = F.when(c("growth") != 0, c("growth"))
+    r = df.groupBy("company_id", "market").agg(F.min("year").alias("entry_year"), F.max("year").alias("last_year"), F.avg(g).alias("mean_growth"), F.stddev_pop(g).alias("growth_spread"),
+                                               F.max_by(F.struct("margin", "rd_ratio"), "year").alias("_l"), F.regr_slope("margin", "year").alias("margin_trend"))
+    share = lambda v, full: F.coalesce(clip(v / full, 0, 1), F.lit(0.0))
+    r = r.withColumns({"survival": share((F.lit(as_of) - c("entry_year")).cast("double"), 5.0), "profitability": share(c("_l.margin"), 20.0), "innovation": share(c("_l.rd_ratio"), 10.0)})
+    return r.drop("_l").withColumn("overall", (c("survival") + c("profitability") + c("innovation")) / 3)
+
+
 def extinction_process(df: DataFrame, ledger: DataFrame) -> DataFrame:
     """Cause (debt ratio above .7), salvage value .8 x assets and record quality at the last row before the event."""
     ev = ledger.select("company_id", "event_type", F.year("event_date").alias("_y"))

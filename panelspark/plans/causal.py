@@ -224,12 +224,6 @@ def _(spark, sf):
     return h.balance(scored(spark, sf), "treat", ["balance", "duration"])
 
 
-@query("matched_effect", "H18 H21", "n", "att t")
-def _(spark, sf):
-    x = scored(spark, sf)
-    return h.matched_effect(h.match_nearest(x, "treat", "score", "company_id", 0.05, 3), x, "company_id", "duration")
-
-
 def pairs(spark, sf):
     x = scored(spark, sf)
     return h.match_nearest(x, "treat", "score", "company_id", 0.05, 3), x
@@ -239,6 +233,12 @@ NM = f"""{SC}, nm AS (SELECT t.company_id AS treated, k.company_id AS control, r
  df AS (SELECT n.treated, any_value(a.duration)-avg(b.duration) AS diff FROM nm n JOIN sc a ON a.company_id=n.treated JOIN sc b ON b.company_id=n.control WHERE r<=3 GROUP BY 1)"""
 
 
+@query("matched_effect", "H18", "n", "att t", f"WITH {NM} SELECT count(diff) AS n, avg(diff) AS att, avg(diff)/(stddev_samp(diff)/sqrt(count(diff))) AS t FROM df")
+def _(spark, sf):
+    x = scored(spark, sf)
+    return h.matched_effect(h.match_nearest(x, "treat", "score", "company_id", 0.05, 3), x, "company_id", "duration")
+
+
 @query("matched_differences", "H18", "treated", "diff", f"WITH {NM} SELECT * FROM df")
 def _(spark, sf):
     return h.matched_differences(*pairs(spark, sf), "company_id", "duration")

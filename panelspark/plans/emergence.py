@@ -177,7 +177,15 @@ def _(spark, sf):
     return e.register(ev.where("value < 100"), ev.where("value >= 100"), ["user_id", "event_type"], "stamp")
 
 
-@query("extinction_process", "E21 E19", "company_id event_type cause", "debt_ratio value record_quality", """WITH ev AS (SELECT company_id, event_type, year(event_date) AS y FROM ledger WHERE event_type IN ('bankruptcy','dissolution')), l AS (SELECT e.company_id, event_type, y, count(*) AS n, max(year) AS ly, arg_max(total_liabilities/total_assets,year) AS debt_ratio, arg_max(net_profit,year) AS np, arg_max(total_assets,year) AS ta
+@query("emergence_progress", "E19", "company_id market entry_year last_year", "mean_growth growth_spread margin_trend survival profitability innovation overall", """WITH g AS (SELECT company_id, market, min(year) AS entry_year, max(year) AS last_year,
+  avg(CASE WHEN growth<>0 THEN growth END) AS mean_growth, stddev_pop(CASE WHEN growth<>0 THEN growth END) AS growth_spread, arg_max(margin, year) AS m, arg_max(rd_ratio, year) AS r, regr_slope(margin, year) AS margin_trend FROM comp GROUP BY 1,2),
+ s AS (SELECT *, least(1,greatest(0,(2001-entry_year)/5.0)) AS survival, coalesce(least(1,greatest(0,m/20)),0) AS profitability, coalesce(least(1,greatest(0,r/10)),0) AS innovation FROM g)
+SELECT *, (survival+profitability+innovation)/3 AS overall FROM s""", digits=4)
+def _(spark, sf):
+    return e.emergence_progress(d.competition(spark, sf), 2001)
+
+
+@query("extinction_process", "E21", "company_id event_type cause", "debt_ratio value record_quality", """WITH ev AS (SELECT company_id, event_type, year(event_date) AS y FROM ledger WHERE event_type IN ('bankruptcy','dissolution')), l AS (SELECT e.company_id, event_type, y, count(*) AS n, max(year) AS ly, arg_max(total_liabilities/total_assets,year) AS debt_ratio, arg_max(net_profit,year) AS np, arg_max(total_assets,year) AS ta
   FROM panel p JOIN ev e ON p.company_id=e.company_id AND year<=y GROUP BY 1,2,3) SELECT company_id, event_type, debt_ratio, CASE WHEN debt_ratio>.7 THEN 'excess_debt' WHEN np<0 THEN 'losses' ELSE 'other' END AS cause, ta*.8 AS value, least(1,n/5.0)*.5+CASE WHEN y-ly<=1 THEN .5 ELSE 0 END AS record_quality FROM l""")
 def _(spark, sf):
     return e.extinction_process(d.panel(spark, sf), d.ledger(spark, sf).where("event_type in ('bankruptcy','dissolution')"))

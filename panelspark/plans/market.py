@@ -300,7 +300,9 @@ def _(spark, sf):
     return k.growth_phases(d.competition(spark, sf))
 
 
-@query("market_saturation", "K28", "market", "b1 b2 optimal_competition")
+# least squares on x and its square by their covariances
+@query("market_saturation", "K28", "market", "b1 b2 optimal_competition", """WITH g AS (SELECT market, year, count(*)*1.0 AS x, avg(margin) AS y FROM comp GROUP BY 1,2), m AS (SELECT market, var_pop(x) AS a, var_pop(x*x) AS b, covar_pop(x,x*x) AS k, covar_pop(x,y) AS p, covar_pop(x*x,y) AS q FROM g GROUP BY 1),
+ s AS (SELECT market, (p*b-q*k)/(a*b-k*k) AS b1, (q*a-p*k)/(a*b-k*k) AS b2 FROM m) SELECT *, CASE WHEN b2<0 THEN -b1/(2*b2) END AS optimal_competition FROM s""", digits=3)
 def _(spark, sf):
     return k.saturation(d.competition(spark, sf))
 

@@ -280,6 +280,25 @@ def _(spark, sf):
     return s.screening(subjects(spark, sf), ["margin", "returns", "balance_k"])
 
 
+@query("screening_spearman", "U16", "term n", "rho", """WITH x AS (SELECT balance/1000 AS v, duration*1.0 AS t FROM surv WHERE company_id IN (SELECT company_id FROM panel)), r AS (SELECT rank() OVER (ORDER BY v)+(count(*) OVER (PARTITION BY v)-1)/2.0 AS a, rank() OVER (ORDER BY t)+(count(*) OVER (PARTITION BY t)-1)/2.0 AS b FROM x)
+SELECT 'balance_k' AS term, count(*) AS n, corr(a,b) AS rho FROM r""")
+def _(spark, sf):
+    from ..operators import stats as st
+
+    x = subjects(spark, sf).withColumn("t", c("duration").cast("double"))
+    return st.spearman(x, ["company_id"], ["balance_k", "t"]).select(c("x").alias("term"), "n", c("r").alias("rho"))
+
+
+@query("screening_lasso", "U16", "term kept", "coef")
+def _(spark, sf):
+    """Features that an l1 penalty keeps for the log of the duration, all on one scale."""
+    from ..operators import regression as rg
+
+    names = ["margin", "returns", "balance_k"]
+    x = subjects(spark, sf).where("duration > 0").withColumn("log_t", F.ln(c("duration").cast("double")))
+    return rg.elastic_net(x, "log_t", names, 0.01, 1.0)[0].withColumn("kept", c("coef") != 0)
+
+
 @query("market_survival_stats", "U18", "market n events", "rate mean_duration duration_pct_mean", """SELECT market, count(*) AS n, cast(sum(event) AS bigint) AS events, avg(event) AS rate, avg(duration) AS mean_duration, avg(pr) AS duration_pct_mean
 FROM (SELECT *, (rank() OVER (PARTITION BY market ORDER BY duration)+(count(*) OVER (PARTITION BY market, duration)-1)/2.0)/count(*) OVER (PARTITION BY market) AS pr FROM surv) GROUP BY 1""")
 def _(spark, sf):
