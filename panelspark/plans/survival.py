@@ -361,7 +361,7 @@ def _(spark, sf):
     return stacking.risk_by_group(combined(spark, sf), "market")
 
 
-@query("extinction_risk_summary", "U26 U27", "market n", "mean_risk median_risk high_share", """WITH r AS (SELECT company_id, CASE WHEN max(year) < 2000 THEN 0.9 ELSE 0.2 END AS r FROM panel GROUP BY 1)
+@query("extinction_risk_summary", "U27", "market n", "mean_risk median_risk high_share", """WITH r AS (SELECT company_id, CASE WHEN max(year) < 2000 THEN 0.9 ELSE 0.2 END AS r FROM panel GROUP BY 1)
 SELECT market, count(*) AS n, avg(r) AS mean_risk, quantile_cont(r,.5) AS median_risk, avg(CASE WHEN r>.5 THEN 1.0 ELSE 0 END) AS high_share FROM r JOIN entity USING (company_id) GROUP BY 1""")
 def _(spark, sf):
     r = d.panel(spark, sf).groupBy("company_id").agg(F.when(F.max("year") < 2000, 0.9).otherwise(0.2).alias("r"))
