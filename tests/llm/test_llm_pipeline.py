@@ -28,4 +28,4 @@ def test_stages(spark, tmp_path):
 
 def test_one_query_an_operator():
     names = [n for n in queries.QUERIES if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
