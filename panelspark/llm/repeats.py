@@ -1,12 +1,13 @@
-"""Repeated byte strings across a corpus: equality classes within groups that can match, in place of a suffix array.
+"""Repeated byte strings across a corpus: longest previous factors in suffix order, within groups that can match.
 
 A suffix array of the whole corpus would need the corpus in one task.  Every string of LENGTH bytes is filed under its
 anchor instead, the 32-byte gram of least hash in it: equal strings have equal anchors at equal offsets, so matches
 meet in the group of their anchor.  Neighbouring strings mostly share an anchor; the bytes they cover together are its
-context.  Contexts found twice settle all their strings at once, by counting.  Only where one anchor has several
-contexts are the bytes of one example of each context shuffled; there prefix doubling numbers the equality
-classes of the strings, and counts or least positions of a class tell whether any other, or an earlier, occurrence
-exists.  An anchor with very many contexts is not gathered: its strings go by hash, one row each.
+context.  Contexts found twice settle all their strings at once, by counting.  Where one anchor has several contexts,
+the bytes of one example of each are put in suffix order.  In that order the nearest smaller positions before and after
+a suffix hold its longest match with anything earlier, so their common prefixes give the longest-previous-factor array:
+a string at least LENGTH long there has an earlier copy, and the place that gave it a later one.  An anchor with very
+many contexts is not gathered: its strings go by hash, one row each.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ GRAM = 32
 CHUNK = 1 << 19
 #: Contexts of one anchor beyond which its strings go by hash.
 HOT = 2048
+#: A context found in more than one of so many places is common; there are fewer common ones than that.
+COMMON = 2000
 TABLE = np.array([xxhash.xxh64_intdigest(bytes([i]), 11) for i in range(256)], np.uint64)
 
 
@@ -99,15 +102,15 @@ def _digest(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in b.column(1)]
-            rows: list[tuple] = []
+            blocks = [np.zeros((0, 5), np.int64)]
             for nums, data, ends in _blocks(texts, length):
                 raw = data.tobytes()
                 starts = np.concatenate(([0], ends[:-1]))
-                for d, a, p, lo, hi in zip(*(x.tolist() for x in anchors(data, ends, length))):
-                    i, shift = nums[d]
-                    c = xxhash.xxh64_intdigest(raw[lo:hi + length], p - lo)
-                    rows.append((i, a, c - (1 << 64) if c >> 63 else c, lo - starts[d] + shift, hi - starts[d] + shift))
-            cols = np.array(rows, np.int64).reshape(-1, 5)
+                d, a, at, lo, hi = anchors(data, ends, length)
+                c = np.array([xxhash.xxh64_intdigest(raw[x:y + length], p - x) for p, x, y in zip(at.tolist(), lo.tolist(), hi.tolist())], np.uint64)
+                i, shift = np.array(nums, np.int64).T
+                blocks.append(np.stack((i[d], a, c.view(np.int64), lo - starts[d] + shift[d], hi - starts[d] + shift[d]), axis=1))
+            cols = np.concatenate(blocks)
             offsets = np.searchsorted(cols[:, 0], np.arange(len(texts) + 1))
             items = pa.StructArray.from_arrays([pa.array(cols[:, k]) for k in range(1, 5)], ["a", "c", "lo", "hi"])
             yield pa.RecordBatch.from_arrays(
@@ -116,25 +119,90 @@ def _digest(length: int):
     return run
 
 
-def classes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Number of the equality class of the ``length`` bytes at each of ``starts`` (prefix doubling; numbers follow no byte order)."""
-    rank, have = data.astype(np.int64), 1
-    while have * 2 <= length:
-        m = len(rank) - have
-        rank = np.unique(rank[:m] * (int(rank.max()) + 1) + rank[have:], return_inverse=True)[1] if have > 2 else rank[:m] * 256 ** have + rank[have:]
-        have *= 2
-    pair = rank[starts] * (int(rank.max()) + 1) + rank[starts + length - have]
-    return np.unique(pair, return_inverse=True)[1]
-
+def suffix_order(symbols: np.ndarray, width: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Places in order of the ``width`` (a power of two) symbols from there on, ties by place, and the doubled names.
 
-def repeated_starts(data: np.ndarray, starts: np.ndarray, order: np.ndarray, length: int, first: bool) -> np.ndarray:
-    """True where the string at a start occurs again, or with ``first`` where it occurs at a smaller ``order``."""
-    k = classes(data, starts, length)
+    ``names[k]`` tells whether two places have the same 2^k symbols, and orders them.  Names are made dense only where
+    a product of two would not fit.
+    """
+    names, have = [symbols.astype(np.int64)], 1
+    while have < width:
+        last = names[-1]
+        if (int(last.max()) + 2) ** 2 >= 1 << 62:
+            values, last = np.unique(last, return_inverse=True)
+            names[-1] = last
+            if len(values) == len(last):
+                break
+        after = np.zeros(len(last), np.int64)
+        after[:-have] = last[have:] + 1
+        names.append(last * (int(last.max()) + 2) + after)
+        have *= 2
+    return np.argsort(names[-1], kind="stable"), names
+
+
+def common_prefix(names: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Symbols that the suffixes at ``i`` and ``j`` share, up to 2^len(names) - 1.  Each text ends in a symbol of its own,
+    so no prefix runs past it."""
+    same = np.zeros(len(i), np.int64)
+    for k in range(len(names) - 1, -1, -1):
+        same += (names[k][i + same] == names[k][j + same]).astype(np.int64) << k
+    return same
+
+
+def previous_smaller(x: np.ndarray) -> np.ndarray:
+    """Index of the nearest smaller value before each one, -1 where there is none, through a tree of minima."""
+    tree = [x]
+    while len(tree[-1]) > 1:
+        if len(tree[-1]) % 2:
+            tree[-1] = np.append(tree[-1], np.iinfo(x.dtype).max)
+        tree.append(np.minimum(tree[-1][::2], tree[-1][1::2]))
+    node, level, todo = np.full(len(x), -1), np.zeros(len(x), np.int64), np.arange(len(x))
+    for k, low in enumerate(tree[:-1]):
+        left = (todo >> k) - 1  # of the sibling, for a right child
+        hit = left % 2 == 0
+        hit[hit] = low[left[hit]] < x[todo[hit]]
+        node[todo[hit]], level[todo[hit]] = left[hit], k
+        todo = todo[~hit]
+    for k in range(len(tree) - 1, 0, -1):
+        i = np.flatnonzero((level == k) & (node >= 0))
+        node[i] = 2 * node[i] + (tree[k - 1][2 * node[i] + 1] < x[i])
+        level[i] = k - 1
+    return node
+
+
+def longest_previous(data: np.ndarray, ends: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``starts`` the longest match with an earlier start, and that start (-1: none).
+
+    ``data`` holds texts, each with one byte more that stands for its end (``ends``: the places of these).  Matches end
+    with their texts; those of more than ``length`` bytes may be given shorter, but not below ``length``.
+    """
+    symbols = data.astype(np.int64) + len(ends)
+    symbols[ends] = np.arange(len(ends))
+    order, names = suffix_order(symbols, 1 << length.bit_length())
+    number = np.full(len(data), -1)
+    number[starts] = np.arange(len(starts))
+    by = number[order]
+    by = by[by >= 0]  # starts in suffix order
+    place = starts[by]
+    sides = [previous_smaller(place), len(place) - 1 - previous_smaller(place[::-1])[::-1]]
+    sides[1][sides[1] == len(place)] = -1
+    longest, source = np.zeros(len(starts), np.int64), np.full(len(starts), -1)
+    for near in sides:
+        has = np.flatnonzero(near >= 0)
+        match = common_prefix(names, place[has], place[near[has]])
+        better = match > longest[by[has]]
+        longest[by[has[better]]], source[by[has[better]]] = match[better], place[near[has[better]]]
+    return longest, source
+
+
+def repeated_starts(data: np.ndarray, ends: np.ndarray, starts: np.ndarray, length: int, first: bool) -> np.ndarray:
+    """True where the string at a start occurs again, or with ``first`` where it occurs at an earlier start."""
+    longest, source = longest_previous(data, ends, starts, length)
+    hit = longest >= length
     if not first:
-        return np.bincount(k)[k] > 1
-    least = np.full(int(k.max(initial=-1)) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, k, order)
-    return order > least[k]
+        # the least place of a string is the only earlier one of the next, which names it
+        hit |= np.isin(starts, source[hit])
+    return hit
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) -> DataFrame:
@@ -152,8 +220,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) ->
     several = kinds.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     # most anchors are met once: they end here
     contexts = reliable(kinds.join(several, "a", "left").where("times > 1 or kinds > 1"))
-    twice = contexts.where("times > 1").select("a", "c", F.col("at.place").alias("first_place"))
-    settled = seen.join(twice, ["a", "c"])
+    twice = contexts.where("times > 1").select("a", "c", "times", F.col("at.place").alias("first_place"))
+    most = (digest.agg(F.sum(F.size("anchors"))).first()[0] or 0) / COMMON
+    common = F.broadcast(twice.where(F.col("times") > most).drop("times"))
+    # places of a common context stay where they are, so no task gathers them
+    settled = seen.join(common, ["a", "c"]).unionByName(
+        seen.join(common.select("a", "c"), ["a", "c"], "left_anti").join(twice.where(F.col("times") <= most).drop("times"), ["a", "c"]))
     if keep_first:
         settled = settled.where(place > F.col("first_place"))
     runs = settled.select("doc_id", "h", "lo", (F.col("hi") + length).alias("end"))
@@ -186,14 +258,15 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) ->
         last = np.flatnonzero(b["a"].to_numpy()[1:] != b["a"].to_numpy()[:-1]) + 1
         total, out, s = np.concatenate(([0], np.cumsum(size))), [], 0
         while s < len(b):
-            e = next((x for x in last if x > s and total[x] - total[s] >= CHUNK), len(b))
+            k = np.searchsorted(total[last], total[s] + CHUNK)
+            e = int(last[k]) if k < len(last) else len(b)
             part, n = b.iloc[s:e], size[s:e]
-            data = np.frombuffer(b"".join(part["bytes"]), np.uint8)
-            base = np.cumsum(n) - n
+            data = np.frombuffer(b"".join(x + b"\0" for x in part["bytes"]), np.uint8)
+            base = np.cumsum(n + 1) - n - 1
             starts = np.concatenate([np.arange(o, o + k - length + 1) for o, k in zip(base, n)])
             row = np.repeat(np.arange(len(part)), n - length + 1)
             # the sort has put places in order, so positions in ``data`` compare as (doc_id, h, offset) do
-            hit = repeated_starts(data, starts, starts, length, keep_first)
+            hit = repeated_starts(data, base + n, starts, length, keep_first)
             if hit.any():
                 at, r = (starts - base[row])[hit], row[hit]
                 edge = np.flatnonzero(np.concatenate(([True], (np.diff(at) != 1) | (np.diff(r) != 0))))
@@ -211,7 +284,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) ->
 
     shape = f"doc_id {kind}, h long, lo long, end long"
     runs = runs.unionByName(pieces.where("not hot").withColumn("bucket", bucket).groupBy("bucket").applyInPandas(match, shape))
-    strings = pieces.where("hot").mapInPandas(hashed, f"doc_id {kind}, h long, a long, k long, lo long").distinct()
+    strings = reliable(pieces.where("hot").mapInPandas(hashed, f"doc_id {kind}, h long, a long, k long, lo long").distinct())
     again = strings.groupBy("a", "k").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("first_place")).where("times > 1")
     more = strings.join(again, ["a", "k"])
     if keep_first:

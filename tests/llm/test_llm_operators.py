@@ -366,9 +366,31 @@ def test_block_tables(spark):
 
 # repeats
 
-@pytest.mark.parametrize("hot", [2048, 1])
-def test_repeats(docs, rows, empty, hot, monkeypatch):
+def test_longest_previous_factors():
+    rng = random.Random(1)
+    for _ in range(100):
+        n = rng.randint(2, 12)
+        texts = [bytes(rng.choice([0, 1, 255]) for _ in range(rng.randint(n, 40))) for _ in range(rng.randint(1, 6))]
+        data = np.frombuffer(b"".join(x + b"\0" for x in texts), np.uint8)
+        size = np.array([len(x) for x in texts])
+        base = np.cumsum(size + 1) - size - 1
+        starts = np.concatenate([np.arange(o, o + k - n + 1) for o, k in zip(base, size)])
+        rest = [texts[r][s - base[r]:] for r, k in enumerate(size) for s in range(base[r], base[r] + k - n + 1)]
+        longest, _ = repeats.longest_previous(data, base + size, starts, n)
+        shared = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        for j, got in enumerate(longest.tolist()):
+            want = max((shared(rest[j], rest[i]) for i in range(j)), default=0)
+            assert got == want or n <= got <= want
+        for first in (True, False):
+            hit = repeats.repeated_starts(data, base + size, starts, n, first)
+            for j, got in enumerate(hit.tolist()):
+                assert got == any(rest[i][:n] == rest[j][:n] for i in range(j if first else len(rest)) if i != j)
+
+
+@pytest.mark.parametrize("hot, common", [(2048, 2000), (1, 2000), (2048, 10 ** 9)])
+def test_repeats(docs, rows, empty, hot, common, monkeypatch):
     monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "COMMON", common)
     n, raw = 120, [(r[1] or "").encode() for r in rows]
     seen = Counter(b[i:i + n] for b in raw for i in range(len(b) - n + 1))
     want = []
@@ -388,6 +410,11 @@ def test_repeats_keep_first(spark):
     assert got == {1: 0, 2: 500, 3: 700, 4: 500}
 
 
+def test_repeats_of_a_long_periodic_text(spark):
+    d = spark.createDataFrame([(1, " " * 300_000), (2, "ab" * 400 + "c" * 399)], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in repeats.removed(d).collect()} == {1: 300_000, 2: 800}
+
+
 # pages
 
 def test_pages(spark):
