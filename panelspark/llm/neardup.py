@@ -33,6 +33,8 @@ THIRDS = ((1 << 22) - 1, ((1 << 21) - 1) << 22, ((1 << 21) - 1) << 43)
 SAMPLE = 20_000
 #: Home fingerprints wanted in a shard.
 SHARD = 4096
+#: Home fingerprints of a shard beyond which it is dealt in chunks even where its tree can go on inside the task.
+LARGE = 1 << 21
 #: Pairs compared in one numpy block.
 BLOCK = 1 << 20
 #: A fingerprint of more than one in so many rows is hot; there are fewer hot ones than that.
@@ -92,6 +94,7 @@ class Tree:
     def __init__(self, sample: np.ndarray, mask: int, leaf: int) -> None:
         self.nodes: list[list] = []
         self.shards = 0
+        self.dense: set[int] = set()  # shards that no vantage point divides
         self.root = self._grow(sample, [(mask, 1), (FULL, RADIUS)], leaf)
 
     def _grow(self, points: np.ndarray, metrics: list[tuple[int, int]], leaf: int) -> int:
@@ -105,6 +108,7 @@ class Tree:
                     self.nodes[i][4] = self._grow(points[d <= mu], metrics[k:], leaf)
                     self.nodes[i][5] = self._grow(points[d > mu], metrics[k:], leaf)
                     return i
+            self.dense.add(self.shards)
         self.shards += 1
         return -self.shards
 
@@ -188,11 +192,16 @@ def shard_links(home: np.ndarray, guest: np.ndarray, mask: int) -> list[np.ndarr
 def links(fps: DataFrame) -> DataFrame:
     """Links (a, b) that join all distinct fingerprints (column ``fp``) at RADIUS or fewer differing bits.
 
-    Shards hold about SHARD home points.  A shard that cannot be divided (more than four times that) is dealt as a
-    grid of chunk pairs, so that no task grows with the densest group.
+    Shards hold about SHARD home points, or n / SAMPLE times a few where that is more; the tree of a larger shard goes on
+    inside its task.  A shard that no vantage point divides is dealt as a grid of chunk pairs of SHARD points each, so
+    that no task grows with the densest group, and any other one in chunks of LARGE.
     """
     n = fps.count()
-    sample = np.array([r.fp for r in fps.orderBy(F.xxhash64("fp", F.lit(7)), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
+    # about SAMPLE of any number of fingerprints, those of least hash
+    some = fps.select(F.xxhash64("fp", F.lit(7)).alias("order"), "fp")
+    if n > SAMPLE:
+        some = some.where(F.col("order") < int((SAMPLE / n - 0.5) * 2.0 ** 64))
+    sample = np.array([r.fp for r in sorted(some.collect())], np.int64).view(np.uint64)
     trees = [Tree(sample, m, max(2, len(sample) * SHARD // max(n, 1))) for m in THIRDS]
     base = np.cumsum([0] + [t.shards for t in trees])
 
@@ -202,7 +211,9 @@ def links(fps: DataFrame) -> DataFrame:
             yield pd.DataFrame([(int(base[k]) + s, len(h)) for k, t in enumerate(trees) for s, h, _ in t.route(x)], columns=["shard", "n"])
 
     sizes = fps.mapInPandas(homes, "shard long, n long").groupBy("shard").agg(F.sum("n").alias("n")).collect()
-    chunks = {r.shard: -(-r.n // SHARD) for r in sizes if r.n > 4 * SHARD}
+    dense = {int(b) + s for b, t in zip(base, trees) for s in t.dense}
+    size = lambda shard: SHARD if shard in dense else LARGE
+    chunks = {r.shard: -(-r.n // size(r.shard)) for r in sizes if r.n > 4 * size(r.shard)}
 
     def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
