@@ -15,18 +15,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import reliable
 from .common import fresh, words
 
 #: Cutoffs of each rule, most lenient first.
 CUTOFFS = {
     "symbols_per_word": (5.0, 3.0, 2.0, 1.5, 1.2, 1.0, 0.8, 0.6, 0.45, 0.3, 0.2, 0.1),
     "shouts_per_word": (3.0, 2.0, 1.5, 1.2, 1.0, 0.8, 0.6, 0.4, 0.3, 0.2, 0.1),
+    "capital_share": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2),
     "dup_line_share": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1),
     "repeat_share": (0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.05),
 }
 #: One good document lost weighs as much as so many bad ones caught (as shares).
 LOSS_WEIGHT = 10.0
-MAX_STRATA = 10_000
+#: Strata whose cutoffs are sent to every task; more of them are joined.
+FEW_STRATA = 10_000
 
 
 def measured(df: DataFrame, text: str = "text", into: str = "m") -> DataFrame:
@@ -61,12 +64,14 @@ def measured(df: DataFrame, text: str = "text", into: str = "m") -> DataFrame:
         F.coalesce(F.size(covered), F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size(lines).cast("long").alias("n_lines"),
         count(r"[^!]+").alias("n_shouts"),
+        count(r"[^\p{Lu}]+").alias("n_capitals"),
     ))
     per = lambda x, y: F.col(f"{b}.{x}") / F.greatest(F.col(f"{b}.{y}"), F.lit(1))
     return out.withColumn(into, F.struct(
         f"{b}.n_words", f"{b}.word_chars", f"{b}.n_symbols", f"{b}.n_dup_lines", f"{b}.n_repeat_words",
         per("n_symbols", "n_words").alias("symbols_per_word"),
         per("n_shouts", "n_words").alias("shouts_per_word"),
+        per("n_capitals", "word_chars").alias("capital_share"),
         per("n_dup_lines", "n_lines").alias("dup_line_share"),
         per("n_repeat_words", "n_words").alias("repeat_share"),
     )).drop(w, h, s, b)
@@ -137,23 +142,20 @@ def calibrate(scored: DataFrame, stratum: str, good: str, risk: float = 0.05, er
         "_k = 1").drop("_k")
 
 
-def verdict(df: DataFrame, cutoffs: DataFrame, stratum: str, m: str = "m") -> Column:
-    """True where no base rule and no certified cutoff rejects the row.
+def judged(df: DataFrame, cutoffs: DataFrame, stratum: str, m: str = "m", into: str = "kept") -> DataFrame:
+    """Add ``into``: true where no base rule and no certified cutoff rejects the row.
 
-    ``cutoffs`` has a row per certified rule and stratum; each such stratum has hundreds of labelled rows, and over
-    ``MAX_STRATA`` rows raise an error, so the lookup sent along with the plan stays small.
+    The cutoffs of a stratum are one row (null is a stratum like any other).  They are broadcast where counted as few.
     """
-    rows = cutoffs.select("stratum", "rule", "cutoff").limit(MAX_STRATA + 1).collect()
-    if len(rows) > MAX_STRATA:
-        raise ValueError("strata must be few: use a coarser column")
+    names = fresh(df, "_stratum", *[f"_cut_{r}" for r in CUTOFFS])
+    wide = reliable(cutoffs.groupBy(F.col("stratum").alias(names[0])).agg(*[
+        F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(c) for r, c in zip(CUTOFFS, names[1:])]))
+    if wide.limit(FEW_STRATA + 1).count() <= FEW_STRATA:
+        wide = F.broadcast(wide)
     bad = base_failed(m)
-    for rule in CUTOFFS:
-        of = [r for r in rows if r.rule == rule]
-        if of:
-            pairs = [F.lit(x) for r in of for x in (r.stratum if r.stratum is not None else "\0null", r.cutoff)]
-            cut = F.create_map(*pairs)[F.coalesce(F.col(stratum).cast("string"), F.lit("\0null"))]
-            bad = bad | F.coalesce(F.col(f"{m}.{rule}") > cut, F.lit(False))
-    return ~bad
+    for rule, c in zip(CUTOFFS, names[1:]):
+        bad = bad | F.coalesce(F.col(f"{m}.{rule}") > F.col(c), F.lit(False))
+    return df.join(wide, F.col(stratum).eqNullSafe(F.col(names[0])), "left").withColumn(into, ~bad).drop(*names)
 
 
 def label_table(labels: DataFrame) -> DataFrame:
@@ -168,11 +170,11 @@ def quality_filter(docs: DataFrame, labels: DataFrame, stratum: str = "lang", ri
     empty texts have no words and go; repeated rows are judged alike; an empty table stays empty; no labels leave
     the base rules alone.
     """
-    (m,) = fresh(docs, "_m")
+    m, kept = fresh(docs, "_m", "_kept")
     cutoffs = calibrate(labelled(measured(docs.select("doc_id", "text", F.col(stratum).alias("stratum"))), labels),
                         "stratum", "_good", risk, error)
     scored = measured(docs, into=m)
-    return scored.where(verdict(scored, cutoffs, stratum, m)).select(*[f"`{c}`" for c in docs.columns])
+    return judged(scored, cutoffs, stratum, m, kept).where(F.col(kept)).select(*[f"`{c}`" for c in docs.columns])
 
 
 def labelled(scored: DataFrame, labels: DataFrame) -> DataFrame:

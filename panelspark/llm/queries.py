@@ -26,8 +26,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("stratum"))
     rows = kept_rows(quality.measured(docs).select("doc_id", "stratum", "m"))
     cutoffs = quality.calibrate(quality.labelled(rows, table(spark, sf_dir, "labels")), "stratum", "_good")
-    return rows.select("doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words",
-                       quality.base_failed().alias("base_failed"), quality.verdict(rows, cutoffs, "stratum").alias("kept"))
+    return quality.judged(rows, cutoffs, "stratum").select(
+        "doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words", quality.base_failed().alias("base_failed"), "kept")
 
 
 @registered

@@ -101,6 +101,52 @@ def test_quality_filter(spark, docs, empty):
     assert cut and all(c.good_lost == 0 for c in cut)
 
 
+def test_verdict_equals_slow_calibration(spark):
+    """Cutoffs and ``kept`` against a direct count, strata with a null and a lookalike of it, joined with and without a broadcast."""
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(4800):
+        good = rng.random() < 0.6
+        odd = rng.random() < (0.001 if good else 0.9)
+        letters = lambda: "".join(rng.choice("ABCDEF" if rng.random() < (0.7 if odd else 0.02) else "abcdef") for _ in range(4))
+        words = [f"{letters()}{rng.randrange(1000)}" + "#" * (rng.random() < (0.5 if odd else 0.03)) for _ in range(60)]
+        rows.append((i, " ".join(words), rng.choice(["en", None, "\0null"])))
+        labels.append((i, int(good)))
+    measures_of = {}
+    for i, t, _ in rows:
+        w = t.split()
+        measures_of[i] = {"symbols_per_word": t.count("#") / len(w), "shouts_per_word": 0.0, "capital_share": sum(c.isupper() for c in t) / sum(map(len, w)),
+                          "dup_line_share": 0.0, "repeat_share": measures(t)[4] / len(w)}
+    assert set(measures_of[0]) == set(quality.CUTOFFS)
+    risk = error = 0.05
+    want = {}
+    for stratum in {r[2] for r in rows}:
+        of = [(measures_of[r[0]], dict(labels)[r[0]]) for r in rows if r[2] == stratum]
+        n_good, n_bad = sum(g for _, g in of), sum(1 - g for _, g in of)
+        for rule, cuts in quality.CUTOFFS.items():
+            best = None
+            for c in cuts:
+                lost, caught = sum(g for m, g in of if m[rule] > c), sum(1 - g for m, g in of if m[rule] > c)
+                p = risk / len(quality.CUTOFFS)
+                if lost >= p * n_good or sum(comb(n_good, k) * p ** k * (1 - p) ** (n_good - k) for k in range(lost + 1)) > error / (3 * len(quality.CUTOFFS)):
+                    break
+                gain = caught / n_bad - quality.LOSS_WEIGHT * lost / n_good
+                if gain > 0 and (best is None or gain > best[0]):
+                    best = (gain, c)
+            if best:
+                want[stratum, rule] = best[1]
+    assert {r for _, r in want} >= {"symbols_per_word", "capital_share"}
+    d = spark.createDataFrame(rows, "doc_id long, text string, stratum string")
+    scored = quality.measured(d)
+    cut = quality.calibrate(quality.labelled(scored, spark.createDataFrame(labels, "doc_id long, quality int")), "stratum", "_good")
+    assert {(r.stratum, r.rule): r.cutoff for r in cut.collect()} == want
+    kept = {i: all(measures_of[i][rule] <= want.get((s, rule), 9e9) for rule in quality.CUTOFFS) for i, _, s in rows}
+    for few in (10_000, 0):
+        quality.FEW_STRATA = few
+        assert {r.doc_id: r.kept for r in quality.judged(scored, cut, "stratum").collect()} == kept
+    quality.FEW_STRATA = 10_000
+
+
 # near duplicates
 
 def simhash(t):
@@ -146,8 +192,10 @@ def test_trees_find_every_link(spark, monkeypatch):
     pts |= {core ^ sum(1 << k for k in rng.sample(range(20), rng.randint(0, 6))) for _ in range(600)}  # one dense group
     pts = sorted(pts)
     signed = [p - (1 << 64) if p >> 63 else p for p in pts]
-    for shard in (64, 20):
+    for shard, sample, large in ((64, 20_000, 1 << 21), (20, 20_000, 1 << 21), (64, 100, 1 << 21), (20, 100, 50)):
         monkeypatch.setattr(neardup, "SHARD", shard)
+        monkeypatch.setattr(neardup, "SAMPLE", sample)
+        monkeypatch.setattr(neardup, "LARGE", large)
         monkeypatch.setattr(neardup, "BLOCK", 256)
         got = components(neardup.links(spark.createDataFrame([(p,) for p in signed], "fp long").repartition(3))).collect()
         part = {r.node: r.root for r in got}
