@@ -39,7 +39,7 @@ VOCABULARY = sorted({w for _, ws in SETS for w in ws})
 
 def tokens(text):
     """Words of a text, ASCII letters and digits in lower case and every character beyond ASCII."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), GAP, -1), "")
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), GAP, -1), "")
 
 
 def frequencies(docs: DataFrame) -> dict[str, int]:
