@@ -122,20 +122,30 @@ def _digest(length: int):
 def suffix_order(symbols: np.ndarray, width: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Places in order of the ``width`` (a power of two) symbols from there on, ties by place, and the doubled names.
 
-    ``names[k]`` tells whether two places have the same 2^k symbols, and orders them.  Names are made dense only where
-    a product of two would not fit.
+    ``names[k]`` tells whether two places have the same 2^k symbols, and orders them: a name is the number of places
+    before the first of its group.  Places alone in their group keep their name, so only the others are sorted again.
     """
-    names, have = [symbols.astype(np.int64)], 1
-    while have < width:
-        last = names[-1]
-        if (int(last.max()) + 2) ** 2 >= 1 << 62:
-            values, last = np.unique(last, return_inverse=True)
-            names[-1] = last
-            if len(values) == len(last):
-                break
-        after = np.zeros(len(last), np.int64)
-        after[:-have] = last[have:] + 1
-        names.append(last * (int(last.max()) + 2) + after)
+    n = len(symbols)
+    name, shared, names, have = np.zeros(n, np.int32), np.arange(n), [], 1
+    key = symbols.astype(np.int64)
+    while True:
+        order = np.argsort(key)
+        ordered, group = key[order], name[shared[order]]
+        first = lambda x: np.maximum.accumulate(np.where(np.concatenate(([True], x[1:] != x[:-1])), np.arange(len(x)), 0))
+        at = first(ordered)
+        name = name.copy()
+        name[shared[order]] = group + (at - first(group))
+        names.append(name)
+        if have >= width:
+            break
+        several = np.bincount(at, minlength=len(at))[at] > 1
+        shared = shared[order[several]]
+        if not len(shared):
+            break
+        after = np.zeros(len(shared), np.int64)
+        inside = shared + have < n
+        after[inside] = name[shared[inside] + have] + 1
+        key = name[shared].astype(np.int64) * (n + 1) + after
         have *= 2
     return np.argsort(names[-1], kind="stable"), names
 
@@ -284,7 +294,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) ->
 
     shape = f"doc_id {kind}, h long, lo long, end long"
     runs = runs.unionByName(pieces.where("not hot").withColumn("bucket", bucket).groupBy("bucket").applyInPandas(match, shape))
-    strings = reliable(pieces.where("hot").mapInPandas(hashed, f"doc_id {kind}, h long, a long, k long, lo long").distinct())
+    strings = pieces.where("hot").mapInPandas(hashed, f"doc_id {kind}, h long, a long, k long, lo long").distinct()
     again = strings.groupBy("a", "k").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("first_place")).where("times > 1")
     more = strings.join(again, ["a", "k"])
     if keep_first:
