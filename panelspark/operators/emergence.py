@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,36 +165,58 @@ def entity_metrics(df: DataFrame) -> DataFrame:
 
 # ---- growth curves -------------------------------------------------------------------
 
-def _best_curve(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Best of linear, logarithmic, exponential, decline and S curve on 0-1 scaled data of one series."""
-    pdf = pdf.sort_values("year")
-    y = pdf["value"].to_numpy(float)
-    t = np.arange(len(y), dtype=float)
-    lo, hi = y.min(), y.max()
-    if len(y) < 3 or hi == lo:
-        return pd.DataFrame({"company_id": [pdf["company_id"].iloc[0]], "n": [len(y)], "curve": ["none"], "r2": [np.nan], "a": [np.nan], "b": [np.nan], "lo": [lo], "hi": [hi]})
-    x, s = t / t[-1], (y - lo) / (hi - lo)
-    tss = float(((s - s.mean()) ** 2).sum())
-
-    def linear(f):
-        m = np.column_stack([np.ones_like(f), f])
-        k = np.linalg.lstsq(m, s, rcond=None)[0]
-        return 1 - float(((s - m @ k) ** 2).sum()) / tss, k
-
-    best = [("linear", *linear(x)), ("logarithmic", *linear(np.log1p(x)))]
-    grid = [("exponential", lambda r: np.exp(r * x)), ("decline", lambda r: np.exp(-r * x))]
-    for name, f in grid:
-        best.append(max(((name, *linear(f(r))) for r in np.linspace(0.25, 8, 32)), key=lambda q: q[1]))
-    best.append(max((("s_curve", *linear(1 / (1 + np.exp(-r * (x - m))))) for r in np.linspace(2, 20, 10) for m in np.linspace(0.1, 0.9, 9)), key=lambda q: q[1]))
+def _bases(n: int) -> tuple[np.ndarray, list[tuple[str, int, int]]]:
+    """Every candidate curve on ``n`` places between 0 and 1 (a row each), and the rows of each family."""
+    x = np.arange(n) / (n - 1)
+    fams = [("linear", [x]), ("logarithmic", [np.log1p(x)]), ("exponential", [np.exp(r * x) for r in np.linspace(0.25, 8, 32)]),
+            ("decline", [np.exp(-r * x) for r in np.linspace(0.25, 8, 32)]),
+            ("s_curve", [1 / (1 + np.exp(-r * (x - m))) for r in np.linspace(2, 20, 10) for m in np.linspace(0.1, 0.9, 9)])]
+    ends = np.cumsum([0, *[len(f) for _, f in fams]])
+    return np.concatenate([f for _, f in fams]), [(k, int(i), int(j)) for (k, _), i, j in zip(fams, ends, ends[1:])]
+
+
+def _best_curves(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Name, r2 and both coefficients of the best of linear, logarithmic, exponential, decline and S curve for series
+    of one length (a row each) on 0-1 scaled data; all series are fitted to all curves by one product."""
+    lo, hi = y.min(axis=1, keepdims=True), y.max(axis=1, keepdims=True)
+    s = (y - lo) / (hi - lo)
+    f, fams = _bases(y.shape[1])
+    e, z = f - f.mean(axis=1, keepdims=True), s - s.mean(axis=1, keepdims=True)
+    slope = (z @ e.T) / (e * e).sum(axis=1)
+    r2 = slope * slope * (e * e).sum(axis=1) / (z * z).sum(axis=1)[:, None]
+    each = np.stack([i + r2[:, i:j].argmax(axis=1) for _, i, j in fams], axis=1)
+    rows = np.arange(len(y))
     # a richer curve must beat the straight line clearly
-    name, r2, k = max(best, key=lambda q: q[1] - (0.0 if q[0] == "linear" else 0.02))
-    return pd.DataFrame({"company_id": [pdf["company_id"].iloc[0]], "n": [len(y)], "curve": [name], "r2": [r2], "a": [float(k[0])], "b": [float(k[1])], "lo": [lo], "hi": [hi]})
+    win = (r2[rows[:, None], each] - np.array([0.0 if k == "linear" else 0.02 for k, _, _ in fams])).argmax(axis=1)
+    at = each[rows, win]
+    b = slope[rows, at]
+    return np.array([k for k, _, _ in fams])[win], r2[rows, at], s.mean(axis=1) - b * f.mean(axis=1)[at], b
+
+
+def _curves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Series (key, values by year) to fits; series of one length are fitted together, at most 2^20 values at once."""
+    for b in batches:
+        series = b.column("series")
+        n, v = pc.list_value_length(series).to_numpy(zero_copy_only=False).astype(np.int64), series.flatten().to_numpy(zero_copy_only=False)
+        at = np.cumsum(n) - n
+        lo, hi = (np.array(f.reduceat(v, at)) if len(n) else np.zeros(0) for f in (np.minimum, np.maximum))
+        curve, fits = np.full(len(n), "none", dtype=object), np.full((3, len(n)), np.nan)
+        ok = (n >= 3) & (hi != lo)
+        for k in np.unique(n[ok]):
+            same = np.flatnonzero(ok & (n == k))
+            for i in range(0, len(same), max((1 << 20) // int(k), 1)):
+                w = same[i:i + max((1 << 20) // int(k), 1)]
+                curve[w], *fit = _best_curves(v[at[w][:, None] + np.arange(k)])
+                fits[:, w] = fit
+        yield pa.RecordBatch.from_arrays([b.column("company_id"), pa.array(n), pa.array(curve, pa.string()), *[pa.array(x) for x in (*fits, lo, hi)]],
+                                         names=["company_id", "n", "curve", "r2", "a", "b", "lo", "hi"])
 
 
 def growth_curves(df: DataFrame, value: str) -> DataFrame:
-    """Curve fit per entity; a group is one row per period, so applyInPandas groups stay small."""
-    return df.where(c(value).isNotNull()).select("company_id", "year", c(value).cast("double").alias("value")).groupBy("company_id").applyInPandas(
-        _best_curve, "company_id long, n long, curve string, r2 double, a double, b double, lo double, hi double")
+    """Curve fit per entity; an entity's rows (one per period) become one ordered array, and whole batches are fitted."""
+    g = df.where(c(value).isNotNull()).groupBy(c("company_id").cast("long").alias("company_id")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("year", c(value).cast("double").alias("v")))), lambda r: r["v"]).alias("series"))
+    return g.mapInArrow(_curves, "company_id long, n long, curve string, r2 double, a double, b double, lo double, hi double")
 
 
 def linear_projection(df: DataFrame, value: str, horizon: int, min_n: int = 3) -> DataFrame:
