@@ -8,16 +8,19 @@ from pyspark.sql import functions as F
 
 from ..functions.cols import clip, flag, sd, total, with_totals
 from ..functions.windows import W, whole
+from ..session import reliable
 
 c = F.col
 
 
 def features(df: DataFrame, cols: list[str], scaler: str = "standard", emphasis: dict[str, float] | None = None) -> DataFrame:
-    """Assembled and scaled vector ``features``; emphasized columns are multiplied after standardizing."""
+    """Assembled and scaled vector ``features``; emphasized columns are multiplied after standardizing.
+
+    Scalers, fits and results each read the rows again, so these are written once: give it the needed columns only."""
     from pyspark.ml.feature import ElementwiseProduct, MinMaxScaler, RobustScaler, StandardScaler, VectorAssembler
     from pyspark.ml.linalg import Vectors
 
-    d = VectorAssembler(inputCols=cols, outputCol="_raw").transform(df.na.drop(subset=cols))
+    d = VectorAssembler(inputCols=cols, outputCol="_raw").transform(reliable(df.na.drop(subset=cols)))
     s = {"standard": lambda: StandardScaler(inputCol="_raw", outputCol="_sc", withMean=True), "minmax": lambda: MinMaxScaler(inputCol="_raw", outputCol="_sc"),
          "robust": lambda: RobustScaler(inputCol="_raw", outputCol="_sc", withCentering=True)}[scaler]()
     d = s.fit(d).transform(d)
@@ -126,7 +129,8 @@ def ensemble(df: DataFrame, y: str, xs: list[str], period: str, split: int, seed
 
     from .regression import ols, prediction
 
-    d = VectorAssembler(inputCols=xs, outputCol="_f").transform(df.na.drop(subset=[y, *xs]))
+    # every model, the weights and the result read the rows again
+    d = VectorAssembler(inputCols=xs, outputCol="_f").transform(reliable(df.na.drop(subset=[y, *xs])))
     train = d.where(c(period) < split)
     names = []
     for n, m in (("lin", LinearRegression()), ("rf", RandomForestRegressor(numTrees=15, maxDepth=5, seed=seed)), ("gbt", GBTRegressor(maxIter=10, maxDepth=3, seed=seed))):

@@ -19,8 +19,8 @@ LT = "lt AS (SELECT * FROM lc QUALIFY row_number() OVER (PARTITION BY company_id
 
 
 def latest(spark, sf):
-    """Each company's last year."""
-    return latest_rows(d.staged(spark, sf))
+    """Each company's last year, with the columns that clusters are made of (others would be shuffled along)."""
+    return latest_rows(d.staged(spark, sf, share=False).select("company_id", "year", "market", *CF))
 
 
 @query("scaled_features", "P1", "company_id year", "m0 m1 m2", f"WITH {LT}, s AS (SELECT avg(margin) AS a, stddev_samp(margin) AS b, avg(rd_ratio) AS e, stddev_samp(rd_ratio) AS f, avg(capex_ratio) AS h, stddev_samp(capex_ratio) AS i FROM lt) SELECT company_id, year, (margin-a)/b AS m0, 2*(rd_ratio-e)/f AS m1, (capex_ratio-h)/i AS m2 FROM lt, s")
@@ -90,7 +90,7 @@ def _(spark, sf):
 
 @query("ensemble_regression", "P9 P11", "company_id year", "lin rf gbt voting adaptive stacked")
 def _(spark, sf):
-    p = d.staged(spark, sf).withColumn("prev", F.lag("margin").over(W()))
+    p = d.staged(spark, sf, share=False).select("company_id", "year", *CF).withColumn("prev", F.lag("margin").over(W()))
     return k.ensemble(p, "margin", ["prev", "rd_ratio", "capex_ratio"], "year", 1999)
 
 

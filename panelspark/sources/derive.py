@@ -296,17 +296,23 @@ holed AS (SELECT e.company_id, y.year, e.market, e.start_year, e.end_year, e.sta
   LEFT JOIN panel p ON p.company_id = e.company_id AND p.year = y.year),
 """
 
-def competition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Panel in percent terms with the share of the (market, year) total."""
+def competition(spark: SparkSession, sf_dir: str, share: bool = True) -> DataFrame:
+    """Panel in percent terms with the share of the (market, year) total.
+
+    The totals take a second pass over the line items; without ``share`` the same rows come from one.
+    """
     from ..functions.cols import sd
     from ..functions.windows import growth
 
     p = mpanel(spark, sf_dir)
-    tot = p.groupBy("market", "year").agg(F.sum("revenue").alias("_t"))
+    p = p.where("market is not null and year is not null")  # as the join with the totals keeps them
     ratios = {"margin": ("operating_profit", "revenue"), "roe": ("net_profit", "shareholders_equity"),
               "cost_ratio": ("cost_of_sales", "revenue"), "rd_ratio": ("rd_expenses", "revenue"),
-              "ad_ratio": ("advertising_expenses", "revenue"), "capex_ratio": ("capex", "revenue"), "share": ("revenue", "_t")}
-    return p.join(tot, ["market", "year"]).select(
+              "ad_ratio": ("advertising_expenses", "revenue"), "capex_ratio": ("capex", "revenue")}
+    d = p
+    if share:
+        d, ratios["share"] = p.join(p.groupBy("market", "year").agg(F.sum("revenue").alias("_t")), ["market", "year"]), ("revenue", "_t")
+    return d.select(
         *p.columns, *[(sd(a, b) * 100.0).alias(k) for k, (a, b) in ratios.items()],
         (growth("revenue") * 100.0).alias("growth"))
 
@@ -318,13 +324,13 @@ comp AS (SELECT *, operating_profit/revenue*100 AS margin, net_profit/nullif(sha
   (revenue/nullif(lag(revenue) OVER (PARTITION BY company_id ORDER BY year),0)-1)*100 AS growth FROM mpanel),
 """
 
-def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Competition panel with the growth-class stage and the debt ratio in percent."""
+def staged(spark: SparkSession, sf_dir: str, share: bool = True) -> DataFrame:
+    """Competition panel (see there for ``share``) with the growth-class stage and the debt ratio in percent."""
     from ..functions.cols import ladder, sd
 
     g = F.col("growth")
     stage = ladder([(g.isNull(), "startup"), (g > 30, "growth"), (g > -30, "maturity")], "decline")
-    return competition(spark, sf_dir).select("*", stage.alias("stage"),
+    return competition(spark, sf_dir, share).select("*", stage.alias("stage"),
                                              (sd("total_liabilities", "total_assets") * 100).alias("debt"))
 
 

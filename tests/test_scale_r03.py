@@ -3,7 +3,9 @@
 import numpy as np
 import pytest
 
-from panelspark.operators import emergence
+from pyspark.sql import functions as F
+
+from panelspark.operators import clean, cluster, emergence, lifecycle, market, regression, resampling, robust, survival
 
 
 def plan(df) -> str:
@@ -41,3 +43,66 @@ def test_growth_curves_fit_whole_batches(spark):
         # families that fit equally well may stand for each other
         assert lead[r["curve"]] == pytest.approx(max(lead.values()), abs=1e-9)
         assert r["r2"] == pytest.approx(best[r["curve"]][0], abs=1e-9)
+
+
+def counted(df):
+    """``df`` behind a step that counts the rows it hands out, and the count."""
+    seen = df.sparkSession.sparkContext.accumulator(0)
+
+    def step(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    return df.mapInPandas(step, df.schema), seen
+
+
+def people(spark, n=90):
+    rng = np.random.default_rng(3)
+    rows = [(i, 1994 + i % 6, "AB"[i % 2], *map(float, rng.normal(size=3)), float(rng.random() < 0.5), int(rng.integers(1, 900)), int(rng.random() < 0.6)) for i in range(n)]
+    return spark.createDataFrame(rows, "company_id long, year int, market string, a double, b double, y double, label double, duration int, event int")
+
+
+READERS = {
+    "features": lambda d: cluster.features(d, ["a", "b"]).collect(),
+    "mixture": lambda d: cluster.fit_clusters(cluster.features(d, ["a", "b"], "robust"), "mixture", 2).collect(),
+    "hierarchy": lambda d: cluster.cluster_stats(cluster.fit_clusters(cluster.features(d, ["a", "b"]), "hierarchy", 2), ["a", "b"]).collect(),
+    "pca": lambda d: cluster.pca(d, ["a", "b"], 2)[0].collect(),
+    "choose_k": lambda d: cluster.choose_k(d, ["a", "b"], (2, 3))[0].collect(),
+    "ensemble": lambda d: cluster.ensemble(d, "y", ["a", "b"], "year", 1998).collect(),
+    "strategic_groups": lambda d: market.group_competition(market.strategic_groups(d.withColumns({"roe": F.col("y"), "margin": F.col("y"), "growth": F.col("y"), "share": F.col("y")}), ["a", "b"], 2), ["a", "b"]).collect(),
+    "success_model": lambda d: emergence.success_model(d, "label", ["a", "b"], "year", 1998)[0].collect(),
+    "choose_alpha": lambda d: regression.choose_alpha(d, "y", ["a", "b"], [0.1, 1.0]).collect(),
+    "fill_model": lambda d: clean.fill_model(d.withColumn("y", F.when(F.col("a") < 1, F.col("y"))), ["y"], ["a", "b"], trees=2).collect(),
+    "hazard_model": lambda d: survival.hazard_model(d.withColumns({"time_from_start": F.lit(0), "event_occurred": F.col("event")}), ["a", "b"], "forest", 2, 2)[0].collect(),
+    "propensity": lambda d: survival.propensity(d, "label", ["a", "b"]).collect(),
+    "correction_effectiveness": lambda d: survival.correction_effectiveness(d, "a", "b", "label").collect(),
+    "interval_of_fit": lambda d: resampling.interval_of_fit(d, ["a", "b"], "company_id", 10).collect(),
+    "rejuvenation_factors": lambda d: lifecycle.rejuvenation_factors(d.withColumn("company_id", F.expr("company_id div 3")), d.sparkSession.createDataFrame(
+        [(i, 1990, 2000, i % 3 == 0) for i in range(30)], "company_id long, peak_year int, trough_year int, recovered boolean"), ["a", "b"]).collect(),
+}
+
+
+@pytest.mark.parametrize("name", READERS)
+def test_repeated_passes_read_the_input_once(spark, name):
+    d = people(spark)
+    source, seen = counted(d)
+    assert READERS[name](source)
+    assert seen.value == d.count()
+
+
+def test_the_share_pass_leaves_the_same_rows(spark):
+    from panelspark.sources import derive
+
+    sf = "/root/testdata/sf0.001"
+    cols = ["company_id", "year", "market", "growth", "margin", "stage", "debt"]
+    a, b = (derive.staged(spark, sf, share=x).select(cols) for x in (True, False))
+    assert a.count() and not a.exceptAll(b).count() and not b.exceptAll(a).count()
+    assert plan(b).count("lineitem.parquet") < plan(a).count("lineitem.parquet")
+
+
+def test_robust_cox_takes_a_fit(spark):
+    d = people(spark)
+    fit = survival.cox(d, ["a", "b"], ties="breslow")
+    one, two = (robust.robust_cox(d, ["a", "b"], "market", f).collect() for f in (None, fit))
+    assert [tuple(r) for r in one] == [pytest.approx(tuple(r)) for r in two]
