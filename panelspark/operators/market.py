@@ -228,11 +228,11 @@ def strategy_scores(df: DataFrame) -> DataFrame:
 
 
 def strategic_groups(df: DataFrame, cols: list[str], k: int, seed: int = 42) -> DataFrame:
-    """KMeans on standardized strategy scores; group per row."""
+    """KMeans on standardized strategy scores; group per row. The scaler, the fit and the result read rows that are written once."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
-    v = VectorAssembler(inputCols=cols, outputCol="_x").transform(df)
+    v = VectorAssembler(inputCols=cols, outputCol="_x").transform(reliable(df))
     v = StandardScaler(inputCol="_x", outputCol="_f", withMean=True).fit(v).transform(v)
     return KMeans(featuresCol="_f", predictionCol="group", k=k, seed=seed).fit(v).transform(v).drop("_x", "_f")
 

@@ -146,7 +146,7 @@ ST = ["cost_score", "diff_score", "focus_score", "scale_score"]
 
 @query("strategic_groups", "K16", "group n", "intra_competition inter_competition performance")
 def _(spark, sf):
-    x = latest_rows(k.strategy_scores(d.competition(spark, sf)))
+    x = latest_rows(k.strategy_scores(d.competition(spark, sf)).select("company_id", "year", *ST, "roe", "margin", "growth", "share"))
     return k.group_competition(k.strategic_groups(x, ST, 4), ST)
 
 
