@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cols import clip, flag, ladder, mean_of, safe_corr, sd, total, with_totals
 from ..functions.ranks import exact_quantiles, value_ranks
+from ..session import reliable
 
 c = F.col
 
@@ -109,7 +110,8 @@ def success_model(d: DataFrame, label: str, xs: list[str], period: str, split: i
     from pyspark.ml.feature import RobustScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    d = d.na.fill(0.0, xs)
+    # the scaler, three fits, the quality and the result read the rows again
+    d = reliable(d.select("company_id", period, label, *xs).na.fill(0.0, xs))
     prep = Pipeline(stages=[VectorAssembler(inputCols=xs, outputCol="_x"), RobustScaler(inputCol="_x", outputCol="_f", withCentering=True)])
     train = d.where(c(period) < split)
     pm = prep.fit(train)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cols import sd
 from ..operators import emergence as e
+from ..session import reliable
 from ..sources import derive as d
 from .clean import SPIN
 from .registry import query
@@ -76,7 +77,8 @@ def _(spark, sf):
 
 @query("success_model", "E7", "company_id start_year label", "probability lr rf gbt")
 def _(spark, sf):
-    p = d.staged(spark, sf)
+    # read twice, and both times shuffled by company
+    p = reliable(d.staged(spark, sf).select("company_id", "year", "start_year", "share", "revenue", "margin", "rd_ratio", "capex_ratio"))
     x = p.groupBy("company_id", "start_year").agg(*[F.min_by(v, "year").alias(v) for v in ("revenue", "margin", "rd_ratio", "capex_ratio")])
     y = e.success_labels(p, 3, 0.0, 0.2, 2).select("company_id", c("label").cast("double").alias("label"))
     return e.success_model(x.join(y, "company_id"), "label", ["revenue", "margin", "rd_ratio", "capex_ratio"], "start_year", 1996)[0].withColumn("label", c("label").cast("int"))
