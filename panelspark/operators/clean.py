@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.cols import clip, col, ladder, sd, total, with_totals
 from ..functions.ranks import long, quantiles_long
 from ..functions.windows import W, last_known, next_known, rows, whole, year_lag
+from ..session import reliable
 from .align import limited_fill, linear_fill
 
 c = F.col
@@ -98,12 +99,13 @@ def fill_model(df: DataFrame, cols: list[str], features: list[str], trees: int =
     from pyspark.ml.regression import RandomForestRegressor
 
     done = list(features)
-    df = fill_statistic(df, features)
+    # each forest makes several passes, and its fills are read by all that follow
+    df = fill_statistic(reliable(df), features)
     for x in cols:
         vec = VectorAssembler(inputCols=done, outputCol="_f").transform(df)
         model = RandomForestRegressor(featuresCol="_f", labelCol=x, predictionCol="_p", numTrees=trees,
                                       maxDepth=depth, seed=seed).fit(vec.where(c(x).isNotNull()))
-        df = model.transform(vec).withColumn(x, F.coalesce(c(x), c("_p"))).drop("_f", "_p")
+        df = reliable(model.transform(vec).withColumn(x, F.coalesce(c(x), c("_p"))).drop("_f", "_p"))
         done.append(x)
     return df
 
@@ -118,8 +120,6 @@ def fill_chained(df: DataFrame, cols: list[str], features: list[str], max_rounds
     Returns the filled rows, the rounds taken and whether they settled.  A column without any value stays null and
     takes no part.
     """
-    from ..session import reliable
-
     st = df.agg(*[f(c(x).cast("double")).alias(f"{p}{i}") for i, x in enumerate([*cols, *features]) for p, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     known = {x: (float(st[f"m{i}"]), float(st[f"s{i}"]) or 1.0) for i, x in enumerate([*cols, *features]) if st[f"m{i}"] is not None}
     cols, features = ([x for x in xs if x in known] for xs in (cols, features))

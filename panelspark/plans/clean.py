@@ -73,7 +73,7 @@ def _(spark, sf):
 @query("model_fill", "C11", K, "revenue employees total_assets")
 def _(spark, sf):
     h = d.holed(spark, sf).where("exists_flag")
-    h = h.withColumn("age", (c("year") - c("start_year")).cast("double"))
+    h = h.select("company_id", "year", "revenue", "employees", "total_assets", (c("year") - c("start_year")).cast("double").alias("age"))
     return k.fill_model(h, ["revenue", "employees", "total_assets"], ["age"], trees=50, depth=5)
 
 
