@@ -17,7 +17,7 @@ from ..functions import finish
 from ..functions.cols import total
 from ..functions.ranks import running_totals
 from ..session import reliable
-from .survival import E, T, c, cox
+from .survival import Cox, E, T, c, cox
 
 
 def score_residuals(df: DataFrame, xs: list[str], beta: list[float], keep: list[str]) -> DataFrame:
@@ -49,12 +49,12 @@ def _meat(res: DataFrame, xs: list[str], cluster: str | None) -> tuple[np.ndarra
     return np.array([r[f"u{i}"] for i in range(k)], float), np.array([[r[f"m{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float)
 
 
-def robust_cox(df: DataFrame, xs: list[str], cluster: str | None = None) -> DataFrame:
+def robust_cox(df: DataFrame, xs: list[str], cluster: str | None = None, fit: Cox | None = None) -> DataFrame:
     """Coefficients with model based and robust errors; rows of one cluster may depend on each other.
 
-    With fewer clusters than covariates the robust errors are not of full rank and tests on them mean little.
+    ``fit`` is the model of the same rows and covariates with Breslow's ties, where there is one already.  With fewer clusters than covariates the robust errors are not of full rank and tests on them mean little.
     """
-    fit = cox(df.dropna(subset=[T, E]), xs, ties="breslow")
+    fit = fit or cox(df.dropna(subset=[T, E]), xs, ties="breslow")
     keep = [cluster] if cluster else []
     _, meat = _meat(score_residuals(df, xs, [float(b) for b in fit.coef], keep), xs, cluster)
     cov = fit.cov @ meat @ fit.cov

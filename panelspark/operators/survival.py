@@ -382,7 +382,7 @@ def hazard_model(pp: DataFrame, xs: list[str], kind: str = "forest", trees: int
     from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    d = pp.na.fill(0.0, xs)
+    d = reliable(pp.na.fill(0.0, xs))  # the fit makes several passes
     asm = VectorAssembler(inputCols=[*xs, "time_from_start"], outputCol="_f")
     kw = {"featuresCol": "_f", "labelCol": "event_occurred", "predictionCol": "_pred"}
     est = {"forest": lambda: RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, **kw),
@@ -403,7 +403,7 @@ def propensity(df: DataFrame, label: str, xs: list[str], kind: str = "logistic",
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    vec = VectorAssembler(inputCols=xs, outputCol="_x").transform(df.na.fill(0.0, xs))
+    vec = VectorAssembler(inputCols=xs, outputCol="_x").transform(reliable(df.na.fill(0.0, xs)))  # scaler, fit and result read it
     vec = StandardScaler(inputCol="_x", outputCol="_f", withMean=True).fit(vec).transform(vec)
     kw = {"featuresCol": "_f", "labelCol": label, "predictionCol": "_pred"}
     est = {"logistic": lambda: LogisticRegression(maxIter=100, tol=1e-10, **kw),
@@ -463,6 +463,7 @@ def correction_effectiveness(df: DataFrame, original: str, corrected: str, alive
     from .stats import levene, normality, t_test
 
     spark = df.sparkSession
+    df = reliable(df.select(original, corrected, alive))  # every statistic reads it
     jb = normality(df, corrected).first()
     t = t_test(df, alive, corrected).first()
     r = df.agg(F.covar_pop(original, corrected).alias("c"), F.stddev_pop(original).alias("a"), F.stddev_pop(corrected).alias("b")).first()

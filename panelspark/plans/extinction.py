@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import emergence as e
 from ..operators import extinction as x
 from ..operators import survival as s
+from ..session import reliable
 from ..sources import derive as d
 from .emergence import pre_post, spin
 from .registry import query
@@ -95,7 +96,8 @@ def _(spark, sf):
 
 @query("correction_effectiveness", "U24", "", "normality_p t_p corr levene_p score")
 def _(spark, sf):
-    z = selected(spark, sf)
+    # weighed, joined and read again by every statistic
+    z = reliable(selected(spark, sf).select("company_id", "alive", "balance_k", "returns", "margin"))
     w = s.ipw(z, "alive", ["balance_k", "returns"], "logistic").select("company_id", "weight")
     z = z.join(w, "company_id", "left").withColumn("corrected", c("margin") * F.coalesce("weight", F.lit(1.0)))
     return s.correction_effectiveness(z, "margin", "corrected", "alive")

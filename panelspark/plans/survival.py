@@ -6,6 +6,7 @@ from ..functions.cols import sd
 from ..operators import metrics as m
 from ..operators import parametric, resampling, robust, stacking
 from ..operators import survival as s
+from ..session import reliable
 from ..sources import derive as d
 from .registry import query
 
@@ -265,8 +266,10 @@ def _(spark, sf):
 
 @query("cox_robust_errors", "U10", "clusters term", "coef se robust_se z p")
 def _(spark, sf):
-    x, names = subjects(spark, sf), ["margin", "balance_k"]
-    parts = [robust.robust_cox(x, names, k).withColumn("clusters", F.lit(n)) for n, k in (("subject", None), ("market", "market"))]
+    names = ["margin", "balance_k"]
+    x = reliable(subjects(spark, sf).select("market", "duration", "event", *names))
+    fit = s.cox(x.dropna(subset=["duration", "event"]), names, ties="breslow")
+    parts = [robust.robust_cox(x, names, k, fit).withColumn("clusters", F.lit(n)) for n, k in (("subject", None), ("market", "market"))]
     return parts[0].unionByName(parts[1])
 
 
@@ -383,7 +386,7 @@ def _(spark, sf):
 
 @query("survival_factor_importance", "U29", "term", "coef p importance score")
 def _(spark, sf):
-    x = subjects(spark, sf)
     names = ["margin", "returns", "balance_k"]
+    x = reliable(subjects(spark, sf).select("company_id", "duration", "event", *names))
     _, model = s.hazard_model(x.withColumn("event_occurred", c("event")).withColumn("time_from_start", F.lit(0)).withColumn("year", F.lit(0)), names, "forest", 100, 4)
     return s.factor_importance(s.cox(x, names).table(spark), dict(zip(names, [float(v) for v in model.featureImportances.toArray()])))
