@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cols import clip, flag, ladder, mean_of, safe_corr, sd, total, with_totals
 from ..functions.windows import W, growth, rows, runs, whole
+from ..session import reliable
 
 c = F.col
 
@@ -222,6 +223,7 @@ def rejuvenation_factors(df: DataFrame, periods: DataFrame, cols: list[str]) ->
     j = df.select("company_id", "year", *cols).join(p, "company_id").where(c("year").between(c("peak_year"), c("trough_year") + 2))
     g = j.groupBy("company_id", "peak_year").agg(F.max(c("recovered").cast("int")).alias("ok"), *[
         (F.max_by(x, "year") - F.min_by(x, "year")).alias(x) for x in cols])
+    g = reliable(g)  # three statistics a factor read it
     out = None
     for x in cols:
         r = with_totals(mann_whitney(g, "ok", x).select("z"), t_test(g, "ok", x).select("cohen_d", c("n0").alias("failures"), c("n1").alias("successes")))

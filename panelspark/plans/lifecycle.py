@@ -7,6 +7,7 @@ from ..functions.windows import latest_rows
 from ..operators import clean
 from ..operators import lifecycle as l
 from ..operators import metrics as m
+from ..session import reliable
 from ..sources import derive as d
 from .registry import query
 
@@ -167,7 +168,7 @@ def _(spark, sf):
 
 @query("rejuvenation_factors", "L21", "factor", "z cohen_d r successes failures")
 def _(spark, sf):
-    return l.rejuvenation_factors(d.staged(spark, sf), l.decline_periods(d.panel(spark, sf), "revenue"), ["margin", "rd_ratio"])
+    return l.rejuvenation_factors(d.staged(spark, sf, share=False).select("company_id", "year", "margin", "rd_ratio"), l.decline_periods(d.panel(spark, sf), "revenue"), ["margin", "rd_ratio"])
 
 
 @query("current_phase", "L24", "company_id current_stage current_run", "success risk")
@@ -177,7 +178,7 @@ def _(spark, sf):
 
 @query("kmeans_stages", "L6 L25", "company_id run_id stage model_stage first_year last_year overlap", "")
 def _(spark, sf):
-    p = d.staged(spark, sf).na.fill(0.0, ["growth"])
+    p = reliable(d.staged(spark, sf, share=False).select("company_id", "year", "stage", "growth", "margin").na.fill(0.0, ["growth"]))
     model = l.stage_runs(l.kmeans_stages(p, ["growth", "margin"], (3, 4, 5, 6, 7)), "model_stage")
     return l.merge_phases(l.stage_runs(p), model)
 
