@@ -24,6 +24,10 @@ from ..session import reliable
 from .survival import E, T, c, concordance, cox, with_risk
 
 _CDF = np.cumsum([math.exp(-1.0) / math.factorial(k) for k in range(18)])
+# draws by the first 12 of 53 bits; in the few cells that hold a step of the distribution the other bits decide
+_CELLS = np.arange(1 << 12, dtype=np.uint64) << np.uint64(41)
+_DRAWS = np.searchsorted(_CDF, _CELLS / float(1 << 53), side="right").astype(float)
+_SPLIT = _DRAWS != np.searchsorted(_CDF, (_CELLS + np.uint64((1 << 41) - 1)) / float(1 << 53), side="right")
 
 
 def poisson_weights(keys: np.ndarray, draws: int) -> np.ndarray:
@@ -31,8 +35,13 @@ def poisson_weights(keys: np.ndarray, draws: int) -> np.ndarray:
     z = keys.astype(np.uint64)[:, None] + np.arange(1, draws + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    u = ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
-    return np.concatenate([np.ones((len(keys), 1)), np.searchsorted(_CDF, u, side="right").astype(float)], axis=1)
+    z = (z ^ (z >> np.uint64(31))) >> np.uint64(11)
+    cell = (z >> np.uint64(41)).astype(np.intp)
+    out = np.ones((len(keys), 1 + draws))
+    out[:, 1:] = _DRAWS[cell]
+    i, j = np.nonzero(_SPLIT[cell])
+    out[i, j + 1] = np.searchsorted(_CDF, z[i, j] / float(1 << 53), side="right")
+    return out
 
 
 def _entries(df: DataFrame, score: str, key: str | Column) -> DataFrame:
@@ -47,7 +56,9 @@ def _entries(df: DataFrame, score: str, key: str | Column) -> DataFrame:
 
 def _pieces(b: pd.DataFrame, weigh: Callable, rows: int) -> Iterator[tuple]:
     """Slices of a partition with the weights, and for each row the totals so far (its own included) of the events of
-    its group on the high and on the low side, as far as they are in this partition."""
+    its group on the high and on the low side, as far as they are in this partition.
+
+    Slices are small enough for a processor's cache to hold their rows x replicates."""
     same = np.r_[False, (b["bit"].to_numpy()[1:] == b["bit"].to_numpy()[:-1]) & (b["grp"].to_numpy()[1:] == b["grp"].to_numpy()[:-1])]
     base = None
     for s in range(0, len(b), rows):
@@ -59,15 +70,18 @@ def _pieces(b: pd.DataFrame, weigh: Callable, rows: int) -> Iterator[tuple]:
         base = [np.zeros(w.shape[1])] * 2 if base is None else base
         # a group's sum begins anew where it begins in this slice, and goes on from the slice before where it doesn't
         for k in range(2):
+            if not len(begins):
+                sums[k] += base[k]
+                continue
             at = np.searchsorted(begins, np.arange(len(x)), side="right") - 1
-            start = np.where((begins > 0)[:, None], sums[k][np.maximum(begins - 1, 0)], 0.0) if len(begins) else np.zeros((0, w.shape[1]))
+            start = np.where((begins > 0)[:, None], sums[k][np.maximum(begins - 1, 0)], 0.0)
             level = np.concatenate([-base[k][None], start])
             sums[k] = sums[k] - level[at + 1]
         base = [m[-1] for m in sums]
         yield s, x, w, add, high, sums
 
 
-def weighted_concordance(df: DataFrame, score: str, key: str | Column, weigh: Callable[[np.ndarray], np.ndarray], rows: int = 2048) -> DataFrame:
+def weighted_concordance(df: DataFrame, score: str, key: str | Column, weigh: Callable[[np.ndarray], np.ndarray], rows: int = 256) -> DataFrame:
     """One row for each column of ``weigh(keys)`` (hashes of a named key, the values of a given column): ``b``, weights of concordant, discordant and comparable pairs, and C.
 
     A pair weighs the product of its subjects' weights.  Ties of the score count half; equal times aren't compared.
@@ -82,10 +96,15 @@ def weighted_concordance(df: DataFrame, score: str, key: str | Column, weigh: Ca
     def ended(b: pd.DataFrame) -> pd.DataFrame:
         """The group a partition begins with, the one it ends with, and the total of that one in it."""
         b = b.sort_values(order).reset_index(drop=True)
-        for _, _, _, _, _, sums in _pieces(b, weigh, rows):
-            pass
+        # only events of the last group count, so only these need weights
+        last = ((b["bit"] == b["bit"].iloc[-1]) & (b["grp"] == b["grp"].iloc[-1]) & (b["role"] == 1)).to_numpy()
+        hi = lo = weigh(b["key"].to_numpy()[:0]).sum(axis=0)
+        x = b[last]
+        for s in range(0, len(x), rows):
+            w, high = weigh(x["key"].to_numpy()[s:s + rows]), x["high"].to_numpy(bool)[s:s + rows]
+            hi, lo = hi + high @ w, lo + ~high @ w
         return pd.DataFrame({"part": b["part"].iloc[:1], "bit0": b["bit"].iloc[0], "grp0": b["grp"].iloc[0], "bit": b["bit"].iloc[-1], "grp": b["grp"].iloc[-1],
-                             "hi": [sums[0][-1]], "lo": [sums[1][-1]]})
+                             "hi": [hi], "lo": [lo]})
 
     kind = "part int, bit0 int, grp0 long, bit int, grp long, hi array<double>, lo array<double>"
     ends = reliable(placed.groupBy("part").applyInPandas(ended, kind))
@@ -105,10 +124,10 @@ def weighted_concordance(df: DataFrame, score: str, key: str | Column, weigh: Ca
         begin = ((b["bit"] == b["bit"].iloc[0]) & (b["grp"] == b["grp"].iloc[0])).to_numpy()
         out = 0.0
         for s, x, w, add, high, sums in _pieces(b, weigh, rows):
-            mine = begin[s:s + len(x)][:, None]
-            ask, all_ = ~add, (x["bit"].to_numpy() < 0)
-            hi, lo = (m + mine * k for m, k in zip(sums, carry))
-            out = out + np.stack([(w * hi * (ask & ~high & ~all_)[:, None]).sum(0), (w * lo * (ask & high & ~all_)[:, None]).sum(0), (w * hi * (ask & all_)[:, None]).sum(0)])
+            mine, ask, all_ = begin[s:s + len(x)], ~add, (x["bit"].to_numpy() < 0)
+            # a row that asks needs one side only
+            picks = ((ask & ~high & ~all_, 0), (ask & high & ~all_, 1), (ask & all_, 0))
+            out = out + np.stack([np.einsum("ij,ij->j", w[r], sums[k][r]) + (mine[r] @ w[r]) * carry[k] for r, k in picks])
         return pd.DataFrame({"b": np.arange(out.shape[1]), "concordant": out[0], "discordant": out[1], "comparable": out[2]})
 
     parts = placed.groupBy("part").cogroup(offsets.groupBy("part")).applyInPandas(count, "b long, concordant double, discordant double, comparable double")
@@ -141,7 +160,7 @@ def cross_validated_concordance(df: DataFrame, xs: list[str], key: str, folds: i
 
 def interval_of_fit(df: DataFrame, xs: list[str], key: str, draws: int = 1000) -> DataFrame:
     """The interval of C of the model fitted on all rows; the model is not fitted again for each draw."""
-    d = df.dropna(subset=[T, E, *xs])
+    d = reliable(df.dropna(subset=[T, E, *xs]).select(key, T, E, *xs))
     return concordance_interval(with_risk(d, cox(d, xs)), "risk", key, draws)
 
 

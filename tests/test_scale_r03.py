@@ -106,3 +106,13 @@ def test_robust_cox_takes_a_fit(spark):
     fit = survival.cox(d, ["a", "b"], ties="breslow")
     one, two = (robust.robust_cox(d, ["a", "b"], "market", f).collect() for f in (None, fit))
     assert [tuple(r) for r in one] == [pytest.approx(tuple(r)) for r in two]
+
+
+def test_poisson_weights_are_the_inverse_distribution():
+    keys = np.random.default_rng(1).integers(-2**62, 2**62, 3000)
+    z = keys.astype(np.uint64)[:, None] + np.arange(1, 201, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    u = ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+    w = resampling.poisson_weights(keys, 200)
+    assert (w[:, 0] == 1).all() and (w[:, 1:] == np.searchsorted(resampling._CDF, u, side="right")).all()
