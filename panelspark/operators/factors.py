@@ -8,11 +8,11 @@ Windows over years stay inside one entity (at most eight rows).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cols import clip
-from ..functions.windows import whole, year_lag, years
+from ..functions.windows import W, year_lag, years
 
 c = F.col
 
@@ -182,8 +182,8 @@ def _mean(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.nullif(F.size(a), F.lit(0))
 
 
-def _std(a: Column) -> Column:
-    m = _mean(a)
+def _std(a: Column, m: Column) -> Column:
+    """``m``: the mean, as a column of an earlier step; an expression would be worked out again for every element."""
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, v: s + (v - m) * (v - m)) / F.nullif(F.size(a), F.lit(0)))
 
 
@@ -217,15 +217,16 @@ def _windows(d: DataFrame) -> DataFrame:
                  F.last("differentiation").over(years(-2, -1)).alias("past_differentiation"))
     d = d.select("*", _growths("_rev5").alias("_gr"), _growths("_op5").alias("_go"), _growths("_rde3").alias("_gd"), _growths("_rev3").alias("_g3"), _vals("_cf5").alias("_cf"), _vals("_rd5").alias("_rd"),
                  _vals("_rd7").alias("_r7"), _vals("_roe3").alias("_ro"), _vals("_ov3").alias("_ov"), _vals("_m3").alias("_mm"))
-    stable = lambda rows, g: F.when((F.size(rows) >= 4) & (F.size(g) >= 3), 1 / (1 + _std(c(g))))
-    cf_m, cf_s = _mean(c("_cf")), _std(c("_cf"))
+    d = d.select("*", *[_mean(c(x)).alias(f"_mean{x}") for x in ("_gr", "_go", "_cf", "_rd")])
+    stable = lambda rows, g: F.when((F.size(rows) >= 4) & (F.size(g) >= 3), 1 / (1 + _std(c(g), c(f"_mean{g}"))))
+    cf_m, cf_s = c("_mean_cf"), _std(c("_cf"), c("_mean_cf"))
     n7 = F.size("_r7")
     top = F.greatest(_power(c("_r7"), 1), F.when(n7 >= 6, _power(c("_r7"), 2)), F.when(n7 >= 8, _power(c("_r7"), 3)))
     d = d.select(
         *[x for x in d.columns if not x.startswith("_")],
         stable("_rev5", "_gr").alias("revenue_stability"), stable("_op5", "_go").alias("profit_stability"),
         F.when((F.size("_cf5") >= 3) & (F.size("_cf") >= 3) & (cf_m > 0) & (cf_s > 0), 1 / (1 + cf_s / F.nullif(cf_m, F.lit(0.0)))).alias("cf_stability"),
-        F.when((F.size("_rd5") >= 4) & (F.size("_rd") >= 3), 0.5 / (1 + _std(c("_rd"))) + F.least(_mean(c("_rd")) * 10, F.lit(1.0)) * 0.5).alias("innovation_frequency"),
+        F.when((F.size("_rd5") >= 4) & (F.size("_rd") >= 3), 0.5 / (1 + _std(c("_rd"), c("_mean_rd"))) + F.least(c("_mean_rd") * 10, F.lit(1.0)) * 0.5).alias("innovation_frequency"),
         F.when((F.size("_rde3") >= 2) & (F.size("_gd") > 0), clip(_mean(c("_gd")), 0, 1)).alias("adaptation"),
         F.when((F.size("_rev3") >= 3) & (F.size("_g3") >= 2), F.element_at("_g3", -1) - F.get("_g3", F.size("_g3") - 2)).alias("scaling"),
         F.when(F.size("_ro") >= 3, clip(_slope(c("_ro")) * 20 + 0.5, 0, 1)).alias("capital_trend"), F.when(F.size("_ov") >= 3, clip(_slope(c("_ov")) * 10, 0, 1)).alias("expansion_rate"),
@@ -239,12 +240,16 @@ def measures(df: DataFrame, rename: dict[str, str] | None = None) -> DataFrame:
     d = df.withColumnsRenamed(rename) if rename else df
     for x, default in (("founding_year", None), ("succession_year", None)):
         d = d if x in d.columns else d.withColumn(x, F.lit(default).cast("int"))
-    d = d.withColumn("entry_year", F.min("year").over(whole()))
-    d = d.select("*", *[F.expr(e).cast("double").alias(k) for k, e in ROW.items()])
+    # in the order of the year windows, so that rows are sorted once
+    d = d.withColumn("entry_year", F.min("year").over(W().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    # before the windows only what they look back on: all row measures and the sort would be generated as one method, too
+    # long for the JVM to compile
+    formulas = lambda d, es: d.select("*", *[F.expr(e).cast("double").alias(k) for k, e in es.items()])
+    d = formulas(d, {k: e for k, e in ROW.items() if k in PREVIOUS})
     d = d.select("*", *[year_lag(x).alias(f"p_{x}") for x in PREVIOUS])
-    d = d.select("*", *[F.expr(e).cast("double").alias(k) for k, e in GROWTH.items()])
-    d = d.select("*", *[F.expr(e).cast("double").alias(k) for k, e in COMPOSITE.items()])
-    return _windows(d).select("*", *[F.expr(e).cast("double").alias(k) for k, e in FINAL.items()])
+    d = formulas(d, {k: e for k, e in ROW.items() if k not in PREVIOUS} | GROWTH)
+    d = formulas(d, COMPOSITE)
+    return formulas(_windows(d), FINAL)
 
 
 def factors(df: DataFrame, families: list[str] | None = None, rename: dict[str, str] | None = None) -> DataFrame:
@@ -261,4 +266,6 @@ def factors(df: DataFrame, families: list[str] | None = None, rename: dict[str,
 def factor_facts(wide: DataFrame) -> DataFrame:
     """Long (company_id, year, factor, value) facts."""
     cols = [x for x in wide.columns if x not in ("company_id", "year")]
-    return wide.unpivot(["company_id", "year"], cols, "factor", "value")
+    # unpivot would build a whole row per factor; here the wide row is read once and a factor is a place in its array
+    at = wide.select("company_id", "year", F.posexplode(F.array(*cols)).alias("_at", "value"))
+    return at.select("company_id", "year", F.element_at(F.array(*[F.lit(x) for x in cols]), c("_at") + 1).alias("factor"), "value")

@@ -116,3 +116,26 @@ def test_poisson_weights_are_the_inverse_distribution():
     u = ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
     w = resampling.poisson_weights(keys, 200)
     assert (w[:, 0] == 1).all() and (w[:, 1:] == np.searchsorted(resampling._CDF, u, side="right")).all()
+
+
+def test_factor_facts_take_each_wide_row_once(spark):
+    from panelspark.operators import factors
+
+    rows = [(1, 2000, 1.5, None, -2.0), (1, 2001, None, None, None), (2, 2000, 0.0, float("nan"), 7.0), (None, None, 3.0, 4.0, 5.0)]
+    wide = spark.createDataFrame(rows, "company_id long, year int, a_01 double, a_02 double, b_01 double")
+    long = factors.factor_facts(wide)
+    assert long.columns == ["company_id", "year", "factor", "value"]
+    # nulls and rows without a key stay, one row per column
+    want = [(r[0], r[1], n, r[i]) for r in rows for i, n in enumerate(wide.columns[2:], 2)]
+    assert sorted(map(repr, map(tuple, long.collect()))) == sorted(map(repr, want))
+    # no Expand, which copies the wide row once per column
+    assert "Expand" not in plan(long)
+
+
+def test_factor_measures_sort_rows_once(spark):
+    from panelspark.operators import factors
+    from panelspark.plans.factors import panel
+
+    d = spark.createDataFrame(panel(spark, "/root/testdata/sf0.001").limit(50).collect())
+    # one order serves all windows
+    assert factors.factors(d)._jdf.queryExecution().executedPlan().toString().count("Sort [company_id") == 1
