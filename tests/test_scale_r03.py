@@ -136,6 +136,7 @@ def test_factor_measures_sort_rows_once(spark):
     from panelspark.operators import factors
     from panelspark.plans.factors import panel
 
-    d = spark.createDataFrame(panel(spark, "/root/testdata/sf0.001").limit(50).collect())
+    p = panel(spark, "/root/testdata/sf0.001").limit(50)
+    d = spark.createDataFrame(p.collect(), p.schema)
     # one order serves all windows
     assert factors.factors(d)._jdf.queryExecution().executedPlan().toString().count("Sort [company_id") == 1
