@@ -38,6 +38,17 @@ def _filled(df: DataFrame, xs: list[str], train: Column) -> DataFrame:
     return df.withColumns({x: F.coalesce((c(x) - float(m[f"m_{x}"] or 0.0)) / float(m[f"s_{x}"] or 1.0), F.lit(0.0)) for x in xs})
 
 
+def _together(spark, jobs: list) -> list:
+    """Results of functions that each start Spark jobs, in order.  Fits are long rows of short jobs, which leave most
+    cores idle one at a time."""
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark import inheritable_thread_target
+
+    with ThreadPool(len(jobs)) as pool:
+        return [r.get() for r in [pool.apply_async(inheritable_thread_target(spark)(j)) for j in jobs]]
+
+
 def fit_members(train: DataFrame, label: str, xs: list[str], trees: int, rounds: int, depth: int, seed: int):
     """A function that adds a score between 0 and 1 for each member.
 
@@ -52,9 +63,10 @@ def fit_members(train: DataFrame, label: str, xs: list[str], trees: int, rounds:
     kw = {"featuresCol": "_f", "labelCol": label, "predictionCol": "_pred"}
     models = {"logistic": LogisticRegression(maxIter=100, regParam=1e-4, **kw), "forest": RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, **kw),
               "boosting": GBTClassifier(maxIter=rounds, maxDepth=3, seed=seed, **kw)}
-    models = {n: e.setProbabilityCol("_p").setRawPredictionCol("_raw").fit(vec) for n, e in models.items()}
+    fits = [lambda e=e: e.setProbabilityCol("_p").setRawPredictionCol("_raw").fit(vec) for e in models.values()]
     # a small penalty: percentiles and values of one measure go together
-    hazard = cox(train, xs, penalty=1.0)
+    *fitted, hazard = _together(train.sparkSession, [*fits, lambda: cox(train, xs, penalty=1.0)])
+    models = dict(zip(models, fitted))
     risk = total([c(x) * float(b) for x, b in zip(xs, hazard.coef)])
     at = train.agg(F.avg(T)).first()[0]
     base = train.groupBy(T).agg(F.sum(c(E).cast("double")).alias("d"), F.sum(F.exp(risk)).alias("w"))
@@ -87,11 +99,12 @@ def stacked_risk(df: DataFrame, label: str, xs: list[str], key: str, folds: int
         raise ValueError("three folds or more: one held out, two or more to stack on")
     d = df.where(c(label).isNotNull()).withColumns({"_y": c(label).cast("double"), "_fold": fold(key, folds, seed)})
     d = reliable(_filled(d, xs, c("_fold") > 0))
-    parts = []
-    for k in range(folds):
+
+    def part(k: int) -> DataFrame:
         train = d.where(c("_fold") != k) if k == 0 else d.where((c("_fold") != k) & (c("_fold") > 0))
-        parts.append(fit_members(train, "_y", xs, trees, rounds, depth, seed)(d.where(c("_fold") == k)))
-    out = reliable(reduce(DataFrame.unionByName, parts))
+        return fit_members(train, "_y", xs, trees, rounds, depth, seed)(d.where(c("_fold") == k))
+
+    out = reliable(reduce(DataFrame.unionByName, _together(df.sparkSession, [lambda k=k: part(k) for k in range(folds)])))
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array

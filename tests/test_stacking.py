@@ -56,3 +56,18 @@ def test_quality_on_held_out_rows(scored):
 def test_folds(spark):
     with pytest.raises(ValueError):
         S.stacked_risk(spark.createDataFrame([(1, 1, 2.0, 1, 0.0)], "id int, gone int, duration double, event int, x double"), "gone", ["x"], "id", folds=2)
+
+
+def test_fits_run_together(spark):
+    import threading
+
+    # each job waits for the others, so jobs one after another would not end
+    gate = threading.Barrier(3)
+
+    def job(k):
+        gate.wait(60)
+        return spark.range(k).count()
+
+    assert S._together(spark, [lambda k=k: job(k) for k in (3, 1, 2)]) == [3, 1, 2]
+    with pytest.raises(ZeroDivisionError):
+        S._together(spark, [lambda: 1 / 0])
