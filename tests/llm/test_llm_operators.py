@@ -601,3 +601,18 @@ def test_gradients():
     net.step(ids, gram, count, place, live, y, 1e6, memory)
     for (k, at), g in numeric.items():
         assert abs((start[k][at] - net.p[k][at]) - g) < 1e-3 + 0.03 * abs(g)
+
+
+def test_first_names_pack_symbols():
+    rng = random.Random(5)
+    texts = [bytes(rng.choice([0, 255]) for _ in range(rng.randint(0, 30))) for _ in range(40)]
+    data = np.frombuffer(b"".join(x + b"\0" for x in texts), np.uint8)
+    ends = np.cumsum([len(x) + 1 for x in texts]) - 1
+    symbols = data.astype(np.int64) + len(ends)
+    symbols[ends] = np.arange(len(ends))
+    names = repeats.suffix_names(data, ends, 20)
+    # three sorts for 20 symbols, not six; places have one name where the symbols from there on are the same
+    assert len(names) <= 3
+    for k, name in enumerate(names):
+        words = [tuple(symbols[i:i + (repeats.FIRST << k)]) for i in range(len(data))]
+        assert len(set(zip(name.tolist(), words))) == len(set(words)) == len(set(name.tolist()))
