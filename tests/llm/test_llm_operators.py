@@ -463,6 +463,40 @@ def test_repeats_of_a_long_periodic_text(spark):
     assert {r.doc_id: r.n_removed for r in repeats.removed(d).collect()} == {1: 300_000, 2: 800}
 
 
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_repeats_of_hot_anchors_make_few_rows(spark, keep_first, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", 1)
+    rng, n = random.Random(9), 200
+    word = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    short, long = word(150), word(300)
+    texts = [word(rng.randint(0, 300)) + (short if i % 4 else long) + word(rng.randint(0, 300)) for i in range(60)] + [short, long]
+    texts += [texts[4], texts[8][40:] + "x", "y" + texts[9][:-30]]
+    made = spark.sparkContext.accumulator(0)
+    for name in ("mapInArrow", "mapInPandas"):
+        def step(df, f, shape, call=getattr(type(spark.range(1)), name)):
+            def counted(batches):
+                for b in f(batches):
+                    made.add(len(b))
+                    yield b
+            return call(df, counted, shape)
+
+        monkeypatch.setattr(type(spark.range(1)), name, step)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in repeats.removed(docs, n, keep_first).collect()}
+    seen, first = Counter(t[i:i + n] for t in texts for i in range(len(t) - n + 1)), set()
+    for j, t in enumerate(texts):
+        gone = set()
+        for i in range(len(t) - n + 1):
+            k = t[i:i + n]
+            if seen[k] > 1 and (k in first or not keep_first):
+                gone |= set(range(i, i + n))
+            first.add(k)
+        assert got[j] == len(gone), j
+    # a row per string would be some thousands
+    strings = sum(max(0, len(t) - n + 1) for t in texts)
+    assert made.value < strings / 10, (made.value, strings)
+
+
 # pages
 
 def test_pages(spark):
