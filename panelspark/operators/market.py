@@ -359,36 +359,61 @@ def ecosystem(df: DataFrame) -> DataFrame:
 
 # ---- entry ------------------------------------------------------------------------------
 
-def entry_profile(df: DataFrame, k: int = 3) -> DataFrame:
-    """Per entity: entry metrics, first-k strategy ratios and type, CAGR, years to profit."""
-    d = df.withColumn("_i", F.row_number().over(W()))
+def _entry_sums() -> dict[str, Column]:
+    """Aggregates over an entity's rows that profile and success share."""
+    return {"n": F.count(F.lit(1)), "entry_year": F.min("year"), "last_year": F.max("year"), "entry_revenue": F.min_by("revenue", "year"),
+            "_lr": F.max_by("revenue", "year"), "_py": F.min(F.when(c("margin") > 0, c("year")))}
+
+
+def _profile_sums(k: int) -> dict[str, Column]:
     f = c("_i") <= k
-    first = lambda x: F.min_by(x, "year")
-    last = lambda x: F.max_by(x, "year")
-    g = d.groupBy("company_id", "market").agg(
-        F.count(F.lit(1)).alias("n"), F.min("year").alias("entry_year"), F.max("year").alias("last_year"), first("revenue").alias("entry_revenue"), first("margin").alias("entry_margin"),
-        first("total_assets").alias("entry_assets"), F.avg(F.when(f, c("capex_ratio"))).alias("capex"), F.avg(F.when(f, c("rd_ratio"))).alias("rd"),
-        F.avg(F.when(f, c("ad_ratio"))).alias("ad"), last("revenue").alias("_lr"), F.min(F.when(c("margin") > 0, c("year"))).alias("_py"), F.max("status").alias("status"))
+    return _entry_sums() | {
+        "entry_margin": F.min_by("margin", "year"), "entry_assets": F.min_by("total_assets", "year"), "capex": F.avg(F.when(f, c("capex_ratio"))),
+        "rd": F.avg(F.when(f, c("rd_ratio"))), "ad": F.avg(F.when(f, c("ad_ratio"))), "status": F.max("status")}
+
+
+def _success_sums(k: int) -> dict[str, Column]:
+    y = F.when(c("_i") <= k, c("year"))
+    return _entry_sums() | {"_z": F.max_by(F.when(c("_i") <= k, c("revenue")), y), "_m": F.count(y), "_years": F.collect_list(F.struct("year", "revenue"))}
+
+
+def _entities(df: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    d = df.withColumn("_i", F.row_number().over(W()))
+    return d.groupBy("company_id", "market").agg(*[v.alias(x) for x, v in sums.items()])
+
+
+def entrants(df: DataFrame, k: int = 3, success_k: int = 10) -> DataFrame:
+    """One row per entity with all that profile and success are made of, written once.
+
+    Each further pass over the panel would shuffle all line items again. An entity's years fit its row, as a panel has
+    one row per period; together they are smaller than the panel's rows.
+    """
+    return reliable(_entities(df, _profile_sums(k) | _success_sums(success_k)))
+
+
+def entry_profile(df: DataFrame, k: int = 3, entities: DataFrame | None = None) -> DataFrame:
+    """Per entity: entry metrics, first-k strategy ratios and type, CAGR, years to profit; from ``entities`` (of ``entrants``) if given."""
+    g = _entities(df, _profile_sums(k)) if entities is None else entities
     cagr = F.when((c("entry_revenue") > 0) & (c("_lr") > 0), F.pow(c("_lr") / c("entry_revenue"), 1.0 / c("n")) - 1.0).otherwise(0.0)
     typ = ladder([((c("capex") > 15) & (c("rd") > 5), "aggressive_technology"), ((c("ad") > 3) & (c("capex") > 10), "aggressive_market"),
                   ((c("rd") > 8) | (c("ad") > 5), "niche")], "conservative")
-    return g.select(*[x for x in g.columns if not x.startswith("_")], cagr.alias("cagr"), (c("_py") - c("entry_year")).alias("years_to_profit"), typ.alias("entry_type"))
+    return g.select("company_id", "market", "n", "entry_year", "last_year", "entry_revenue", "entry_margin", "entry_assets", "capex", "rd", "ad", "status",
+                    cagr.alias("cagr"), (c("_py") - c("entry_year")).alias("years_to_profit"), typ.alias("entry_type"))
 
 
-def entry_success(df: DataFrame, min_n: int = 5, k: int = 10) -> DataFrame:
-    """.3 growth (first k rows) + .3 profitability + .25 in-year revenue percentile + .15 sustainability."""
-    d = df.withColumn("_i", F.row_number().over(W()))
-    y = F.when(c("_i") <= k, c("year"))
-    g = d.groupBy("company_id", "market").agg(
-        F.count(F.lit(1)).alias("n"), F.min_by("revenue", "year").alias("_a"), F.max_by(F.when(c("_i") <= k, c("revenue")), y).alias("_z"), F.count(y).alias("_m"),
-        F.min("year").alias("_y0"), F.max("year").alias("year"), F.max_by("revenue", "year").alias("revenue"), F.min(F.when(c("margin") > 0, c("year"))).alias("_py")).where(c("n") >= min_n)
-    df = reliable(df)
-    pr = value_ranks(df, ["year"], "revenue").select("year", "revenue", ((c("lt") + c("le") + 1) / (2.0 * c("n"))).alias("position"))
+def entry_success(df: DataFrame, min_n: int = 5, k: int = 10, entities: DataFrame | None = None) -> DataFrame:
+    """.3 growth (first k rows) + .3 profitability + .25 in-year revenue percentile + .15 sustainability.
+
+    Scores and ranks read the same written rows (``entities`` of ``entrants`` if given); why, see ``with_ranks``.
+    """
+    g = reliable(_entities(df, _success_sums(k))) if entities is None else entities
+    pr = value_ranks(g.select(F.inline("_years")), ["year"], "revenue").select("year", "revenue", ((c("lt") + c("le") + 1) / (2.0 * c("n"))).alias("position"))
+    g = g.where(c("n") >= min_n).select("company_id", "market", "n", "entry_year", c("last_year").alias("year"), c("_lr").alias("revenue"), "entry_revenue", "_z", "_m", "_py")
     g = g.join(pr, ["year", "revenue"])
-    grow = clip(F.when((c("_a") > 0) & (c("_z") > 0), F.pow(c("_z") / c("_a"), 1.0 / c("_m")) - 1).otherwise(0.0), 0, 1)
-    prof = F.when(c("_py").isNull(), 0.0).otherwise(F.greatest(1 - (c("_py") - c("_y0")) / 10.0, F.lit(0.0)))
+    grow = clip(F.when((c("entry_revenue") > 0) & (c("_z") > 0), F.pow(c("_z") / c("entry_revenue"), 1.0 / c("_m")) - 1).otherwise(0.0), 0, 1)
+    prof = F.when(c("_py").isNull(), 0.0).otherwise(F.greatest(1 - (c("_py") - c("entry_year")) / 10.0, F.lit(0.0)))
     sus = F.least(c("n") / 20.0, F.lit(1.0))
-    return g.select("company_id", "market", c("_y0").alias("entry_year"), "n", (0.3 * grow + 0.3 * prof + 0.25 * c("position") + 0.15 * sus).alias("success"))
+    return g.select("company_id", "market", "entry_year", "n", (0.3 * grow + 0.3 * prof + 0.25 * c("position") + 0.15 * sus).alias("success"))
 
 
 def entry_timing_link(success: DataFrame) -> DataFrame:

@@ -290,8 +290,9 @@ def _(spark, sf):
 
 @query("entry_patterns", "K31", "outcome entry_type n", "success cagr early_profit_share")
 def _(spark, sf):
-    p = d.competition(spark, sf)
-    return k.entry_patterns(k.entry_profile(p), k.entry_success(p), 0.55, 0.45)
+    p = d.competition(spark, sf, share=False)
+    e = k.entrants(p)
+    return k.entry_patterns(k.entry_profile(p, entities=e), k.entry_success(p, entities=e), 0.55, 0.45)
 
 
 @query("market_growth_phases", "K29", "market year phase entrants", "market_growth volatility", """WITH g AS (SELECT market, year, sum(revenue) AS s, count(CASE WHEN year=start_year THEN 1 END) AS entrants, stddev_samp(margin) AS volatility FROM comp GROUP BY 1,2),
